@@ -23,7 +23,7 @@ from patronage.operators import revenue as rev
 from patronage.operators import sampling as smp
 from patronage.plans.cohorts import DAY, MONTH, WEEK
 from patronage.session import configure
-from patronage.sources.star import BALANCE_BINS, Shop, event_shop, order_shop
+from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,25 +51,25 @@ def published(df: DataFrame) -> DataFrame:
     return df.select(*map(shown, df.schema.fields))
 
 
-def _commerce(span: tuple[str, str], item_time: str = "o_orderdate"):
-    def shop(spark: SparkSession, base: str) -> Shop:
-        return order_shop(configure(spark), base, item_time).within(*span)
+def _commerce(span: tuple[str, str] | None, item_time: str = "o_orderdate"):
+    def shop(spark: SparkSession, base: str) -> OrderShop:
+        return OrderShop(configure(spark), base, span, item_time)
 
     return shop
 
 
-def _event_log(spark: SparkSession, base: str) -> Shop:
-    return event_shop(configure(spark), base).within(*EVENT_DATES)
+def _event_log(spark: SparkSession, base: str) -> EventShop:
+    return EventShop(configure(spark), base, EVENT_DATES)
 
 
-def _query(shop, analysis: Callable[[Shop], DataFrame]) -> Query:
+def _query(shop, analysis: Callable[[OrderShop], DataFrame]) -> Query:
     def run(spark: SparkSession, base: str) -> DataFrame:
         return published(analysis(shop(spark, base)))
 
     return run
 
 
-def scope_of(s: Shop, **choices) -> rev.Scope:
+def scope_of(s: OrderShop, **choices) -> rev.Scope:
     filters = rev.Filters(statuses=DONE, age_bins=BALANCE_BINS, **choices)
     return rev.revenue_scope(s.users, s.orders, s.order_items, s.products, filters)
 
@@ -87,19 +87,19 @@ ACTIVATION_CHOICE = dict(
 )
 
 
-def _monthly(s: Shop) -> DataFrame:
+def _monthly(s: OrderShop) -> DataFrame:
     return rep.repeat_purchaser_monthly(s.order_items, 1996, COMPLETE)
 
 
-def _users(s: Shop, **choices) -> DataFrame:
+def _users(s: OrderShop, **choices) -> DataFrame:
     return act.signed_up(s.users, **choices)
 
 
-def _first(s: Shop) -> DataFrame:
+def _first(s: OrderShop) -> DataFrame:
     return act.first_order(_users(s), s.orders, DONE)
 
 
-def _tables(s: Shop) -> dict[str, DataFrame]:
+def _tables(s: OrderShop) -> dict[str, DataFrame]:
     return {
         "users": s.users,
         "orders": s.orders,
@@ -109,7 +109,7 @@ def _tables(s: Shop) -> dict[str, DataFrame]:
     }
 
 
-def _dimension_values(s: Shop) -> DataFrame:
+def _dimension_values(s: OrderShop) -> DataFrame:
     sources = (
         (s.orders, "status"),
         (s.users, "traffic_source"),
@@ -123,13 +123,13 @@ def _dimension_values(s: Shop) -> DataFrame:
     return reduce(DataFrame.unionAll, listed)
 
 
-def _age_pivot(s: Shop) -> DataFrame:
+def _age_pivot(s: OrderShop) -> DataFrame:
     long = act.activation_age_by_month(_users(s), s.orders, BALANCE_BINS, DONE)
     return act.activation_age_pivot(long, BALANCE_BINS)
 
 
 # Analyses of the commerce view; each is registered for all dates.
-COMMERCE: dict[str, Callable[[Shop], DataFrame]] = {
+COMMERCE: dict[str, Callable[[OrderShop], DataFrame]] = {
     "purchase_frequency": lambda s: rep.purchase_frequency(s.order_items, COMPLETE),
     "purchase_counts_by_user": lambda s: rep.purchase_counts_by_user(
         s.order_items, ("F", "O", "P")
@@ -234,7 +234,7 @@ YEARLY = (
 )
 
 # Analyses of the event view.
-EVENT_LOG: dict[str, Callable[[Shop], DataFrame]] = {
+EVENT_LOG: dict[str, Callable[[OrderShop], DataFrame]] = {
     "cohort_weekly_dense_evt": lambda s: ret.cohort_weekly_dense(
         s.order_items, "2024-01", None, 12
     ),
@@ -274,7 +274,6 @@ def queries() -> dict[str, Query]:
     found["revenue_kpis_1996"] = _query(_commerce(YEAR_1996), COMMERCE["revenue_kpis"])
     # Table sizes are those of the tables as they are, outside any window.
     found["table_summary"] = _query(
-        lambda spark, base: order_shop(configure(spark), base),
-        lambda s: ovw.table_summary(_tables(s)),
+        _commerce(None), lambda s: ovw.table_summary(_tables(s))
     )
     return found

@@ -1,11 +1,12 @@
 """Canonical views over a star schema (orders, line items, customers, parts) and an event log.
 
-The views keep the source's time type, so that time filters reach the Parquet scan.
+A view reads only the tables an analysis asks for. It keeps the source's time type, so that time
+filters reach the Parquet scan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,121 +21,156 @@ BALANCE_BINS = Bins(
     ("0-2k", "2k-4k", "4k-6k", "6k-8k", "8k-10k"),
 )
 
+# Declared, so that no job has to look into the files for them.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
+
+class OrderShop:
+    """Commerce view. A user signs up with the first order of any status.
 
-@dataclass(frozen=True)
-class Shop:
-    users: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    events: DataFrame
-    inventory_items: DataFrame
+    With a `span`, every dated table is cut to that closed window; products carry no date.
+    `item_time="l_shipdate"` gives items a time of their own, unlike their order's.
+    """
 
-    def within(self, start: Day, end: Day) -> Shop:
-        """Every dated table in the closed window; products carry no date."""
-        dated = ("users", "orders", "order_items", "events", "inventory_items")
-        return replace(self, **{t: closed_window(getattr(self, t), start, end) for t in dated})
+    def __init__(
+        self,
+        spark: SparkSession,
+        base: str,
+        span: tuple[Day, Day] | None = None,
+        item_time: str = "o_orderdate",
+    ) -> None:
+        self._spark = spark
+        self._base = base
+        self._span = span
+        self._item_time = item_time
+
+    def _read(self, table: str) -> DataFrame:
+        reader = self._spark.read.schema(STAR_SCHEMAS[table])
+        return reader.parquet(f"{self._base}/{table}.parquet")
+
+    def _within(self, df: DataFrame) -> DataFrame:
+        return closed_window(df, *self._span) if self._span else df
+
+    def _customers(self) -> DataFrame:
+        nations = self._read("nation")
+        regions = self._read("region")
+        return (
+            self._read("customer")
+            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            .select(
+                F.col("c_custkey").alias("id"),
+                F.col("r_name").alias("gender"),
+                F.col("c_acctbal").alias("age"),
+                F.col("c_mktsegment").alias("traffic_source"),
+            )
+        )
 
+    def _signups(self) -> DataFrame:
+        return (
+            self._read("orders")
+            .groupBy(F.col("o_custkey").alias("id"))
+            .agg(F.min("o_orderdate").alias("created_at"))
+        )
 
-def _read(spark: SparkSession, base: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{table}.parquet")
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._within(self._signups()).join(self._customers(), "id", "left")
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._read("part").select(
+            F.col("p_partkey").alias("id"),
+            F.col("p_type").alias("category"),
+            F.col("p_brand").alias("brand"),
+            F.col("p_name").alias("name"),
+        )
 
-def _customers(spark: SparkSession, base: str) -> DataFrame:
-    return (
-        _read(spark, base, "customer")
-        .join(
-            _read(spark, base, "nation"),
-            F.col("c_nationkey") == F.col("n_nationkey"),
-            "left",
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._within(
+            self._read("orders").select(
+                F.col("o_orderkey").alias("order_id"),
+                F.col("o_custkey").alias("user_id"),
+                F.col("o_orderstatus").alias("status"),
+                F.col("o_orderdate").alias("created_at"),
+            )
         )
-        .join(
-            _read(spark, base, "region"),
-            F.col("n_regionkey") == F.col("r_regionkey"),
-            "left",
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        lines = self._read("lineitem")
+        orders = self._read("orders")
+        return self._within(
+            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+                F.col("l_orderkey").alias("order_id"),
+                F.col("o_custkey").alias("user_id"),
+                F.col("l_partkey").alias("product_id"),
+                F.col("o_orderstatus").alias("status"),
+                F.col("l_extendedprice").cast(MONEY).alias("sale_price"),
+                F.col(self._item_time).alias("created_at"),
+                F.col("l_shipdate").alias("shipped_at"),
+            )
         )
-        .select(
-            F.col("c_custkey").alias("id"),
-            F.col("r_name").alias("gender"),
-            F.col("c_acctbal").alias("age"),
-            F.col("c_mktsegment").alias("traffic_source"),
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._within(
+            self._read("events").select(
+                F.col("event_id").alias("id"),
+                "user_id",
+                "event_type",
+                F.col("ts").alias("created_at"),
+                "value",
+            )
         )
-    )
 
+    @cached_property
+    def inventory_items(self) -> DataFrame:
+        return self._within(
+            self._read("lineitem").select(
+                F.col("l_partkey").alias("product_id"),
+                F.col("l_suppkey").alias("product_distribution_center_id"),
+                F.col("l_shipdate").alias("created_at"),
+            )
+        )
 
-def _events(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, base, "events").select(
-        F.col("event_id").alias("id"),
-        "user_id",
-        "event_type",
-        F.col("ts").alias("created_at"),
-        "value",
-    )
 
+class EventShop(OrderShop):
+    """Event view with times inside the day: sign-up events are users, purchases are orders."""
 
-def order_shop(spark: SparkSession, base: str, item_time: str = "o_orderdate") -> Shop:
-    """Commerce view. A user signs up with the first order of any status.
+    def _signups(self) -> DataFrame:
+        return (
+            self._read("events")
+            .where(F.col("event_type") == "signup")
+            .groupBy(F.col("user_id").alias("id"))
+            .agg(F.min("ts").alias("created_at"))
+        )
 
-    `item_time="l_shipdate"` gives items a time of their own, unlike their order's.
-    """
-    orders = _read(spark, base, "orders")
-    lines = _read(spark, base, "lineitem")
-    signups = orders.groupBy(F.col("o_custkey").alias("id")).agg(
-        F.min("o_orderdate").alias("created_at")
-    )
-    return Shop(
-        users=signups.join(_customers(spark, base), "id", "left"),
-        products=_read(spark, base, "part").select(
-            F.col("p_partkey").alias("id"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_name").alias("name"),
-        ),
-        orders=orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderstatus").alias("status"),
-            F.col("o_orderdate").alias("created_at"),
-        ),
-        order_items=lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("o_orderstatus").alias("status"),
-            F.col("l_extendedprice").cast(MONEY).alias("sale_price"),
-            F.col(item_time).alias("created_at"),
-            F.col("l_shipdate").alias("shipped_at"),
-        ),
-        events=_events(spark, base),
-        inventory_items=lines.select(
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("product_distribution_center_id"),
-            F.col("l_shipdate").alias("created_at"),
-        ),
-    )
-
-
-def event_shop(spark: SparkSession, base: str) -> Shop:
-    """Event view with times inside the day: sign-up events are users, purchases are orders."""
-    events = _events(spark, base)
-    signups = (
-        events.where(F.col("event_type") == "signup")
-        .groupBy(F.col("user_id").alias("id"))
-        .agg(F.min("created_at").alias("created_at"))
-    )
-    purchases = events.where(F.col("event_type") == "purchase").select(
-        F.col("id").alias("order_id"),
-        "user_id",
-        F.lit(None).cast("bigint").alias("product_id"),
-        F.lit("Complete").alias("status"),
-        F.col("value").cast(MONEY).alias("sale_price"),
-        "created_at",
-    )
-    shop = order_shop(spark, base)
-    return replace(
-        shop,
-        users=signups.join(_customers(spark, base), "id", "left"),
-        orders=purchases.select("order_id", "user_id", "status", "created_at"),
-        order_items=purchases,
-        events=events,
-    )
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self.events.where(F.col("event_type") == "purchase").select(
+            F.col("id").alias("order_id"),
+            "user_id",
+            F.lit("Complete").alias("status"),
+            F.col("value").cast(MONEY).alias("sale_price"),
+            "created_at",
+        )
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.order_items.select("order_id", "user_id", "status", "created_at")
