@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Day = str | dt.date
 
@@ -19,15 +18,13 @@ def closed_window(df: DataFrame, start: Day, end: Day, column: str = "created_at
 
     The upper bound is an instant, not a day: later rows of the last day fall out.
     """
-    at = F.col(column)
-    return df.where((at >= F.lit(_day(start).isoformat())) & (at <= F.lit(_day(end).isoformat())))
+    return df.where(f"`{column}` >= '{_day(start)}' AND `{column}` <= '{_day(end)}'")
 
 
 def day_range(df: DataFrame, start: Day, end: Day, column: str = "created_at") -> DataFrame:
     """Rows of the days `start` to `end`, the whole last day included."""
     after = _day(end) + dt.timedelta(days=1)
-    at = F.col(column)
-    return df.where((at >= F.lit(_day(start).isoformat())) & (at < F.lit(after.isoformat())))
+    return df.where(f"`{column}` >= '{_day(start)}' AND `{column}` < '{after}'")
 
 
 def calendar_year(df: DataFrame, year: int, column: str = "created_at") -> DataFrame:

@@ -11,7 +11,7 @@ from patronage.functions import calendar as cal
 from patronage.functions.values import AGE_BINS, Bins, in_list_or_known, percent
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import complete_keys, top_k
-from patronage.plans.ranks import count_values, exact_quantile
+from patronage.plans.ranks import count_values, merge_counts, quantile_summary
 
 COMPLETE = ("Complete",)
 
@@ -261,10 +261,9 @@ def first_order_basket_value(
         F.col("sale_price").isNotNull()
     )
     cents = (F.col("sale_price") * 100).cast("bigint").alias("v")
-    counts = priced.groupBy(cents).agg(F.sum("n").alias("n"))
-    total = F.sum(F.col("v").cast("decimal(38,0)") * F.col("n"))
-    return counts.agg((total.cast("double") / F.sum("n") / 100).alias("mean_price")).withColumn(
-        "median_price", exact_quantile(counts, 0.5) / 100
+    counts = merge_counts(priced.select(cents, "n"))
+    return quantile_summary(counts, {"median": 0.5}).selectExpr(
+        "CAST(total_sum AS DOUBLE) / total_n / 100 AS mean_price", "median / 100 AS median_price"
     )
 
 

@@ -45,12 +45,25 @@ class Filters:
 
 @dataclass(frozen=True)
 class Scope:
-    """Items that pass every filter, and the users and products that do."""
+    """What passes the filters: users, products, and the items of kept orders and products.
 
-    items: DataFrame
+    `sold` is not yet cut to the kept users. An analysis first sums it up to the grain it needs
+    and then asks for the buyers in scope, so a hot user is summed before the join.
+    """
+
+    sold: DataFrame
     users: DataFrame
     products: DataFrame
 
+    @property
+    def items(self) -> DataFrame:
+        """The items that pass every filter, row by row."""
+        return self.by_kept_users(self.sold)
+
+    def by_kept_users(self, df: DataFrame) -> DataFrame:
+        ids = self.users.select(F.col("id").alias("user_id"))
+        return df.join(ids, "user_id", "left_semi")
+
 
 def revenue_scope(
     users: DataFrame,
@@ -81,12 +94,10 @@ def revenue_scope(
     )
     # Broadcast or sort-merge is left to Spark, which goes by the measured size of each side
     # and splits a hot key's partition in the sort-merge case.
-    kept_items = (
-        items.join(kept_orders.select("order_id"), "order_id", "left_semi")
-        .join(kept_products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-        .join(kept_users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    sold = items.join(kept_orders.select("order_id"), "order_id", "left_semi").join(
+        kept_products.select(F.col("id").alias("product_id")), "product_id", "left_semi"
     )
-    return Scope(kept_items, kept_users, kept_products)
+    return Scope(sold, kept_users, kept_products)
 
 
 def _money(column: str = "sale_price") -> Column:
@@ -95,8 +106,8 @@ def _money(column: str = "sale_price") -> Column:
 
 def revenue_kpis(scope: Scope) -> DataFrame:
     """One row of totals and averages per user, per buyer and per order."""
-    by_order = scope.items.groupBy("user_id", "order_id").agg(_money().alias("revenue"))
-    totals = by_order.agg(
+    by_order = scope.sold.groupBy("user_id", "order_id").agg(_money().alias("revenue"))
+    totals = scope.by_kept_users(by_order).agg(
         _money("revenue").alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("user_id").alias("purchasing_users"),
@@ -113,21 +124,23 @@ def revenue_kpis(scope: Scope) -> DataFrame:
 def revenue_monthly(scope: Scope) -> DataFrame:
     """Revenue by the month of the item's own time."""
     month = cal.month_start(F.col("created_at")).alias("month")
+    by_user = scope.sold.groupBy("user_id", month).agg(_money().alias("revenue"))
     return (
-        scope.items.groupBy(month)
-        .agg(_money().alias("revenue"))
-        .where(F.col("month").isNotNull())
+        scope.by_kept_users(by_user.where(F.col("month").isNotNull()))
+        .groupBy("month")
+        .agg(_money("revenue").alias("revenue"))
         .orderBy("month")
     )
 
 
 def order_frequency(scope: Scope) -> DataFrame:
     """Users in scope per number of orders."""
-    return frequency(orders_per_user(scope.items))
+    return frequency(scope.by_kept_users(orders_per_user(scope.sold)))
 
 
 def user_revenue(scope: Scope) -> DataFrame:
-    return scope.items.groupBy("user_id").agg(_money().alias("revenue"))
+    by_user = scope.sold.where(F.col("user_id").isNotNull()).groupBy("user_id")
+    return scope.by_kept_users(by_user.agg(_money().alias("revenue")))
 
 
 def top_revenue_share(scope: Scope, fraction: float = 0.10) -> DataFrame:
@@ -135,25 +148,19 @@ def top_revenue_share(scope: Scope, fraction: float = 0.10) -> DataFrame:
     cents = (F.col("revenue") * 100).cast("bigint")
     counts = count_values(user_revenue(scope), cents)
 
-    def top_count(total: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(total * F.lit(float(fraction)))).cast("bigint")
-
     # The k-th largest revenue; all above it belong to the top, and as many equal to it as
     # are needed to make up k.
-    pick = pick_ranks(counts, {"top": lambda total: total - top_count(total) + 1})
-    k = top_count(F.col("total_n"))
-    above_n = F.col("total_n") - F.col("below_n") - F.col("value_n")
-    above = F.col("total_sum") - F.col("below_sum") - F.col("value") * F.col("value_n")
-    top = pick.select(
-        k.alias("top_count"),
-        (above + F.col("value") * (k - above_n)).alias("top_cents"),
-        F.col("total_sum").alias("total_cents"),
+    k = f"greatest(1L, CAST(ceil(total_n * {float(fraction)}D) AS BIGINT))"
+    above_n = "(total_n - below_n - value_n)"
+    above = "(total_sum - below_sum - CAST(value AS DECIMAL(38,0)) * value_n)"
+    picked = pick_ranks(counts, {"top": f"total_n - {k} + 1"}).selectExpr(
+        f"{k} AS k", f"{above} + value * ({k} - {above_n}) AS top_cents", "total_sum AS cents"
     )
     # no buyers leave no pick: one row of zeros then
-    whole = top.agg(
-        F.coalesce(F.max("top_count"), F.lit(0)).alias("top_count"),
-        (F.coalesce(F.max("top_cents"), F.lit(0)) / 100).cast(MONEY_SUM).alias("top_revenue"),
-        (F.coalesce(F.max("total_cents"), F.lit(0)) / 100).cast(MONEY_SUM).alias("total_revenue"),
+    whole = picked.agg(
+        F.expr("coalesce(max(k), 0L) AS top_count"),
+        F.expr(f"CAST(coalesce(max(top_cents), 0) / 100 AS {MONEY_SUM}) AS top_revenue"),
+        F.expr(f"CAST(coalesce(max(cents), 0) / 100 AS {MONEY_SUM}) AS total_revenue"),
     )
     share = ratio_or_zero(F.col("top_revenue"), F.col("total_revenue")) * 100
     return whole.withColumn("share_pct", share)
@@ -175,7 +182,10 @@ def _labelled_top(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
 
 
 def _product_revenue(scope: Scope) -> DataFrame:
-    return scope.items.groupBy("product_id").agg(_money().alias("revenue"))
+    by_user = scope.sold.groupBy("user_id", "product_id").agg(_money().alias("revenue"))
+    return (
+        scope.by_kept_users(by_user).groupBy("product_id").agg(_money("revenue").alias("revenue"))
+    )
 
 
 def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
@@ -191,8 +201,11 @@ def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
 def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue per distinct order within a category."""
     by_order = (
-        scope.items.groupBy("product_id", "order_id")
-        .agg(_money().alias("revenue"))
+        scope.by_kept_users(
+            scope.sold.groupBy("user_id", "product_id", "order_id").agg(
+                _money().alias("revenue")
+            )
+        )
         .join(_attributes(scope, "category"), "product_id")
         .groupBy("category", "order_id")
         .agg(_money("revenue").alias("revenue"))

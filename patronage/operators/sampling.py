@@ -30,8 +30,11 @@ def sample_rows(
     drawn = df.withColumn("_ticket", ticket).withColumn("_head", F.substring("_ticket", 1, HEAD))
     heads = drawn.groupBy("_head").agg(F.count("*").alias("rows"))
     reached = heads.select("_head", F.sum("rows").over(Window.orderBy("_head")).alias("upto"))
-    last_head = reached.where(F.col("upto") >= n).agg(F.min("_head")).scalar()
-    near = drawn.where(last_head.isNull() | (F.col("_head") <= last_head))
+    # "g" comes after every head, for when there are fewer than n rows
+    last_head = reached.where(F.col("upto") >= n).agg(
+        F.coalesce(F.min("_head"), F.lit("g"))
+    ).scalar()
+    near = drawn.where(F.col("_head") <= last_head)
     order = ["_ticket", *columns]
     copies = near.groupBy(*order).agg(F.count("*").alias("_copies")).orderBy(*order).limit(n)
     # at most n rows from here on

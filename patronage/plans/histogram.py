@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.plans.keys import complete_keys
@@ -19,37 +19,42 @@ def equal_width_histogram(counts: DataFrame, bins: int, out: str = "users") -> D
     )
     least, most = F.min("v"), F.max("v")
     half = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
+    lo, hi = least - half, most + half
     shape = values.agg(
         F.struct(
-            (least - half).alias("lo"),
-            (most + half).alias("hi"),
+            lo.alias("lo"),
+            hi.alias("hi"),
+            ((hi - lo) / bins).alias("step"),
             (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         )
     ).scalar()
-    lo, hi = shape["lo"], shape["hi"]
-    step = (hi - lo) / bins
 
-    def edge(index):
-        return lo + index * step
+    def edge(index: Column) -> Column:
+        return F.col("shape.lo") + index * F.col("shape.step")
 
-    last = F.lit(bins - 1)
-    guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins).cast("int"), last)
+    value, last = F.col("v"), F.lit(bins - 1)
+    place = (value - F.col("shape.lo")) / (F.col("shape.hi") - F.col("shape.lo")) * bins
+    shaped = values.withColumn("shape", shape).withColumn(
+        "guess", F.least(F.floor(place).cast("int"), last)
+    )
     # The edges decide, not the division: move a value the rounding put next door.
-    settled = (
-        F.when(F.col("v") < edge(guess), guess - 1)
-        .when((guess < last) & (F.col("v") >= edge(guess + 1)), guess + 1)
+    guess = F.col("guess")
+    slot = (
+        F.when(value < edge(guess), guess - 1)
+        .when((guess < last) & (value >= edge(guess + 1)), guess + 1)
         .otherwise(guess)
     )
-    filled = values.groupBy(settled.alias("slot")).agg(F.sum("n").alias(out))
-    slot = F.col("slot")
+    filled = shaped.groupBy(slot.alias("slot")).agg(F.sum("n").alias(out))
+    at = F.col("slot")
     return (
         complete_keys(filled, "slot", bins)
-        .where(lo.isNotNull())
+        .withColumn("shape", shape)
+        .where(F.col("shape.lo").isNotNull())
         .select(
-            (slot + 1).alias("bin"),
-            edge(slot).alias("lo"),
-            F.when(slot == last, hi).otherwise(edge(slot + 1)).alias("hi"),
+            (at + 1).alias("bin"),
+            edge(at).alias("lo"),
+            F.when(at == last, F.col("shape.hi")).otherwise(edge(at + 1)).alias("hi"),
             F.coalesce(F.col(out), F.lit(0)).alias(out),
-            shape["mean"].alias("mean"),
+            F.col("shape.mean").alias("mean"),
         )
     )

@@ -9,103 +9,98 @@ and there are (range / 2**20) blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
-WIDE = "decimal(38,0)"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+AMOUNT = "CAST(v AS DECIMAL(38,0)) * n"
 
 
 def count_values(df: DataFrame, value: Column) -> DataFrame:
     """Distinct non-null values `v` with their number of rows `n`."""
-    return (
-        df.select(value.cast("bigint").alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count("*").alias("n"))
-    )
+    return merge_counts(df.select(value.cast("bigint").alias("v"), F.lit(1).alias("n")))
 
 
-def _running(column: Column, window) -> Column:
-    """Sum over the rows before the current one."""
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(before), F.lit(0))
+def merge_counts(rows: DataFrame) -> DataFrame:
+    """Values `v` that stand for `n` rows each, brought together per distinct value.
 
+    Declaring `v` never null keeps later joins from adding a null check of their own, so that
+    every use of the counts has the same plan and Spark computes them once.
+    """
+    known = rows.where("v IS NOT NULL").selectExpr("coalesce(v, 0L) AS v", "n")
+    return known.groupBy("v").agg(F.sum("n").alias("n"))
 
-def pick_ranks(counts: DataFrame, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+
+def pick_ranks(counts: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
     """The value at each ascending rank (from 1), given counted values `v, n`.
 
-    `ranks` maps a name to a function of the total row count. Result, one row per name that
-    exists: `name, rank, total_n, total_sum, value, value_n, below_n, below_sum`, where
-    `below_*` cover the rows with a smaller value.
+    `ranks` maps a name to an expression over `total_n`, the number of rows. Result, one row
+    per name that exists: `name, rank, total_n, total_sum, value, value_n, below_n, below_sum`,
+    where `below_*` cover the rows with a smaller value.
     """
-    amount = F.col("v").cast(WIDE) * F.col("n")
-    blocked = counts.withColumn("block", F.shiftright("v", BLOCK_BITS))
+    blocked = counts.selectExpr("v", "n", f"shiftright(v, {BLOCK_BITS}) AS block")
     blocks = blocked.groupBy("block").agg(
-        F.sum("n").alias("block_n"), F.sum(amount).cast(WIDE).alias("block_sum")
+        F.expr("sum(n) AS block_n"),
+        F.expr(f"CAST(sum({AMOUNT}) AS DECIMAL(38,0)) AS block_sum"),
     )
-    by_block = Window.orderBy("block")
-    everything = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = blocks.select(
+    placed = blocks.selectExpr(
         "block",
         "block_n",
-        _running(F.col("block_n"), by_block).alias("before_n"),
-        _running(F.col("block_sum"), by_block).cast(WIDE).alias("before_sum"),
-        F.sum("block_n").over(everything).alias("total_n"),
-        F.sum("block_sum").over(everything).cast(WIDE).alias("total_sum"),
+        f"coalesce(sum(block_n) OVER (ORDER BY block {BEFORE}), 0) AS before_n",
+        f"CAST(coalesce(sum(block_sum) OVER (ORDER BY block {BEFORE}), 0) AS DECIMAL(38,0))"
+        " AS before_sum",
+        f"sum(block_n) OVER (ORDER BY block {ALL}) AS total_n",
+        f"CAST(sum(block_sum) OVER (ORDER BY block {ALL}) AS DECIMAL(38,0)) AS total_sum",
     )
-    wanted = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("name"),
-                rank(F.col("total_n")).cast("bigint").alias("rank"),
-            )
-            for name, rank in ranks.items()
-        )
+    wanted = ", ".join(
+        f"struct('{name}' AS name, CAST({rank} AS BIGINT) AS rank)"
+        for name, rank in ranks.items()
     )
-    targets = placed.select("*", F.inline(wanted)).where(
-        (F.col("rank") > F.col("before_n"))
-        & (F.col("rank") <= F.col("before_n") + F.col("block_n"))
+    targets = placed.selectExpr("*", f"inline(array({wanted}))").where(
+        "rank > before_n AND rank <= before_n + block_n"
     )
-    in_block = Window.partitionBy("name").orderBy("v")
     # one row per requested rank: the bound on what is broadcast
     return (
         blocked.join(F.broadcast(targets), "block")
-        .select(
+        .selectExpr(
             "name",
             "rank",
             "total_n",
             "total_sum",
-            F.col("v").alias("value"),
-            F.col("n").alias("value_n"),
-            (F.col("before_n") + _running(F.col("n"), in_block)).alias("below_n"),
-            (F.col("before_sum") + _running(amount, in_block)).cast(WIDE).alias("below_sum"),
-        )
-        .where(
-            (F.col("rank") > F.col("below_n"))
-            & (F.col("rank") <= F.col("below_n") + F.col("value_n"))
+            "v AS value",
+            "n AS value_n",
+            f"before_n + coalesce(sum(n) OVER (PARTITION BY name ORDER BY v {BEFORE}), 0)"
+            " AS below_n",
+            f"CAST(before_sum + coalesce(sum({AMOUNT}) OVER"
+            f" (PARTITION BY name ORDER BY v {BEFORE}), 0) AS DECIMAL(38,0)) AS below_sum",
         )
+        .where("rank > below_n AND rank <= below_n + value_n")
     )
 
 
-def exact_quantile(counts: DataFrame, q: float) -> Column:
-    """The q-quantile of counted values, linear between neighbours, as a scalar column."""
-
-    def place(total: Column) -> Column:
-        return (total - 1) * F.lit(float(q))
-
-    picks = pick_ranks(
-        counts,
-        {
-            "low": lambda total: F.floor(place(total)) + 1,
-            "high": lambda total: F.ceil(place(total)) + 1,
-        },
-    )
-    low, high = (
-        F.max(F.when(F.col("name") == name, F.col("value"))).cast("double")
-        for name in ("low", "high")
+def quantile_summary(counts: DataFrame, quantiles: Mapping[str, float]) -> DataFrame:
+    """One row: `total_n`, `total_sum` and a column per quantile, linear between neighbours."""
+    ranks = {}
+    for name, q in quantiles.items():
+        ranks[f"{name}_low"] = f"floor((total_n - 1) * {float(q)}D) + 1"
+        ranks[f"{name}_high"] = f"ceil((total_n - 1) * {float(q)}D) + 1"
+
+    def picked(name: str) -> str:
+        return f"CAST(max(value) FILTER (WHERE name = '{name}') AS DOUBLE)"
+
+    columns = [
+        f"{picked(f'{name}_low')}"
+        f" + ({picked(f'{name}_high')} - {picked(f'{name}_low')})"
+        f" * ((max(total_n) - 1) * {float(q)}D - floor((max(total_n) - 1) * {float(q)}D))"
+        f" AS {name}"
+        for name, q in quantiles.items()
+    ]
+    return pick_ranks(counts, ranks).agg(
+        F.max("total_n").alias("total_n"),
+        F.max("total_sum").alias("total_sum"),
+        *map(F.expr, columns),
     )
-    at = place(F.max("total_n"))
-    return picks.agg(low + (high - low) * (at - F.floor(at))).scalar()
