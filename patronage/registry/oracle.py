@@ -41,7 +41,8 @@ def commerce(span: Span, item_time: str = "o_orderdate") -> str:
     return f"""WITH {PEOPLE},
 usr AS (
   SELECT s.id, s.created_at, p.traffic_source, p.gender, p.age
-  FROM (SELECT o_custkey AS id, min(o_orderdate) AS created_at FROM orders GROUP BY 1) s
+  FROM (SELECT o_custkey AS id, min(o_orderdate) AS created_at FROM orders
+        WHERE o_custkey IS NOT NULL GROUP BY 1) s
   LEFT JOIN people p ON p.id = s.id
   WHERE {_between("s.created_at", span)}
 ),
@@ -67,7 +68,7 @@ def event_log() -> str:
 usr AS (
   SELECT s.id, s.created_at, p.traffic_source, p.gender, p.age
   FROM (SELECT user_id AS id, min(ts) AS created_at FROM events
-        WHERE event_type = 'signup' GROUP BY 1) s
+        WHERE event_type = 'signup' AND user_id IS NOT NULL GROUP BY 1) s
   LEFT JOIN people p ON p.id = s.id
   WHERE {_between("s.created_at", EVENT_DATES)}
 ),
@@ -103,9 +104,15 @@ def _gap(grain: str, a: str, b: str) -> str:
     return f"CAST({GAP[grain].format(a=a, b=b)} AS INTEGER)"
 
 
-def _cells(head: str, grain: str, rows: str = "itm", where: str = "status = 'F'") -> str:
+EXACT = "status = 'F'"
+LOWER = "lower(status) = 'f'"
+TRIM_LOWER = "lower(trim(status)) = 'f'"
+
+
+def _cells(head: str, grain: str, rows: str = "itm", where: str = EXACT) -> str:
     return f"""{head},
-act AS (SELECT user_id, {PERIOD[grain]} AS period FROM {rows} WHERE {where}),
+act AS (SELECT user_id, {PERIOD[grain]} AS period FROM {rows}
+        WHERE {where} AND user_id IS NOT NULL),
 fst AS (SELECT user_id, min(period) AS cohort FROM act GROUP BY user_id),
 siz AS (SELECT cohort, count(*) AS cohort_size FROM fst GROUP BY cohort),
 cel AS (
@@ -126,7 +133,7 @@ def _dense(head: str, grain: str, max_age: int, keep: str = "TRUE") -> str:
     week_index = ""
     if grain == "week":
         week_index = "CAST(date_diff('day', DATE '1970-01-05', cohort) // 7 AS INTEGER) AS week_index,"
-    return f"""{_cells(head, grain)},
+    return f"""{_cells(head, grain, where=TRIM_LOWER)},
 lst AS (SELECT max(period) AS last_period FROM act),
 grd AS (
   SELECT siz.cohort, cohort_size, CAST(a.age AS INTEGER) AS age
@@ -155,7 +162,8 @@ def _pivot(cells: str, grain: str, ages, label: bool) -> str:
 
 def _repeat_monthly(head: str, year: int) -> str:
     return f"""{head},
-act AS (SELECT DISTINCT user_id, {PERIOD["month"]} AS period FROM itm WHERE status = 'F'),
+act AS (SELECT DISTINCT user_id, {PERIOD["month"]} AS period FROM itm
+        WHERE {TRIM_LOWER} AND user_id IS NOT NULL),
 mon AS (
   SELECT period AS order_month,
          count(*) FILTER (EXISTS (SELECT 1 FROM act e
@@ -168,7 +176,7 @@ mon AS (
 
 def _weekday_cells(head: str, span: Span) -> str:
     rows = (
-        f"lower(status) = 'f' AND created_at >= TIMESTAMP '{span[0]}'"
+        f"{LOWER} AND created_at >= TIMESTAMP '{span[0]}'"
         f" AND created_at < TIMESTAMP '{span[1]}' + INTERVAL 1 DAY"
     )
     return f"""{_cells(head, "day", where=rows)},
@@ -291,8 +299,10 @@ vals AS (SELECT CAST(sum(sale_price) AS DOUBLE) AS v FROM sco GROUP BY user_id),
 
 
 def _topk(scope: str, key: str, value: str, name: str) -> str:
-    return f"""{scope}
-SELECT {key}, round({value}, 6) AS {name}, {key} AS label
+    return rf"""{scope}
+SELECT {key}, round({value}, 6) AS {name},
+       CASE WHEN length({key}) <= 25 THEN {key}
+            ELSE regexp_extract({key}, '^(.{{0,21}}\S) ', 1) || '...' END AS label
 FROM sco WHERE {key} IS NOT NULL GROUP BY {key} ORDER BY {name} DESC, {key} LIMIT 10"""
 
 
@@ -423,7 +433,8 @@ FROM fit GROUP BY category ORDER BY users DESC, category LIMIT 5"""
 def _frequency(rows: str) -> str:
     return f"""{rows}
 SELECT num_orders, count(*) AS users
-FROM (SELECT user_id, count(DISTINCT order_id) AS num_orders FROM src GROUP BY user_id)
+FROM (SELECT user_id, count(DISTINCT order_id) AS num_orders FROM src
+      WHERE user_id IS NOT NULL GROUP BY user_id)
 GROUP BY num_orders"""
 
 
@@ -441,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "purchase_frequency": _frequency(_complete_items(shop)),
         "purchase_counts_by_user": f"""{shop}
 SELECT user_id, count(DISTINCT order_id) AS num_orders
-FROM itm WHERE status IN ('F', 'O', 'P') GROUP BY user_id""",
+FROM itm WHERE status IN ('F', 'O', 'P') AND user_id IS NOT NULL GROUP BY user_id""",
         "cohort_monthly_sparse": _sparse(shop),
         "cohort_monthly_by_category": _sparse(shop, rows=category),
         "cohort_monthly_dense": month_dense,

@@ -250,7 +250,6 @@ EVENT_LOG: dict[str, Callable[[OrderShop], DataFrame]] = {
     ),
     "ttfp_summary_evt": lambda s: act.ttfp_summary(_users(s), s.orders),
     "ttfp_histogram_evt": lambda s: act.ttfp_histogram(_users(s), s.orders, 20),
-    "sample_events": lambda s: smp.sample_events(s.events, 2024, SAMPLE_ROWS, 42, ["id"]),
 }
 
 
@@ -272,6 +271,10 @@ def queries() -> dict[str, Query]:
     )
     # Users who signed up before the year have left the scope by then.
     found["revenue_kpis_1996"] = _query(_commerce(YEAR_1996), COMMERCE["revenue_kpis"])
+    found["sample_events"] = _query(
+        _commerce(None),
+        lambda s: smp.sample_events(s.events, 2024, SAMPLE_ROWS, 42, ["id"]),
+    )
     # Table sizes are those of the tables as they are, outside any window.
     found["table_summary"] = _query(
         _commerce(None), lambda s: ovw.table_summary(_tables(s))

@@ -83,6 +83,7 @@ class OrderShop:
     def _signups(self) -> DataFrame:
         return (
             self._read("orders")
+            .where("o_custkey IS NOT NULL")
             .groupBy(F.col("o_custkey").alias("id"))
             .agg(F.min("o_orderdate").alias("created_at"))
         )
@@ -156,7 +157,7 @@ class EventShop(OrderShop):
     def _signups(self) -> DataFrame:
         return (
             self._read("events")
-            .where(F.col("event_type") == "signup")
+            .where("event_type = 'signup' AND user_id IS NOT NULL")
             .groupBy(F.col("user_id").alias("id"))
             .agg(F.min("ts").alias("created_at"))
         )
