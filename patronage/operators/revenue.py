@@ -45,13 +45,14 @@ class Filters:
 
 @dataclass(frozen=True)
 class Scope:
-    """What passes the filters: users, products, and the items of kept orders and products.
+    """What passes the filters: users, products, and the items of kept orders.
 
-    `sold` is not yet cut to the kept users. An analysis first sums it up to the grain it needs
-    and then asks for the buyers in scope, so a hot user is summed before the join.
+    `ordered` is not yet cut to the kept products and users. An analysis joins the products,
+    sums up to the grain it needs and only then asks for the buyers in scope, so that a hot
+    user is summed before that join.
     """
 
-    sold: DataFrame
+    ordered: DataFrame
     users: DataFrame
     products: DataFrame
 
@@ -60,6 +61,19 @@ class Scope:
         """The items that pass every filter, row by row."""
         return self.by_kept_users(self.sold)
 
+    @property
+    def sold(self) -> DataFrame:
+        """Items of kept orders and products."""
+        ids = self.products.select(F.col("id").alias("product_id"))
+        return self.ordered.join(ids, "product_id", "left_semi")
+
+    def sold_with(self, attribute: str) -> DataFrame:
+        """`sold` with a product attribute, for one join instead of two."""
+        known = self.products.where(F.col(attribute).isNotNull())
+        return self.ordered.join(
+            known.select(F.col("id").alias("product_id"), attribute), "product_id"
+        )
+
     def by_kept_users(self, df: DataFrame) -> DataFrame:
         ids = self.users.select(F.col("id").alias("user_id"))
         return df.join(ids, "user_id", "left_semi")
@@ -94,10 +108,8 @@ def revenue_scope(
     )
     # Broadcast or sort-merge is left to Spark, which goes by the measured size of each side
     # and splits a hot key's partition in the sort-merge case.
-    sold = items.join(kept_orders.select("order_id"), "order_id", "left_semi").join(
-        kept_products.select(F.col("id").alias("product_id")), "product_id", "left_semi"
-    )
-    return Scope(sold, kept_users, kept_products)
+    ordered = items.join(kept_orders.select("order_id"), "order_id", "left_semi")
+    return Scope(ordered, kept_users, kept_products)
 
 
 def _money(column: str = "sale_price") -> Column:
@@ -173,56 +185,30 @@ def customer_revenue_histogram(scope: Scope, bins: int = 15) -> DataFrame:
     return equal_width_histogram(counts, bins)
 
 
-def _attributes(scope: Scope, *names: str) -> DataFrame:
-    return scope.products.select(F.col("id").alias("product_id"), *names)
+def _revenue_by(scope: Scope, *keys: str) -> DataFrame:
+    """Revenue by product attribute, and order if asked for, of the buyers in scope."""
+    by_user = scope.sold_with(keys[0]).groupBy("user_id", *keys).agg(_money().alias("revenue"))
+    return scope.by_kept_users(by_user).groupBy(*keys).agg(_money("revenue").alias("revenue"))
 
 
 def _labelled_top(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
     return top_k(df, k, by, key).withColumn("label", shorten(F.col(key)))
 
 
-def _product_revenue(scope: Scope) -> DataFrame:
-    by_user = scope.sold.groupBy("user_id", "product_id").agg(_money().alias("revenue"))
-    return (
-        scope.by_kept_users(by_user).groupBy("product_id").agg(_money("revenue").alias("revenue"))
-    )
-
-
 def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
-    by_category = (
-        _product_revenue(scope)
-        .join(_attributes(scope, "category"), "product_id")
-        .groupBy("category")
-        .agg(_money("revenue").alias("revenue"))
-    )
-    return _labelled_top(by_category, k, "revenue", "category")
+    return _labelled_top(_revenue_by(scope, "category"), k, "revenue", "category")
 
 
 def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue per distinct order within a category."""
-    by_order = (
-        scope.by_kept_users(
-            scope.sold.groupBy("user_id", "product_id", "order_id").agg(
-                _money().alias("revenue")
-            )
-        )
-        .join(_attributes(scope, "category"), "product_id")
-        .groupBy("category", "order_id")
-        .agg(_money("revenue").alias("revenue"))
-    )
-    by_category = by_order.groupBy("category").agg(
-        ratio(_money("revenue"), F.count("order_id")).alias("aov")
+    by_category = (
+        _revenue_by(scope, "category", "order_id")
+        .groupBy("category")
+        .agg(ratio(_money("revenue"), F.count("order_id")).alias("aov"))
     )
     return _labelled_top(by_category.where(F.col("aov").isNotNull()), k, "aov", "category")
 
 
 def product_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue by product name; products of one name count together."""
-    by_name = (
-        _product_revenue(scope)
-        .join(_attributes(scope, "name"), "product_id")
-        .where(F.col("name").isNotNull())
-        .groupBy("name")
-        .agg(_money("revenue").alias("revenue"))
-    )
-    return _labelled_top(by_name, k, "revenue", "name")
+    return _labelled_top(_revenue_by(scope, "name"), k, "revenue", "name")

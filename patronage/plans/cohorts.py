@@ -53,28 +53,25 @@ def active_periods(items: DataFrame, grain: Grain) -> DataFrame:
     return periods.withColumn("cohort", first)
 
 
-def cohort_cells(
-    items: DataFrame,
-    grain: Grain,
-    keep_cohort: Column | None = None,
-    max_age: int | None = None,
-) -> DataFrame:
-    """Observed cells: `cohort, age, active_users, cohort_size, retention`.
+def _aged_periods(items: DataFrame, grain: Grain) -> DataFrame:
+    age = grain.gap(F.col("period"), F.col("cohort"))
+    return active_periods(items, grain).withColumn("age", age)
 
-    Everyone is active at age 0, so that cell is the cohort's size.
-    """
-    periods = active_periods(items, grain).withColumn(
-        "age", grain.gap(F.col("period"), F.col("cohort"))
-    )
-    if keep_cohort is not None:
-        periods = periods.where(keep_cohort)
-    if max_age is not None:
-        periods = periods.where(F.col("age").between(0, max_age))
-    cells = periods.groupBy("cohort", "age").agg(F.count("*").alias("active_users"))
+
+def _sized(cells: DataFrame) -> DataFrame:
+    """Everyone is active at age 0, so that cell is the cohort's size."""
     size = F.max(F.when(F.col("age") == 0, F.col("active_users")))
-    return _with_retention(
-        cells.withColumn("cohort_size", size.over(Window.partitionBy("cohort")))
+    return cells.withColumn("cohort_size", size.over(Window.partitionBy("cohort")))
+
+
+def cohort_cells(items: DataFrame, grain: Grain) -> DataFrame:
+    """Observed cells: `cohort, age, active_users, cohort_size, retention`."""
+    cells = (
+        _aged_periods(items, grain)
+        .groupBy("cohort", "age")
+        .agg(F.count("*").alias("active_users"))
     )
+    return _with_retention(_sized(cells))
 
 
 def dense_cells(
@@ -85,19 +82,33 @@ def dense_cells(
 ) -> DataFrame:
     """Every cell from age 0 to `max_age` that could have been observed, zeros included.
 
-    The horizon is the last period over all the input rows, whatever cohorts are kept.
+    The horizon is the last period over all the input rows, whatever cohorts are kept. To
+    learn it from the same pass, rows of no interest go into one cell without a cohort.
     """
-    horizon = _dated(items).agg(F.max(grain.start(F.col("created_at")))).scalar()
-    found = cohort_cells(items, grain, keep_cohort, max_age)
-    last_age = F.least(F.lit(max_age), grain.gap(horizon, F.col("cohort")))
-    # The age-0 cell of a cohort stands for all its ages, every other cell for its own.
-    ages = F.when(F.col("own_age") == 0, F.sequence(F.lit(0), F.col("last_age"))).otherwise(
-        F.array("own_age")
+    kept = F.col("age").between(0, max_age)
+    if keep_cohort is not None:
+        kept = kept & keep_cohort
+    cells = (
+        _aged_periods(items, grain)
+        .withColumn("kept", kept)
+        .groupBy(
+            F.when(F.col("kept"), F.col("cohort")).alias("cohort"),
+            F.when(F.col("kept"), F.col("age")).alias("age"),
+        )
+        .agg(F.count("*").alias("active_users"), F.max("period").alias("last_period"))
     )
-    spread = (
-        found.withColumn("last_age", last_age)
-        .withColumnRenamed("age", "own_age")
-        .select("cohort", "cohort_size", "own_age", "active_users", F.explode(ages).alias("age"))
+    # The window over everything sees kept cohorts x (max_age + 1) cells and the one without.
+    horizon = F.max("last_period").over(Window.partitionBy())
+    found = _sized(cells.withColumn("horizon", horizon)).where(F.col("cohort").isNotNull())
+    # The age-0 cell of a cohort stands for all its ages, every other cell for its own.
+    last_age = F.least(F.lit(max_age), grain.gap(F.col("horizon"), F.col("cohort")))
+    ages = F.when(F.col("age") == 0, F.sequence(F.lit(0), last_age)).otherwise(F.array("age"))
+    spread = found.select(
+        "cohort",
+        "cohort_size",
+        "active_users",
+        F.col("age").alias("own_age"),
+        F.explode(ages).alias("age"),
     )
     active = F.when(F.col("age") == F.col("own_age"), F.col("active_users")).otherwise(F.lit(0))
     return _with_retention(

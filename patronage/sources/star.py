@@ -66,17 +66,19 @@ class OrderShop:
         return closed_window(df, *self._span) if self._span else df
 
     def _customers(self) -> DataFrame:
-        nations = self._read("nation")
-        regions = self._read("region")
+        # Grouped by nation, the names are known to be unique: where no analysis asks for them,
+        # Spark leaves the join out.
+        regions = (
+            self._read("nation")
+            .join(self._read("region"), F.expr("n_regionkey = r_regionkey"), "left")
+            .groupBy("n_nationkey")
+            .agg(F.max("r_name").alias("gender"))
+        )
         return (
             self._read("customer")
-            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .select(
-                F.col("c_custkey").alias("id"),
-                F.col("r_name").alias("gender"),
-                F.col("c_acctbal").alias("age"),
-                F.col("c_mktsegment").alias("traffic_source"),
+            .join(regions, F.expr("c_nationkey = n_nationkey"), "left")
+            .selectExpr(
+                "c_custkey AS id", "gender", "c_acctbal AS age", "c_mktsegment AS traffic_source"
             )
         )
 
@@ -84,8 +86,8 @@ class OrderShop:
         return (
             self._read("orders")
             .where("o_custkey IS NOT NULL")
-            .groupBy(F.col("o_custkey").alias("id"))
-            .agg(F.min("o_orderdate").alias("created_at"))
+            .groupBy(F.expr("o_custkey AS id"))
+            .agg(F.expr("min(o_orderdate) AS created_at"))
         )
 
     @cached_property
@@ -94,21 +96,18 @@ class OrderShop:
 
     @cached_property
     def products(self) -> DataFrame:
-        return self._read("part").select(
-            F.col("p_partkey").alias("id"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_name").alias("name"),
+        return self._read("part").selectExpr(
+            "p_partkey AS id", "p_type AS category", "p_brand AS brand", "p_name AS name"
         )
 
     @cached_property
     def orders(self) -> DataFrame:
         return self._within(
-            self._read("orders").select(
-                F.col("o_orderkey").alias("order_id"),
-                F.col("o_custkey").alias("user_id"),
-                F.col("o_orderstatus").alias("status"),
-                F.col("o_orderdate").alias("created_at"),
+            self._read("orders").selectExpr(
+                "o_orderkey AS order_id",
+                "o_custkey AS user_id",
+                "o_orderstatus AS status",
+                "o_orderdate AS created_at",
             )
         )
 
@@ -117,36 +116,32 @@ class OrderShop:
         lines = self._read("lineitem")
         orders = self._read("orders")
         return self._within(
-            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("o_custkey").alias("user_id"),
-                F.col("l_partkey").alias("product_id"),
-                F.col("o_orderstatus").alias("status"),
-                F.col("l_extendedprice").cast(MONEY).alias("sale_price"),
-                F.col(self._item_time).alias("created_at"),
-                F.col("l_shipdate").alias("shipped_at"),
+            lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+                "l_orderkey AS order_id",
+                "o_custkey AS user_id",
+                "l_partkey AS product_id",
+                "o_orderstatus AS status",
+                f"CAST(l_extendedprice AS {MONEY.simpleString()}) AS sale_price",
+                f"{self._item_time} AS created_at",
+                "l_shipdate AS shipped_at",
             )
         )
 
     @cached_property
     def events(self) -> DataFrame:
         return self._within(
-            self._read("events").select(
-                F.col("event_id").alias("id"),
-                "user_id",
-                "event_type",
-                F.col("ts").alias("created_at"),
-                "value",
+            self._read("events").selectExpr(
+                "event_id AS id", "user_id", "event_type", "ts AS created_at", "value"
             )
         )
 
     @cached_property
     def inventory_items(self) -> DataFrame:
         return self._within(
-            self._read("lineitem").select(
-                F.col("l_partkey").alias("product_id"),
-                F.col("l_suppkey").alias("product_distribution_center_id"),
-                F.col("l_shipdate").alias("created_at"),
+            self._read("lineitem").selectExpr(
+                "l_partkey AS product_id",
+                "l_suppkey AS product_distribution_center_id",
+                "l_shipdate AS created_at",
             )
         )
 
@@ -158,17 +153,17 @@ class EventShop(OrderShop):
         return (
             self._read("events")
             .where("event_type = 'signup' AND user_id IS NOT NULL")
-            .groupBy(F.col("user_id").alias("id"))
-            .agg(F.min("ts").alias("created_at"))
+            .groupBy(F.expr("user_id AS id"))
+            .agg(F.expr("min(ts) AS created_at"))
         )
 
     @cached_property
     def order_items(self) -> DataFrame:
-        return self.events.where(F.col("event_type") == "purchase").select(
-            F.col("id").alias("order_id"),
+        return self.events.where(F.col("event_type") == "purchase").selectExpr(
+            "id AS order_id",
             "user_id",
-            F.lit("Complete").alias("status"),
-            F.col("value").cast(MONEY).alias("sale_price"),
+            "'Complete' AS status",
+            f"CAST(value AS {MONEY.simpleString()}) AS sale_price",
             "created_at",
         )
 
