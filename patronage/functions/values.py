@@ -48,16 +48,29 @@ class Bins:
         if len(self.labels) != len(self.edges) - 1:
             raise ValueError("there must be one label fewer than edges")
 
-    def label(self, value: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for low, high, name in zip(self.edges, self.edges[1:], self.labels):
-            found = F.when((value >= low) & (value < high), F.lit(name)).otherwise(found)
-        return found
-
-    def ordinal_map(self) -> Column:
-        """label -> position, for ordering the few grouped rows."""
-        pairs = [F.lit(x) for i, name in enumerate(self.labels) for x in (name, i)]
-        return F.create_map(*pairs)
+    def label(self, column: str) -> Column:
+        return F.get(F.array(*map(F.lit, self.labels)), self.position(column))
+
+    def position(self, column: str) -> Column:
+        """Which bin a column's value falls into, from 0; null outside."""
+        arms = " ".join(
+            f"WHEN `{column}` >= {low} AND `{column}` < {high} THEN {i}"
+            for i, (low, high) in enumerate(zip(self.edges, self.edges[1:]))
+        )
+        return F.expr(f"CASE {arms} END")
+
+    def within(self, column: str, labels: Sequence[str] | None = None) -> Column:
+        """Whether a value falls into any bin, or one of those named.
+
+        Written as ranges, so that it can be pushed down to the scan.
+        """
+        if labels is None:
+            return F.expr(f"`{column}` >= {self.edges[0]} AND `{column}` < {self.edges[-1]}")
+        chosen = [i for i, name in enumerate(self.labels) if name in set(labels)]
+        ranges = (
+            f"(`{column}` >= {self.edges[i]} AND `{column}` < {self.edges[i + 1]})" for i in chosen
+        )
+        return F.expr(" OR ".join(ranges) or "FALSE")
 
 
 # Age edges and their names.

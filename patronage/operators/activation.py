@@ -31,34 +31,33 @@ def signed_up(
     return kept
 
 
-def _first_orders(orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
-    """Earliest order of each buyer; of two at the same time, the smaller id.
-
-    A minimum per user is taken on the map side already, so no buyer is too large.
-    """
+def _bought(orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
     wanted = F.col("status").isin(list(statuses))
-    known = F.col("user_id").isNotNull() & F.col("created_at").isNotNull()
-    first = F.min(F.struct("created_at", "order_id"))
-    return (
-        orders.where(wanted & known)
-        .groupBy("user_id")
-        .agg(first.alias("first"))
-        .select("user_id", "first.order_id", "first.created_at")
-    )
+    return orders.where(wanted & F.expr("user_id IS NOT NULL AND created_at IS NOT NULL"))
 
 
 def first_order(
     users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
-    """`user_id, order_id, created_at` of the first order of each of the given users."""
+    """`user_id, order_id, created_at` of the first order of each of the given users.
+
+    Of two orders at the same time the smaller id is first. The minimum per user is taken on
+    the map side already, so no buyer is too large.
+    """
+    first = F.min(F.struct("created_at", "order_id")).alias("first")
+    firsts = _bought(orders, statuses).groupBy("user_id").agg(first)
     ids = users.select(F.col("id").alias("user_id"))
-    return _first_orders(orders, statuses).join(ids, "user_id", "left_semi")
+    return firsts.select("user_id", "first.order_id", "first.created_at").join(
+        ids, "user_id", "left_semi"
+    )
 
 
 def _with_first(users: DataFrame, orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """Users with `first_at`, null for those who never bought."""
-    first = _first_orders(orders, statuses).select(
-        F.col("user_id").alias("id"), F.col("created_at").alias("first_at")
+    first = (
+        _bought(orders, statuses)
+        .groupBy(F.col("user_id").alias("id"))
+        .agg(F.min("created_at").alias("first_at"))
     )
     return users.join(first, "id", "left")
 
@@ -151,9 +150,7 @@ def activation_by(
 def _binned(
     users: DataFrame, orders: DataFrame, bins: Bins, statuses: Sequence[str]
 ) -> DataFrame:
-    label = bins.label(F.col("age"))
-    position = F.try_element_at(bins.ordinal_map(), label)
-    return _with_first(users, orders, statuses).withColumn("bin", position)
+    return _with_first(users, orders, statuses).withColumn("bin", bins.position("age"))
 
 
 def _bin_name(bins: Bins):

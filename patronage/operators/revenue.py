@@ -97,7 +97,7 @@ def revenue_scope(
     if f.months is not None:
         kept_orders = kept_orders.where(F.month("created_at").isin(list(f.months)))
     kept_users = users.where(
-        in_list_or_known(f.age_bins.label(F.col("age")), f.age_groups)
+        f.age_bins.within("age", f.age_groups)
         & in_list_or_known(F.col("traffic_source"), f.traffic_sources)
     )
     if f.gender is not None:

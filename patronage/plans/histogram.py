@@ -14,18 +14,18 @@ def equal_width_histogram(counts: DataFrame, bins: int, out: str = "users") -> D
     Bins are numbered from 1 and closed below; the last is closed above as well. A single
     distinct value is widened by half a unit both ways. No values, no rows.
     """
-    values = counts.select(F.col("v").cast("double").alias("v"), "n").where(
-        F.col("v").isNotNull()
-    )
-    least, most = F.min("v"), F.max("v")
+    known = counts.where("v IS NOT NULL")
+    least, most = (end.cast("double") for end in (F.min("v"), F.max("v")))
     half = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
     lo, hi = least - half, most + half
-    shape = values.agg(
+    # the sum is taken in the values' own type: exact for money and days
+    total = F.sum(F.col("v") * F.col("n")).cast("double")
+    shape = known.agg(
         F.struct(
             lo.alias("lo"),
             hi.alias("hi"),
             ((hi - lo) / bins).alias("step"),
-            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+            (total / F.sum("n")).alias("mean"),
         )
     ).scalar()
 
@@ -34,6 +34,7 @@ def equal_width_histogram(counts: DataFrame, bins: int, out: str = "users") -> D
 
     value, last = F.col("v"), F.lit(bins - 1)
     place = (value - F.col("shape.lo")) / (F.col("shape.hi") - F.col("shape.lo")) * bins
+    values = known.select(value.cast("double").alias("v"), "n")
     shaped = values.withColumn("shape", shape).withColumn(
         "guess", F.least(F.floor(place).cast("int"), last)
     )
