@@ -139,12 +139,30 @@ def activation_monthly(
 
 
 def activation_by(
-    users: DataFrame, orders: DataFrame, dimension: str, statuses: Sequence[str] = COMPLETE
+    users: DataFrame,
+    orders: DataFrame,
+    dimension: str,
+    statuses: Sequence[str] = COMPLETE,
+    best_first: bool = True,
 ) -> DataFrame:
-    """Users and buyers by any user attribute, best rate first; unknown values left out."""
+    """Users and buyers by any user attribute; unknown values left out."""
     known = users.where(F.col(dimension).isNotNull())
     rates = _with_rate(_rates(_with_first(known, orders, statuses), dimension))
-    return rates.orderBy(F.col("activation_rate").desc(), dimension)
+    order = [F.col("activation_rate").desc()] if best_first else []
+    return rates.orderBy(*order, dimension)
+
+
+def activation_by_gender(
+    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+) -> DataFrame:
+    return activation_by(users, orders, "gender", statuses, best_first=False)
+
+
+def activation_by_channel(
+    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+) -> DataFrame:
+    """By traffic source, the best rate first."""
+    return activation_by(users, orders, "traffic_source", statuses)
 
 
 def _binned(
@@ -231,34 +249,29 @@ def activation_age_pivot(long: DataFrame, bins: Bins = AGE_BINS) -> DataFrame:
     return wide.agg(F.first("activation_rate"))
 
 
-def first_order_items(
-    first: DataFrame, items: DataFrame, products: DataFrame, categories: Sequence[str] | None = None
-) -> DataFrame:
-    """Items of the first orders in the chosen categories; no choice means every known one.
+def _of_first_orders(first: DataFrame, items: DataFrame) -> DataFrame:
+    return items.join(first.select("order_id"), "order_id", "left_semi")
 
-    Rows stand for `n` equal items: they are counted per order, product and price before
-    they meet the products.
-    """
-    bought = (
-        items.join(first.select("order_id"), "order_id", "left_semi")
-        .groupBy("user_id", "product_id", "sale_price")
-        .agg(F.count("*").alias("n"))
-    )
-    chosen = products.where(in_list_or_known(F.col("category"), categories)).select(
-        F.col("id").alias("product_id"), "category"
-    )
-    return bought.join(chosen, "product_id")
+
+def _with_category(
+    df: DataFrame, products: DataFrame, categories: Sequence[str] | None
+) -> DataFrame:
+    """Rows of products in the chosen categories; no choice means every known one."""
+    chosen = products.where(in_list_or_known(F.col("category"), categories))
+    return df.join(chosen.select(F.col("id").alias("product_id"), "category"), "product_id")
 
 
 def first_order_basket_value(
     first: DataFrame, items: DataFrame, products: DataFrame, categories: Sequence[str] | None = None
 ) -> DataFrame:
-    """Mean and median price of the items in first orders."""
-    priced = first_order_items(first, items, products, categories).where(
-        F.col("sale_price").isNotNull()
-    )
+    """Mean and median price of the items in first orders, both exact.
+
+    Items are counted per product and price before they meet the products.
+    """
+    priced = _of_first_orders(first, items).where(F.col("sale_price").isNotNull())
+    by_price = priced.groupBy("product_id", "sale_price").agg(F.count("*").alias("n"))
     cents = (F.col("sale_price") * 100).cast("bigint").alias("v")
-    counts = merge_counts(priced.select(cents, "n"))
+    counts = merge_counts(_with_category(by_price, products, categories).select(cents, "n"))
     return quantile_summary(counts, {"median": 0.5}).selectExpr(
         "CAST(total_sum AS DOUBLE) / total_n / 100 AS mean_price", "median / 100 AS median_price"
     )
@@ -272,11 +285,8 @@ def first_order_top_categories(
     categories: Sequence[str] | None = None,
 ) -> DataFrame:
     """Categories by the number of users who have them in their first order."""
-    users = (
-        first_order_items(first, items, products, categories)
-        .where(F.col("user_id").isNotNull())
-        .select("category", "user_id")
-        .distinct()
-    )
+    bought = _of_first_orders(first, items).where(F.col("user_id").isNotNull())
+    pairs = bought.select("user_id", "product_id").distinct()
+    users = _with_category(pairs, products, categories).select("category", "user_id").distinct()
     counted = users.groupBy("category").agg(F.count("*").alias("users"))
     return top_k(counted, k, "users", "category")

@@ -22,6 +22,11 @@ def table_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, sizes)
 
 
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """A few rows to look at, whichever come first."""
+    return df.limit(n)
+
+
 def status_counts(orders: DataFrame) -> DataFrame:
     """Orders per status, most frequent first; unknown status left out."""
     return (

@@ -54,10 +54,13 @@ def repeat_purchaser_monthly(
 ) -> DataFrame:
     """Buyers of each month and how many of them had bought in an earlier month.
 
-    The year is cut out after first months are known, so earlier purchases still count.
+    The year is cut out after first months are known, so earlier purchases still count. A table
+    without a status counts as completed.
     """
-    require_columns(items, ("user_id", "created_at", "status"), "order items")
-    active = active_periods(items.where(status_is(F.col("status"), status, normalize)), MONTH)
+    require_columns(items, ("user_id", "created_at"), "order items")
+    if "status" in items.columns:
+        items = items.where(status_is(F.col("status"), status, normalize))
+    active = active_periods(items, MONTH)
     if year is not None:
         active = active.where(F.year("period") == year)
     returning = (F.col("cohort") < F.col("period")).cast("int")

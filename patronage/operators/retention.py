@@ -14,11 +14,16 @@ from patronage.plans.cohorts import DAY, MONTH, WEEK, Grain, cohort_cells, dense
 from patronage.schemas import require_columns
 
 COMPLETE = "Complete"
-NEEDED = ("user_id", "created_at", "status")
 
 
-def _complete(items: DataFrame, status: str, normalize: str) -> DataFrame:
-    require_columns(items, NEEDED, "order items")
+def _complete(
+    items: DataFrame, status: str, normalize: str, status_optional: bool = False
+) -> DataFrame:
+    """Completed items. Where the status is optional, a table without one counts as completed."""
+    require_columns(items, ("user_id", "created_at"), "order items")
+    if status_optional and "status" not in items.columns:
+        return items
+    require_columns(items, ("status",), "order items")
     return items.where(status_is(F.col("status"), status, normalize))
 
 
@@ -56,7 +61,8 @@ def cohort_monthly_dense(
     normalize: str = "trim_lower",
 ) -> DataFrame:
     """Monthly retention with a zero for every observable cell without activity."""
-    cells = dense_cells(_complete(items, status, normalize), MONTH, max_age)
+    rows = _complete(items, status, normalize, status_optional=True)
+    cells = dense_cells(rows, MONTH, max_age)
     label = F.concat(cal.month_label(F.col("cohort")), sample_size_suffix(F.col("cohort_size")))
     return named(cells, MONTH, label.alias("cohort_label"))
 
@@ -78,9 +84,12 @@ def cohort_weekly_dense(
     normalize: str = "trim_lower",
 ) -> DataFrame:
     """Weekly retention of the cohorts of one month, or of one week of it."""
-    cells = dense_cells(
-        _complete(items, status, normalize), WEEK, max_age, _kept_cohorts(month, week_of_month)
-    )
+    rows = _complete(items, status, normalize)
+    return _weekly(dense_cells(rows, WEEK, max_age, _kept_cohorts(month, week_of_month)))
+
+
+def _weekly(cells: DataFrame) -> DataFrame:
+    """The cells with the number and label of their week."""
     monday = F.col("cohort")
     label = F.concat(
         cal.month_label(monday),
@@ -94,9 +103,16 @@ def cohort_weekly_dense(
     return named(cells, WEEK, cal.week_index(monday).alias("week_index"), label.alias("cohort_label"))
 
 
-def cohort_weekly_month(items: DataFrame, month: str, max_age: int = 12, **rules) -> DataFrame:
-    """Weekly retention of all the cohorts of one month."""
-    return cohort_weekly_dense(items, month, None, max_age, **rules)
+def cohort_weekly_month(
+    items: DataFrame,
+    month: str,
+    max_age: int = 12,
+    status: str = COMPLETE,
+    normalize: str = "trim_lower",
+) -> DataFrame:
+    """Weekly retention of all the cohorts of one month; the status is optional here."""
+    rows = _complete(items, status, normalize, status_optional=True)
+    return _weekly(dense_cells(rows, WEEK, max_age, _kept_cohorts(month, None)))
 
 
 def cohort_daily_dense(

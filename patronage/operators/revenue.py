@@ -75,9 +75,22 @@ class Scope:
         )
 
     def by_kept_users(self, df: DataFrame) -> DataFrame:
+        """Rows of kept users, for frames where one user may have many rows.
+
+        In a sort-merge join Spark can split the partition of a hot user.
+        """
         ids = self.users.select(F.col("id").alias("user_id"))
         return df.join(ids, "user_id", "left_semi")
 
+    def sums_of_kept_users(self, df: DataFrame) -> DataFrame:
+        """The same for sums with few rows per user.
+
+        Spark moves a semi join below the sums when it takes the users for small. An inner join
+        with distinct ids stays above them, so items are always summed before the shuffle.
+        """
+        ids = self.users.select(F.col("id").alias("user_id")).distinct()
+        return df.join(ids, "user_id")
+
 
 def revenue_scope(
     users: DataFrame,
@@ -138,7 +151,7 @@ def revenue_monthly(scope: Scope) -> DataFrame:
     month = cal.month_start(F.col("created_at")).alias("month")
     by_user = scope.sold.groupBy("user_id", month).agg(_money().alias("revenue"))
     return (
-        scope.by_kept_users(by_user.where(F.col("month").isNotNull()))
+        scope.sums_of_kept_users(by_user.where(F.col("month").isNotNull()))
         .groupBy("month")
         .agg(_money("revenue").alias("revenue"))
         .orderBy("month")
@@ -147,12 +160,12 @@ def revenue_monthly(scope: Scope) -> DataFrame:
 
 def order_frequency(scope: Scope) -> DataFrame:
     """Users in scope per number of orders."""
-    return frequency(scope.by_kept_users(orders_per_user(scope.sold)))
+    return frequency(scope.sums_of_kept_users(orders_per_user(scope.sold)))
 
 
 def user_revenue(scope: Scope) -> DataFrame:
     by_user = scope.sold.where(F.col("user_id").isNotNull()).groupBy("user_id")
-    return scope.by_kept_users(by_user.agg(_money().alias("revenue")))
+    return scope.sums_of_kept_users(by_user.agg(_money().alias("revenue")))
 
 
 def top_revenue_share(scope: Scope, fraction: float = 0.10) -> DataFrame:
@@ -185,10 +198,10 @@ def customer_revenue_histogram(scope: Scope, bins: int = 15) -> DataFrame:
     return equal_width_histogram(counts, bins)
 
 
-def _revenue_by(scope: Scope, *keys: str) -> DataFrame:
-    """Revenue by product attribute, and order if asked for, of the buyers in scope."""
-    by_user = scope.sold_with(keys[0]).groupBy("user_id", *keys).agg(_money().alias("revenue"))
-    return scope.by_kept_users(by_user).groupBy(*keys).agg(_money("revenue").alias("revenue"))
+def _revenue_by(scope: Scope, attribute: str) -> DataFrame:
+    by_user = scope.sold_with(attribute).groupBy("user_id", attribute)
+    kept = scope.sums_of_kept_users(by_user.agg(_money().alias("revenue")))
+    return kept.groupBy(attribute).agg(_money("revenue").alias("revenue"))
 
 
 def _labelled_top(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
@@ -201,8 +214,11 @@ def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
 
 def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue per distinct order within a category."""
+    by_user = scope.sold_with("category").groupBy("user_id", "category", "order_id")
     by_category = (
-        _revenue_by(scope, "category", "order_id")
+        scope.by_kept_users(by_user.agg(_money().alias("revenue")))
+        .groupBy("category", "order_id")
+        .agg(_money("revenue").alias("revenue"))
         .groupBy("category")
         .agg(ratio(_money("revenue"), F.count("order_id")).alias("aov"))
     )

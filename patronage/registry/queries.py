@@ -186,10 +186,8 @@ COMMERCE: dict[str, Callable[[OrderShop], DataFrame]] = {
     "activation_kpis": lambda s: act.activation_kpis(_users(s), s.orders, DONE),
     "ttfp_summary": lambda s: act.ttfp_summary(_users(s), s.orders, DONE),
     "activation_monthly": lambda s: act.activation_monthly(_users(s), s.orders, DONE),
-    "activation_by_gender": lambda s: act.activation_by(_users(s), s.orders, "gender", DONE),
-    "activation_by_channel": lambda s: act.activation_by(
-        _users(s), s.orders, "traffic_source", DONE
-    ),
+    "activation_by_gender": lambda s: act.activation_by_gender(_users(s), s.orders, DONE),
+    "activation_by_channel": lambda s: act.activation_by_channel(_users(s), s.orders, DONE),
     "activation_by_age_group": lambda s: act.activation_by_age_group(
         _users(s), s.orders, BALANCE_BINS, DONE
     ),

@@ -352,14 +352,24 @@ def test_purchase_counts(frame):
 
 
 def test_missing_column_is_named(frame):
+    items = frame("user_id bigint, created_at ts", [(1, "2023-01-05 10:00:00")])
     with pytest.raises(ValueError, match="status"):
-        retention.cohort_monthly_dense(frame("user_id bigint, created_at ts", []))
+        retention.cohort_daily_dense(items, "2023-01")
+    with pytest.raises(ValueError, match="created_at"):
+        retention.cohort_monthly_dense(items.drop("created_at"))
+    with pytest.raises(ValueError, match="user_id"):
+        repeat.repeat_purchaser_monthly(items.drop("user_id"), 2023)
+    # three analyses take a table without a status as it is
+    assert retention.cohort_monthly_dense(items).count() == 1
+    assert retention.cohort_weekly_month(items, "2023-01").count() == 1
+    assert repeat.repeat_purchaser_monthly(items, 2023).count() == 1
 
 
 def test_status_counts_and_sizes(frame):
     orders = frame(ORDERS, [(i, 1, s, None) for i, s in enumerate("BAAB") ] + [(9, 1, None, None)])
     assert rows(overview.status_counts(orders)) == [("A", 2), ("B", 2)]
     assert rows(overview.dimension_values(orders, "status")) == [("A",), ("B",)]
+    assert overview.first_rows(orders).count() == 5
     assert rows(overview.table_summary({"orders": orders})) == [("orders", 5, 4)]
 
 
