@@ -48,8 +48,9 @@ class Bins:
         if len(self.labels) != len(self.edges) - 1:
             raise ValueError("there must be one label fewer than edges")
 
-    def label(self, column: str) -> Column:
-        return F.get(F.array(*map(F.lit, self.labels)), self.position(column))
+    def name(self, position: Column) -> Column:
+        """The name of the bin at a position."""
+        return F.get(F.array(*map(F.lit, self.labels)), position)
 
     def position(self, column: str) -> Column:
         """Which bin a column's value falls into, from 0; null outside."""

@@ -171,10 +171,6 @@ def _binned(
     return _with_first(users, orders, statuses).withColumn("bin", bins.position("age"))
 
 
-def _bin_name(bins: Bins):
-    return F.element_at(F.array(*map(F.lit, bins.labels)), F.col("bin") + 1)
-
-
 def activation_by_age_group(
     users: DataFrame,
     orders: DataFrame,
@@ -185,7 +181,7 @@ def activation_by_age_group(
     marked = _binned(users, orders, bins, statuses).where(F.col("bin").isNotNull())
     full = complete_keys(_rates(marked, "bin"), "bin", len(bins.labels)).select(
         "bin",
-        _bin_name(bins).alias("age_group"),
+        bins.name(F.col("bin")).alias("age_group"),
         F.coalesce("total_users", F.lit(0)).alias("total_users"),
         F.coalesce("activated_users", F.lit(0)).alias("activated_users"),
     )
@@ -234,7 +230,7 @@ def activation_age_by_month(
             F.sum("total_users").alias("total_users"),
             F.sum("activated_users").alias("activated_users"),
         )
-        .withColumn("age_group", _bin_name(bins))
+        .withColumn("age_group", bins.name(F.col("bin")))
     )
     return (
         _with_rate(full)
@@ -246,7 +242,7 @@ def activation_age_by_month(
 def activation_age_pivot(long: DataFrame, bins: Bins = AGE_BINS) -> DataFrame:
     """Sign-up month by age group matrix of the rate."""
     wide = long.groupBy("signup_month").pivot("age_group", list(bins.labels))
-    return wide.agg(F.first("activation_rate"))
+    return wide.agg(F.max("activation_rate"))
 
 
 def _of_first_orders(first: DataFrame, items: DataFrame) -> DataFrame:

@@ -148,5 +148,5 @@ def cohort_pivot(cells: DataFrame, ages: Iterable[int], grain: Grain = MONTH) ->
     rows = [grain.cohort_column] + [c for c in ("cohort_label",) if c in cells.columns]
     ages = list(ages)
     letter = grain.name[0]
-    wide = cells.groupBy(*rows).pivot(grain.age_column, ages).agg(F.first("retention"))
+    wide = cells.groupBy(*rows).pivot(grain.age_column, ages).agg(F.max("retention"))
     return wide.select(*rows, *(F.col(str(age)).alias(f"{letter}{age}") for age in ages))

@@ -16,5 +16,5 @@ def complete_keys(df: DataFrame, key: str, size: int) -> DataFrame:
 
     `df` is grouped by the key, so it has at most `size` rows and is safe to broadcast.
     """
-    keys = df.sparkSession.range(size).select(F.col("id").cast("int").alias(key))
+    keys = df.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias(key))
     return keys.join(F.broadcast(df), key, "left")

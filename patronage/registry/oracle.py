@@ -326,12 +326,9 @@ fbt AS (SELECT user_id, min(created_at) AS first_at FROM buy GROUP BY user_id),
 mrk AS (SELECT ppl.*, fbt.first_at, {_bin_case("age")} AS age_group
         FROM ppl LEFT JOIN fbt ON fbt.user_id = ppl.id),
 fst AS (
-  SELECT b.user_id, b.order_id, b.created_at
-  FROM buy b
-  WHERE b.user_id IN (SELECT id FROM ppl)
-    AND NOT EXISTS (SELECT 1 FROM buy e WHERE e.user_id = b.user_id
-                    AND (e.created_at < b.created_at
-                         OR (e.created_at = b.created_at AND e.order_id < b.order_id)))
+  SELECT user_id, order_id, created_at
+  FROM buy WHERE user_id IN (SELECT id FROM ppl)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, order_id) = 1
 ),
 ttf AS (
   SELECT CAST(floor((epoch_us(first_at) - epoch_us(created_at)) / 86400000000.0) AS BIGINT) AS v

@@ -18,7 +18,8 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in sorted(pathlib.Path(sf_dir).glob("*.parquet")):
-        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 

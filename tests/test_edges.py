@@ -46,7 +46,7 @@ def test_status_rules(frame):
 def test_age_bins(frame):
     ages = (0, 19, 20, 59, 60, 99, 100, -1, None)
     df = frame("age int", [(a,) for a in ages])
-    labels = [r[0] for r in rows(df.select(AGE_BINS.label("age")))]
+    labels = [r[0] for r in rows(df.select(AGE_BINS.name(AGE_BINS.position("age"))))]
     assert labels == ["<20", "<20", "20s", "50s", "60+", "60+", None, None, None]
     assert df.where(AGE_BINS.within("age")).count() == 6
     assert df.where(AGE_BINS.within("age", ["20s", "60+"])).count() == 3
