@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.functions import calendar as cal
 from patronage.operators import activation as act
 from patronage.operators import overview as ovw
 from patronage.operators import repeat as rep
 from patronage.operators import retention as ret
 from patronage.operators import revenue as rev
 from patronage.operators import sampling as smp
-from patronage.plans.cohorts import DAY, MONTH, WEEK
+from patronage.plans.cohorts import DAY, WEEK
 from patronage.session import configure
 from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
 
