@@ -7,7 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 from compare import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from patronage.registry.oracle import oracle_sql
+from patronage.registry.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
 KEYS = sorted(queries())
