@@ -19,13 +19,18 @@ import functools
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 KEPT = 600_000
-_RISKY = re.compile(r" (?=\s|\Z)")
+_STEP = 1 << 19
+# White space of any kind after a space, or a space at the end.
+_RISKY = (
+    " ([\\t-\\r \\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\z)"
+)
 _CUT = re.compile(r"(?= \S)")
 # Letters below U+0180 (those keep their form under NFC and lower-case one by one), then ASCII
 # punctuation but ' and <, which can begin a contraction or a special token.
@@ -69,12 +74,11 @@ class Words:
         self.path, self.before, self.mark, self.lower = path, before, mark, lower
         self.rest = self if not before else _heads(path)
         self.code = "H" if id_type(path).itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
 
-    def _whole(self, words: list[str]) -> Iterable[bytes]:
-        kind, texts = id_type(self.path), [self.before + w for w in words]
-        for got in tokenizer(self.path).encode_batch(texts, add_special_tokens=False):
-            yield np.array(got.ids, kind).tobytes()
+    def _whole(self, word: str) -> bytes:
+        found = tokenizer(self.path).encode(self.before + word, add_special_tokens=False)
+        return array(self.code, found.ids).tobytes()
 
     def _one(self, word: str) -> bytes | None:
         """The ids, if the word is made of parts that no token crosses."""
@@ -98,30 +102,27 @@ class Words:
         return array(self.code, [t.id for t in found]).tobytes()
 
     def get(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self._one(word)
-            if found is None:
-                (found,) = self._whole([word])
-            self.known[word] = found
-        return found
+        return self.known[word]
+
+    def learn(self, word: str) -> bytes:
+        found = self._one(word)
+        return self._whole(word) if found is None else found
+
+    def bound(self) -> None:
+        if len(self.known) > KEPT:
+            self.known.clear()
+
 
-    def ids(self, words: list[str]) -> bytes:
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = set(words)
-            other = []
-            for word in new:
-                found = self._one(word)
-                if found is None:
-                    other.append(word)
-                else:
-                    self.known[word] = found
-            if other:
-                self.known.update(zip(other, self._whole(other)))
-        return b"".join(map(self.known.__getitem__, words))
+class _Known(dict):
+    """Learns what it is asked for first."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.words.learn(word)
+        return found
 
 
 @functools.cache
@@ -139,14 +140,56 @@ def _spaced(path: str) -> Words:
     return Words(path, lower=True)
 
 
-def byte_level_ids(path: str, text: str) -> bytes:
-    """The ids of a whole text under a byte-level BPE tokenizer."""
-    if _RISKY.search(text):
-        return _heads(path).ids(_CUT.split(text))
-    first, *rest = text.split(" ")
-    return _heads(path).ids([first]) + _tails(path).ids(rest)
+def byte_level_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whole texts under a byte-level BPE tokenizer: all ids, and where each text's begin and end.
 
-
-def spaced_ids(path: str, text: str) -> bytes:
-    """The ids of a whole text under a lower-casing tokenizer that drops white space."""
-    return _spaced(path).ids(text.replace("\n", " ").split(" "))
+    Null is the empty text. Texts in which white space follows a space, or that end with a space,
+    are cut one by one, the others all at once.
+    """
+    heads, texts = _heads(path), _clean(texts)
+    risky = pc.match_substring_regex(texts, _RISKY)
+    words = pc.split_pattern(pc.if_else(risky, "", texts), " ")
+    first = pc.list_element(words, 0).to_pylist()
+    for at in np.flatnonzero(risky.to_numpy(zero_copy_only=False)).tolist():
+        first[at] = _CUT.split(texts[at].as_py())
+    own = [b"".join(map(heads.get, w)) if isinstance(w, list) else heads.get(w) for w in first]
+    heads.bound()
+    return _together(_tails(path), words, own)
+
+
+def spaced_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whole texts under a lower-casing tokenizer that drops white space, in the same form."""
+    words = pc.split_pattern(pc.replace_substring(_clean(texts), "\n", " "), " ")
+    known = _spaced(path)
+    return _together(known, words, [known.get(w) for w in pc.list_element(words, 0).to_pylist()])
+
+
+def _clean(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(texts.cast(pa.string()), "")
+
+
+def _together(known: Words, words: pa.ListArray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lists of words, the first of each list given as `own`."""
+    kind, at = id_type(known.path), words.offsets.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    at = at - at[0]
+    codes = coded.indices.to_numpy().astype(np.int64)
+    later = np.ones(len(codes), bool)
+    later[at[:-1]] = False
+    used = np.zeros(len(coded.dictionary), bool)
+    used[codes[later]] = True
+    rows = coded.dictionary.to_pylist()
+    values = [known.get(w) if u else b"" for w, u in zip(rows, used.tolist())] + own
+    known.bound()
+    codes[at[:-1]] = np.arange(len(rows), len(values))
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+    flat, starts = np.frombuffer(b"".join(values), kind), np.cumsum(sizes) - sizes
+    ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+    out = np.empty(ends[-1], kind)
+    for low in range(0, len(codes), _STEP):  # index arrays stay small
+        some = codes[low : low + _STEP]
+        n, base = sizes[some], ends[low]
+        shift = starts[some] - (ends[low : low + len(some)] - base)
+        stop = ends[low + len(some)]
+        out[base:stop] = flat[np.repeat(shift, n) + np.arange(stop - base)]
+    return out, ends[at]

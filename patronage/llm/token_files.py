@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patronage.llm.pieces import byte_level_ids, id_type
-from patronage.llm.work import texts_of
 
 END_ID = 0
 # The dictionary is trained on SAMPLE_RUNS runs of ids, taken by hash from all places in the texts
@@ -46,9 +45,12 @@ BLOCKS = (
 )
 
 
-def _ids(path: str, text: str, end_id: int) -> np.ndarray:
-    kind = id_type(path)
-    return np.append(np.frombuffer(byte_level_ids(path, text), kind), kind.type(end_id))
+def _ids(path: str, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text, with the end id."""
+    ids, at = byte_level_ids(path, texts)
+    end = np.array([end_id], ids.dtype)
+    for low, high in zip(at[:-1], at[1:]):
+        yield np.concatenate([ids[low:high], end])
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -58,8 +60,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text in texts_of(batch):
-                ids = _ids(tokenizer, text, end_id)
+            for ids in _ids(tokenizer, batch.column("text"), end_id):
                 found += [ids[a : a + RUN_IDS].tobytes() for a in range(0, len(ids), RUN_IDS)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["run"])
 
@@ -132,8 +133,8 @@ def write_tokens(
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                got = _ids(tokenizer, text, end_id)
+            found = _ids(tokenizer, batch.column("text"), end_id)
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), found):
                 ids.append(doc_id)
                 counts.append(len(got))
                 frames.append(pack.compress(got.tobytes()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.pieces import id_type, spaced_ids, tokenizer
+from patronage.llm.pieces import spaced_ids, tokenizer
 from patronage.llm.work import texts_of
 
 LEAF = 8_192
@@ -142,12 +142,9 @@ def leaves(path: str, text: str, leaf: int) -> list[tuple[bool, str]]:
 
 def _with_ids(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
         for batch in batches:
-            found = [spaced_ids(path, t) for t in texts_of(batch)]
-            flat = np.frombuffer(b"".join(found), kind).astype(np.int32)
-            ends = np.cumsum([0] + [len(f) // kind.itemsize for f in found]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            ids, at = spaced_ids(path, batch.column("text"))
+            lists = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
             kept = [c for c in batch.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), lists], names=[*kept, "ids"]
@@ -190,8 +187,9 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
                 if len(text) <= leaf:
                     sides.append(encode_side(path, text))
                 else:  # words between the long stretches: their places are never asked for
-                    ids = np.frombuffer(spaced_ids(path, text), id_type(path)).astype(np.int64)
-                    sides.append(Side(text, ids, np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    ids, _ = spaced_ids(path, pa.array([text]))
+                    none = np.zeros(0, np.int64)
+                    sides.append(Side(text, ids.astype(np.int64), none, none))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("_row", "k", "joined", "part")),
