@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import decontaminate, token_files, tree_bpe
+from patronage.llm import bit_sliced, chosen_path, decontaminate, shards, token_files, tree_bpe
 from patronage.llm.work import new_path, table
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents through a file store, as read back."""
@@ -23,6 +26,43 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, ids=False)
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts differ by one at most, in random order."""
+    placed = shards.shuffle_to_shards(table(spark, sf_dir, "documents"), 24)
+    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest scores of every 50th vector against all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", bit_sliced.quantised().alias("q"))
+    return bit_sliced.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id,
+                  CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT)
+                      AS score
+           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+                            AND len(a.q) = len(b.q)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+                          AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +77,30 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by three-word shingles at a similarity of 0.85."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+_SPACED = "'[^\\x20\\x09-\\x0D]+'"
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct([array_to_string(w[i:i + 2], ' ')
+                                 FOR i IN generate_series(1, len(w) - 2)]) END AS s FROM w),
+f AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k
+           FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (n + m - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN least USING (doc_id)
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document stands in benchmark items, and in which."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,9 +116,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_BENCH_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_BENCH_WORDS} AS w FROM benchmark
@@ -83,11 +144,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_files,
+            op3_shards,
+            op4_bit_sliced_top_k,
             op6_tree_bpe,
+            op9_chosen_path,
             op10_decontaminate,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL}
+    return {
+        "op4_bit_sliced_top_k": OP4_SQL,
+        "op9_chosen_path": OP9_SQL,
+        "op10_decontaminate": OP10_SQL,
+    }
