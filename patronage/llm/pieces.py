@@ -140,6 +140,15 @@ def _spaced(path: str) -> Words:
     return Words(path, lower=True)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+    """The batch in parts of about `most` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(sizes.astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield batch.slice(low, high - low)
+
+
 def byte_level_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Whole texts under a byte-level BPE tokenizer: all ids, and where each text's begin and end.
 

@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bit_sliced, chosen_path, decontaminate, shards, token_files, tree_bpe
+from patronage.llm import (
+    bit_sliced,
+    chosen_path,
+    decontaminate,
+    quality,
+    shards,
+    token_files,
+    toxicity,
+    tree_bpe,
+)
 from patronage.llm.work import new_path, table
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +35,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the toxicity categories of all documents, and the decision."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = toxicity.labelled_documents(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, toxicity.fit(labelled, toxicity.CATEGORIES)).drop("text")
+    return found.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose row counts differ by one at most, in random order."""
     placed = shards.shuffle_to_shards(table(spark, sf_dir, "documents"), 24)
@@ -63,6 +80,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(fifth, F.lit(False)).alias("held_out")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    labelled = docs.join(labels.where(~held_out), "doc_id")
+    found = quality.score(docs, quality.fit(labelled))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", held_out, "score", predicted)
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,8 +173,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_files,
+            op2_toxicity,
             op3_shards,
             op4_bit_sliced_top_k,
+            op5_quality,
             op6_tree_bpe,
             op9_chosen_path,
             op10_decontaminate,

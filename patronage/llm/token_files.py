@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patronage.llm.pieces import byte_level_ids, id_type
+from patronage.llm.pieces import byte_level_ids, id_type, slices
 
 END_ID = 0
 # The dictionary is trained on SAMPLE_RUNS runs of ids, taken by hash from all places in the texts
@@ -58,7 +58,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
     kind = id_type(tokenizer)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = []
             for ids in _ids(tokenizer, batch.column("text"), end_id):
                 found += [ids[a : a + RUN_IDS].tobytes() for a in range(0, len(ids), RUN_IDS)]
@@ -132,7 +132,7 @@ def write_tokens(
                 [pa.array([v], f.type) for v, f in zip(values, _BLOCKS)], schema=_BLOCKS
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = _ids(tokenizer, batch.column("text"), end_id)
             for doc_id, got in zip(batch.column("doc_id").to_pylist(), found):
                 ids.append(doc_id)

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.pieces import spaced_ids, tokenizer
+from patronage.llm.pieces import slices, spaced_ids, tokenizer
 from patronage.llm.work import texts_of
 
 LEAF = 8_192
@@ -142,7 +143,7 @@ def leaves(path: str, text: str, leaf: int) -> list[tuple[bool, str]]:
 
 def _with_ids(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, at = spaced_ids(path, batch.column("text"))
             lists = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
             kept = [c for c in batch.schema.names if c != "ids"]
@@ -230,6 +231,15 @@ def _strings(path: str) -> list[str]:
     return [loaded.id_to_token(i) or "" for i in range(loaded.get_vocab_size())]
 
 
+def _by_tokens(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` ids."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy()
+    part = np.cumsum(sizes.astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield batch.slice(low, high - low)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with `decoded`: what the library makes of `ids`, special tokens kept.
 
@@ -241,15 +251,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, strings = tokenizer(path), _strings(path)
-        for batch in batches:
-            lists = batch.column("ids").to_pylist()
+        loaded, strings = tokenizer(path), pa.array(_strings(path), pa.string())
+        names = [*rows.columns, "decoded"]
+        for batch in (part for whole in batches for part in _by_tokens(whole)):
             if loaded.decoder is None:
-                out = [" ".join(map(strings.__getitem__, ids or ())) for ids in lists]
+                ids = batch.column("ids")
+                tokens = strings.take(ids.flatten())
+                at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)
+                out = pc.binary_join(lists, " ")
             else:
-                out = [loaded.decode(ids or [], skip_special_tokens=False) for ids in lists]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"]
-            )
+                every = batch.column("ids").to_pylist()
+                out = [loaded.decode(ids or [], skip_special_tokens=False) for ids in every]
+                out = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
     return rows.mapInArrow(texts, f"{schema}, decoded string")
