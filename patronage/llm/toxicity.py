@@ -209,7 +209,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 INSULTS = ("idiot", "moron", "loser", "clown", "scum")
 CONTEMPT = ("pathetic", "worthless", "trash", "disgusting", "stupid")
 CATEGORIES = ["insult", "contempt", "toxic"]
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
