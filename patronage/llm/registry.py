@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from patronage.llm import (
     bit_sliced,
     chosen_path,
+    compact_windows,
     decontaminate,
     quality,
     shards,
     token_files,
     toxicity,
     tree_bpe,
+    wrappers,
 )
 from patronage.llm.work import new_path, table
 
@@ -106,6 +108,18 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has too, or nearly."""
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = wrappers.main_text(table(spark, sf_dir, "pages"))
+    n_chars = F.length("text").cast("bigint").alias("n_chars")
+    return found.select("page_id", "url", "text", n_chars)
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents by three-word shingles at a similarity of 0.85."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
@@ -178,6 +192,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_bit_sliced_top_k,
             op5_quality,
             op6_tree_bpe,
+            op7_compact_windows,
+            op8_wrappers,
             op9_chosen_path,
             op10_decontaminate,
         )
