@@ -10,7 +10,8 @@ whole text:
   ends a word of Latin letters.
 
 Words repeat, so most are looked up. Words of Latin letters go to the library's BPE model itself,
-all others to its whole encoder. What a task remembers is bounded by `KEPT` words.
+all others to its whole encoder. What a task remembers is bounded by `KEPT` words for each kind of
+tokenizer.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ class Words:
         return self._whole(word) if found is None else found
 
     def bound(self) -> None:
-        if len(self.known) > KEPT:
+        if len(self.known) > (KEPT // 2 if self.lower else KEPT):  # lower-cased words are fewer
             self.known.clear()
 
 
