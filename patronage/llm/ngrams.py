@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm import words as W
+from patronage.llm.work import written
 
 # Of a chunk's texts: all n-grams (64-bit hashes) with the row of each.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+# Of labels: some bytes each.
+BROADCAST_ROWS = 1 << 20
+
 # Anything but ASCII letters, digits and non-ASCII parts these words.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -161,6 +165,17 @@ def counts(
     return out[:-1], out[-1]
 
 
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that have labels, with them; rows without a doc_id have none.
+
+    Labels are broadcast up to BROADCAST_ROWS rows, which are counted first, so that the texts are
+    not shuffled. Beyond that both sides are, and the result is written once.
+    """
+    if labels.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(labels), "doc_id")
+    return written(docs.join(labels, "doc_id"), "labelled")
+
+
 def sampled(rows: DataFrame, most: int) -> DataFrame:
     """About `most` rows at most, chosen by a hash of doc_id and text."""
     share = min(1.0, most / max(1, rows.count()))

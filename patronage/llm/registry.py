@@ -13,6 +13,7 @@ from patronage.llm import (
     chosen_path,
     compact_windows,
     decontaminate,
+    ngrams,
     quality,
     shards,
     token_files,
@@ -88,7 +89,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     held_out = F.coalesce(fifth, F.lit(False)).alias("held_out")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    labelled = docs.join(labels.where(~held_out), "doc_id")
+    labelled = ngrams.with_labels(docs, labels.where(~held_out))
     found = quality.score(docs, quality.fit(labelled))
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return found.select("doc_id", held_out, "score", predicted)

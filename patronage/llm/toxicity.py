@@ -214,7 +214,7 @@ THRESHOLD = 0.3
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents with the chain's categories, the first two by word among toxic ones."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    rows = N.with_labels(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
 
     def has(words: tuple[str, ...]) -> F.Column:
         found = F.coalesce(F.lower("text"), F.lit("")).rlike(rf"\b({'|'.join(words)})\b")
