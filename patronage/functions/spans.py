@@ -21,10 +21,15 @@ def closed_window(df: DataFrame, start: Day, end: Day, column: str = "created_at
     return df.where(f"`{column}` >= '{_day(start)}' AND `{column}` <= '{_day(end)}'")
 
 
-def day_range(df: DataFrame, start: Day, end: Day, column: str = "created_at") -> DataFrame:
-    """Rows of the days `start` to `end`, the whole last day included."""
-    after = _day(end) + dt.timedelta(days=1)
-    return df.where(f"`{column}` >= '{_day(start)}' AND `{column}` < '{after}'")
+def day_range(
+    df: DataFrame, start: Day | None, end: Day | None, column: str = "created_at"
+) -> DataFrame:
+    """Rows of the days `start` to `end`, the whole last day included; None leaves a side open."""
+    if start is not None:
+        df = df.where(f"`{column}` >= '{_day(start)}'")
+    if end is not None:
+        df = df.where(f"`{column}` < '{_day(end) + dt.timedelta(days=1)}'")
+    return df
 
 
 def calendar_year(df: DataFrame, year: int, column: str = "created_at") -> DataFrame:

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters a blank-trimmed status may carry at its ends.
-BLANKS = " \t\n\r\x0b\x0c"
+# The characters a blank-trimmed status may carry at its ends: all of Unicode's white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def status_is(status: Column, wanted: str, normalize: str = "none") -> Column:
@@ -92,8 +92,27 @@ def shorten(text: Column, width: int = 25, mark: str = "...") -> Column:
     """Cut a label to `width` characters at a word end, with `mark` in place of the rest."""
     plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     room = width - len(mark)
-    # the longest head of at most `room` characters that ends before a blank, or
-    # right after a hyphen between two words of two or more letters
-    head = rf"(?U)^.{{0,{room - 1}}}(?:\S(?= )|(?<=\w[^\W\d])-(?=\w+[^\W\d]))"
-    cut = F.concat(F.regexp_extract(plain, head, 0), F.lit(mark))
-    return F.when(F.length(plain) <= width, plain).otherwise(cut)
+    # The longest head of at most `room` characters that ends before a blank, after the hyphen of
+    # a compound word, or on either side of a dash of several hyphens between words.
+    letter, part = r"[^\W\d]", r"""[\w!"'&.,?]"""
+    ends = (
+        r"(?<=\S)(?= )",
+        rf"(?<={letter}{{2}}-)(?={letter}-?{letter})",
+        rf"(?<={letter}-{part}-)(?={letter}-?{letter})",
+        rf"(?<={part})(?=-{{2,}}\w)",
+        rf"(?<={part}-{{2,{width}}})(?=\w)",
+    )
+    ends = "|".join(ends)
+    head = F.regexp_extract(plain, rf"(?U)^.{{0,{room}}}(?:{ends})", 0)
+    # What follows may have no such place within a whole line: it is cut after the last hyphen
+    # that the line holds, if the mark fits behind.
+    after = F.length(head)
+    after += F.when(F.substr(plain, after + 1, F.lit(1)) == " ", 1).otherwise(0)
+    rest = F.substr(plain, after + 1)
+    whole = (F.length(rest) <= width) | (
+        F.length(F.regexp_extract(rest, rf"(?U)^.{{1,{width}}}(?:{ends})", 0)) > 0
+    )
+    line = F.regexp_extract(F.substr(rest, F.lit(1), F.lit(width) - after), r"^-*[^-].*-", 0)
+    fits = ~whole & (F.length(line) > 0) & (after + F.length(line) <= room)
+    head = F.when(fits, F.substr(plain, F.lit(1), after + F.length(line))).otherwise(head)
+    return F.when(F.length(plain) <= width, plain).otherwise(F.concat(head, F.lit(mark)))

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from patronage.functions import calendar as cal
-from patronage.functions.values import Bins, ratio, ratio_or_zero, shorten
+from patronage.functions.values import Bins, ratio, ratio_or_zero, shorten, status_is
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import complete_keys, top_k
 from patronage.plans.ranks import count_values, pick_ranks, quantile_summary
@@ -74,7 +74,8 @@ def test_elapsed_days_floor(spark):
         st.lists(
             st.sampled_from(
                 ["a", "of", "T-shirt", "pre-owned", "x" * 30, "jeans", "501", "slim-fit-cut",
-                 "é-ñandú", "  ", "\t", "wordy" * 4, "-", "3-pack"]
+                 "é-ñandú", "  ", "\t", "wordy" * 4, "-", "3-pack", "--", "501--Original", "---",
+                 "a---b", "\xa0", "\u2003", "x-" * 20, "(new)--" * 5]
             ),
             max_size=8,
         ).map(" ".join),
@@ -150,3 +151,18 @@ def test_small_helpers(spark):
     assert rows(zero) == [(None, 0.0, 0.25)]
     with pytest.raises(ValueError):
         Bins((0, 1), ("a", "b"))
+
+
+def test_status_ignores_any_white_space(spark):
+    blanks = ["", " ", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\t\n"]
+    df = spark.createDataFrame([(b + "Complete" + b,) for b in blanks] + [("x",)], "s string")
+    found = rows(df.select(status_is(F.col("s"), "complete", "trim_lower")))
+    assert [r[0] for r in found] == [True] * len(blanks) + [False]
+
+
+def test_ranks_over_a_huge_range(spark):
+    values = [-(10**15), -5, 0, 3, 3, 10**15, 2**62, -(2**62)]
+    got = {r["name"]: r["value"] for r in pick_ranks(
+        _counts(spark, values), {f"r{k}": f"{k}L" for k in range(1, 9)}
+    ).collect()}
+    assert got == {f"r{k + 1}": v for k, v in enumerate(sorted(values))}
