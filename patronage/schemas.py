@@ -70,7 +70,7 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "users": ("id", "created_at"),
     "products": ("id",),
     "orders": ("order_id", "user_id", "status", "created_at"),
-    "order_items": ("order_id", "user_id", "status", "created_at"),
+    "order_items": ("order_id", "user_id", "created_at"),
     "events": ("created_at",),
     "inventory_items": ("product_id", "created_at"),
 }

@@ -40,7 +40,7 @@ STAR_SCHEMAS = {
 
 
 class OrderShop:
-    """Commerce view. A user signs up with the first order of any status.
+    """Shop view. A user signs up with the first order of any status.
 
     With a `span`, every dated table is cut to that closed window; products carry no date.
     `item_time="l_shipdate"` gives items a time of their own, unlike their order's.
@@ -127,6 +127,20 @@ class OrderShop:
             )
         )
 
+    @cached_property
+    def orders_with_items(self) -> DataFrame:
+        """What `order_items` says of who ordered when, one row an order.
+
+        Enough for analyses that count users, orders or periods. Line items come as distinct keys,
+        deduplicated before the shuffle.
+        """
+        keys = self._read("lineitem").selectExpr("l_orderkey AS order_id").distinct()
+        return self.orders.join(keys, "order_id", "left_semi")
+
+    def raw(self, table: str) -> DataFrame:
+        """A table as it is stored, with all its columns."""
+        return self._spark.read.parquet(f"{self._base}/{table}.parquet")
+
     @cached_property
     def events(self) -> DataFrame:
         return self._within(
@@ -170,3 +184,7 @@ class EventShop(OrderShop):
     @cached_property
     def orders(self) -> DataFrame:
         return self.order_items.select("order_id", "user_id", "status", "created_at")
+
+    @cached_property
+    def orders_with_items(self) -> DataFrame:
+        return self.orders

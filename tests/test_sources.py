@@ -1,13 +1,15 @@
 """Reading CSV and Parquet into canonical form, and writing the sample."""
 
+import csv
 import datetime as dt
 
 import pytest
 from conftest import rows
 
+from patronage.operators.retention import cohort_monthly_dense
 from patronage.operators.sampling import sample_events_job
 from patronage.schemas import SCHEMAS
-from patronage.sources.tables import load_table, load_tables, memoise
+from patronage.sources.tables import load_table, load_tables, memoise, read_csv, write_csv
 
 HEADERS = {
     "users": "id,first_name,email,age,gender,traffic_source,created_at",
@@ -113,9 +115,61 @@ def test_sample_job_writes_csv(spark, tmp_path):
 
 
 def test_memoise_needs_and_uses_the_shared_folder(spark, tmp_path):
-    if spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:  # earlier tests may have set one
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             memoise(spark.range(3))
         spark.sparkContext.setCheckpointDir(str(tmp_path))
     kept = memoise(spark.range(3).selectExpr("id * 2 AS twice"))
     assert sorted(rows(kept)) == [(0,), (2,), (4,)]
+
+
+NASTY = ['36" inseam, blue "slim" jean', "two\nlines", "back\\slash", "a,b", "plain", "é ñ"]
+
+
+def test_csv_agrees_with_a_standard_reader(spark, tmp_path):
+    with open(tmp_path / "products.csv", "w", newline="") as file:
+        writer = csv.writer(file)
+        writer.writerow(["id", "category", "brand", "name"])
+        writer.writerows([i, "NA", "NULL" if i else "b", text] for i, text in enumerate(NASTY))
+    path = f"{tmp_path}/products.csv"
+    table = load_table(spark, path, "products", multiline=True).orderBy("id")
+    assert rows(table.select("name")) == [(t,) for t in NASTY]
+    assert rows(table.select("category").distinct()) == [(None,)]
+    assert table.where("brand IS NULL").count() == len(NASTY) - 1
+    kept = load_table(spark, path, "products", multiline=True, null_markers=())
+    assert kept.where("brand = 'NULL'").count() == len(NASTY) - 1
+
+    write_csv(table.coalesce(1), f"{tmp_path}/out")
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    with open(part, newline="") as file:
+        assert [r["name"] for r in csv.DictReader(file)] == NASTY
+    back = read_csv(spark, f"{tmp_path}/out", multiline=True).orderBy("id")
+    assert rows(back.select("name")) == [(t,) for t in NASTY]
+
+
+def test_layouts_of_dates(spark, tmp_path):
+    texts = ["01/02/2023", "1/2/2023 3:04", "Jan 3 2023", "3 Jan 2023", "2023/01/04", "12:30", "2023"]
+    write(tmp_path, "events", *(f"{i},1,1,s,{t},view" for i, t in enumerate(texts)))
+    found = load_table(spark, f"{tmp_path}/events.csv", "events").orderBy("id")
+    day = lambda *d: (dt.datetime(2023, *d),)
+    assert rows(found.select("created_at")) == [
+        day(1, 2), day(1, 2, 3, 4), day(1, 3), day(1, 3), day(1, 4), (None,), day(1, 1),
+    ]
+
+
+def test_items_need_no_status(spark, tmp_path):
+    (tmp_path / "order_items.csv").write_text(
+        "order_id,user_id,created_at\n1,1,2023-01-01\n2,1,2023-02-01\n"
+    )
+    items = load_table(spark, f"{tmp_path}/order_items.csv", "order_items")
+    assert cohort_monthly_dense(items).count() == 2
+
+
+def test_sample_job_keeps_all_columns(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(str(i), "2023-05-06 07:08:09", "Chrome", f"/p/{i}") for i in range(30)],
+        "id string, created_at string, browser string, uri string",
+    )
+    sample_events_job(raw, f"{tmp_path}/all", 2023, 12)
+    back = read_csv(spark, f"{tmp_path}/all")
+    assert back.columns == raw.columns and back.count() == 12
