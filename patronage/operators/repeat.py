@@ -87,7 +87,7 @@ def repeat_rate_by_season(monthly: DataFrame) -> DataFrame:
 
 
 def _repeat_cells(
-    items: DataFrame, start: Day, end: Day, status: str, normalize: str
+    items: DataFrame, start: Day | None, end: Day | None, status: str, normalize: str
 ) -> DataFrame:
     """Observed daily cells of age 1 and up, with the day of the repeat purchase."""
     rows = day_range(items.where(status_is(F.col("status"), status, normalize)), start, end)
@@ -121,7 +121,11 @@ def _by_weekday(cells: DataFrame, day: Column) -> DataFrame:
 
 
 def repeat_by_order_weekday(
-    items: DataFrame, start: Day, end: Day, status: str = COMPLETE, normalize: str = "lower"
+    items: DataFrame,
+    start: Day | None = None,
+    end: Day | None = None,
+    status: str = COMPLETE,
+    normalize: str = "lower",
 ) -> DataFrame:
     """Repeat rate by the weekday of the repeat purchase.
 
@@ -132,7 +136,11 @@ def repeat_by_order_weekday(
 
 
 def repeat_by_cohort_weekday(
-    items: DataFrame, start: Day, end: Day, status: str = COMPLETE, normalize: str = "lower"
+    items: DataFrame,
+    start: Day | None = None,
+    end: Day | None = None,
+    status: str = COMPLETE,
+    normalize: str = "lower",
 ) -> DataFrame:
     """Repeat rate by the weekday of the first purchase."""
     cells = _repeat_cells(items, start, end, status, normalize)
@@ -140,7 +148,11 @@ def repeat_by_cohort_weekday(
 
 
 def repeat_weekday_vs_weekend(
-    items: DataFrame, start: Day, end: Day, status: str = COMPLETE, normalize: str = "lower"
+    items: DataFrame,
+    start: Day | None = None,
+    end: Day | None = None,
+    status: str = COMPLETE,
+    normalize: str = "lower",
 ) -> DataFrame:
     """Repeat rate of the working week against Saturday and Sunday; only what occurs."""
     cells = _repeat_cells(items, start, end, status, normalize)

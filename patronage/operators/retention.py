@@ -34,10 +34,8 @@ def cohort_monthly_sparse(
     status: str = COMPLETE,
     normalize: str = "none",
 ) -> DataFrame:
-    """Monthly retention, observed cells only; `start` and `end` are whole days."""
-    rows = _complete(items, status, normalize)
-    if start is not None and end is not None:
-        rows = day_range(rows, start, end)
+    """Monthly retention, observed cells only; `start` and `end` are whole days, either may be open."""
+    rows = day_range(_complete(items, status, normalize), start, end)
     return named(cohort_cells(rows, MONTH), MONTH)
 
 
@@ -143,10 +141,17 @@ def cohort_daily_dense(
 def cohort_pivot(cells: DataFrame, ages: Iterable[int], grain: Grain = MONTH) -> DataFrame:
     """Cohort by age matrix of the retention, a column `<m|w|d><age>` for each age asked for.
 
-    Naming the ages keeps columns nobody reached and saves a job to look for them.
+    Naming the ages keeps columns nobody reached and saves a job to look for them; `observed_ages`
+    looks for those that occur.
     """
     rows = [grain.cohort_column] + [c for c in ("cohort_label",) if c in cells.columns]
     ages = list(ages)
     letter = grain.name[0]
     wide = cells.groupBy(*rows).pivot(grain.age_column, ages).agg(F.max("retention"))
     return wide.select(*rows, *(F.col(str(age)).alias(f"{letter}{age}") for age in ages))
+
+
+def observed_ages(cells: DataFrame, grain: Grain = MONTH) -> list[int]:
+    """The ages that occur, in order: a row for each period between the first and the last."""
+    ages = cells.select(grain.age_column).where(F.col(grain.age_column).isNotNull()).distinct()
+    return sorted(row[0] for row in ages.collect())

@@ -25,6 +25,7 @@ from patronage.operators.repeat import frequency, orders_per_user
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import top_k
 from patronage.plans.ranks import count_values, pick_ranks
+from patronage.sources.tables import memoise
 
 MONEY_SUM = "decimal(38,2)"
 
@@ -47,9 +48,9 @@ class Filters:
 class Scope:
     """What passes the filters: users, products, and the items of kept orders.
 
-    `ordered` is not yet cut to the kept products and users. An analysis joins the products,
-    sums up to the grain it needs and only then asks for the buyers in scope, so that a hot
-    user is summed before that join.
+    `ordered` is not yet cut to the kept products and users. An analysis sums it up to the grain
+    it needs, joins the products and asks for the buyers in scope, so that a hot product or user
+    is summed before that join.
     """
 
     ordered: DataFrame
@@ -67,12 +68,24 @@ class Scope:
         ids = self.products.select(F.col("id").alias("product_id"))
         return self.ordered.join(ids, "product_id", "left_semi")
 
-    def sold_with(self, attribute: str) -> DataFrame:
-        """`sold` with a product attribute, for one join instead of two."""
+    def sums(self, *keys: str | Column, attribute: str | None = None) -> DataFrame:
+        """`revenue` per product and `keys` of what is sold, summed before the product join.
+
+        With an `attribute`, the product's comes along, for one join instead of two.
+        """
+        summed = self.ordered.groupBy("product_id", *keys).agg(_money().alias("revenue"))
+        if attribute is None:
+            ids = self.products.select(F.col("id").alias("product_id"))
+            return summed.join(ids, "product_id", "left_semi")
         known = self.products.where(F.col(attribute).isNotNull())
-        return self.ordered.join(
-            known.select(F.col("id").alias("product_id"), attribute), "product_id"
-        )
+        return summed.join(known.select(F.col("id").alias("product_id"), attribute), "product_id")
+
+    def kept(self) -> Scope:
+        """The same scope with its parts written once, for callers of several analyses.
+
+        The parts go to the folder of spark.checkpoint.dir, which all executors reach.
+        """
+        return Scope(*map(memoise, (self.ordered, self.users, self.products)))
 
     def by_kept_users(self, df: DataFrame) -> DataFrame:
         """Rows of kept users, for frames where one user may have many rows.
@@ -131,12 +144,17 @@ def _money(column: str = "sale_price") -> Column:
 
 def revenue_kpis(scope: Scope) -> DataFrame:
     """One row of totals and averages per user, per buyer and per order."""
-    by_order = scope.sold.groupBy("user_id", "order_id").agg(_money().alias("revenue"))
-    totals = scope.by_kept_users(by_order).agg(
-        _money("revenue").alias("total_revenue"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("user_id").alias("purchasing_users"),
-    ).withColumn("total_users", scope.users.agg(F.countDistinct("id")).scalar())
+    by_order = scope.sums("order_id", "user_id").groupBy("order_id", "user_id")
+    kept = scope.by_kept_users(by_order.agg(_money("revenue").alias("revenue")))
+    # Orders and buyers are counted by a sum each: two distinct counts would triple the rows.
+    buyers = kept.select("user_id").groupBy("user_id").agg(F.lit(1).alias("one"))
+    totals = (
+        kept.groupBy("order_id")
+        .agg(_money("revenue").alias("revenue"))
+        .agg(_money("revenue").alias("total_revenue"), F.count("order_id").alias("total_orders"))
+        .withColumn("purchasing_users", buyers.agg(F.count("one")).scalar())
+        .withColumn("total_users", scope.users.agg(F.countDistinct("id")).scalar())
+    )
     revenue = F.col("total_revenue")
     return totals.select(
         "*",
@@ -149,9 +167,10 @@ def revenue_kpis(scope: Scope) -> DataFrame:
 def revenue_monthly(scope: Scope) -> DataFrame:
     """Revenue by the month of the item's own time."""
     month = cal.month_start(F.col("created_at")).alias("month")
-    by_user = scope.sold.groupBy("user_id", month).agg(_money().alias("revenue"))
+    sums = scope.sums("user_id", month).where(F.col("month").isNotNull())
+    by_user = sums.groupBy("user_id", "month").agg(_money("revenue").alias("revenue"))
     return (
-        scope.sums_of_kept_users(by_user.where(F.col("month").isNotNull()))
+        scope.sums_of_kept_users(by_user)
         .groupBy("month")
         .agg(_money("revenue").alias("revenue"))
         .orderBy("month")
@@ -160,22 +179,22 @@ def revenue_monthly(scope: Scope) -> DataFrame:
 
 def order_frequency(scope: Scope) -> DataFrame:
     """Users in scope per number of orders."""
-    return frequency(scope.sums_of_kept_users(orders_per_user(scope.sold)))
+    return frequency(scope.sums_of_kept_users(orders_per_user(scope.sums("order_id", "user_id"))))
 
 
 def user_revenue(scope: Scope) -> DataFrame:
-    by_user = scope.sold.where(F.col("user_id").isNotNull()).groupBy("user_id")
-    return scope.sums_of_kept_users(by_user.agg(_money().alias("revenue")))
+    by_user = scope.sums("user_id").where(F.col("user_id").isNotNull()).groupBy("user_id")
+    return scope.sums_of_kept_users(by_user.agg(_money("revenue").alias("revenue")))
 
 
 def top_revenue_share(scope: Scope, fraction: float = 0.10) -> DataFrame:
-    """What the best-paying fraction of the buyers brings in, at least one buyer."""
+    """What the best-paying fraction of the buyers brings in: at least one buyer, at most all."""
     cents = (F.col("revenue") * 100).cast("bigint")
     counts = count_values(user_revenue(scope), cents)
 
     # The k-th largest revenue; all above it belong to the top, and as many equal to it as
     # are needed to make up k.
-    k = f"greatest(1L, CAST(ceil(total_n * {float(fraction)}D) AS BIGINT))"
+    k = f"least(total_n, greatest(1L, CAST(ceil(total_n * {float(fraction)}D) AS BIGINT)))"
     above_n = "(total_n - below_n - value_n)"
     above = "(total_sum - below_sum - CAST(value AS DECIMAL(38,0)) * value_n)"
     picked = pick_ranks(counts, {"top": f"total_n - {k} + 1"}).selectExpr(
@@ -199,8 +218,8 @@ def customer_revenue_histogram(scope: Scope, bins: int = 15) -> DataFrame:
 
 
 def _revenue_by(scope: Scope, attribute: str) -> DataFrame:
-    by_user = scope.sold_with(attribute).groupBy("user_id", attribute)
-    kept = scope.sums_of_kept_users(by_user.agg(_money().alias("revenue")))
+    by_user = scope.sums("user_id", attribute=attribute).groupBy("user_id", attribute)
+    kept = scope.sums_of_kept_users(by_user.agg(_money("revenue").alias("revenue")))
     return kept.groupBy(attribute).agg(_money("revenue").alias("revenue"))
 
 
@@ -214,9 +233,8 @@ def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
 
 def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue per distinct order within a category."""
-    by_user = scope.sold_with("category").groupBy("user_id", "category", "order_id")
     by_category = (
-        scope.by_kept_users(by_user.agg(_money().alias("revenue")))
+        scope.by_kept_users(scope.sums("order_id", "user_id", attribute="category"))
         .groupBy("category", "order_id")
         .agg(_money("revenue").alias("revenue"))
         .groupBy("category")

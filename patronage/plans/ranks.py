@@ -1,10 +1,9 @@
 """Exact order statistics without sorting everything in one place.
 
-Values are integers (cents, days). They are first counted per distinct value, then per
-block of 2**20 neighbouring values. The running count goes over the block rows alone, which
-tells the block a rank falls into; only that block's values are sorted. Neither step can
-see more rows than the value range allows: a block holds at most 2**20 distinct values,
-and there are (range / 2**20) blocks.
+Values are integers (cents, days). They are first counted per distinct value, then per block of
+2**20 neighbouring values, and those per block of 2**16 blocks, twice. A rank is looked for from the
+widest blocks down: each step sees at most 2**16 blocks, the last at most 2**20 values, whatever
+the range of the values.
 """
 
 from __future__ import annotations
@@ -15,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
+WIDER_BITS = 16
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 AMOUNT = "CAST(v AS DECIMAL(38,0)) * n"
+REACHED = "rank > below_n AND rank <= below_n + value_n"
 
 
 def count_values(df: DataFrame, value: Column) -> DataFrame:
@@ -42,43 +43,63 @@ def pick_ranks(counts: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
     per name that exists: `name, rank, total_n, total_sum, value, value_n, below_n, below_sum`,
     where `below_*` cover the rows with a smaller value.
     """
-    blocked = counts.selectExpr("v", "n", f"shiftright(v, {BLOCK_BITS}) AS block")
-    blocks = blocked.groupBy("block").agg(
-        F.expr("sum(n) AS block_n"),
-        F.expr(f"CAST(sum({AMOUNT}) AS DECIMAL(38,0)) AS block_sum"),
-    )
-    placed = blocks.selectExpr(
-        "block",
-        "block_n",
-        f"coalesce(sum(block_n) OVER (ORDER BY block {BEFORE}), 0) AS before_n",
-        f"CAST(coalesce(sum(block_sum) OVER (ORDER BY block {BEFORE}), 0) AS DECIMAL(38,0))"
-        " AS before_sum",
-        f"sum(block_n) OVER (ORDER BY block {ALL}) AS total_n",
-        f"CAST(sum(block_sum) OVER (ORDER BY block {ALL}) AS DECIMAL(38,0)) AS total_sum",
-    )
+    levels = [
+        counts.selectExpr(
+            "v", "n", f"CAST({AMOUNT} AS DECIMAL(38,0)) AS amount",
+            f"shiftright(v, {BLOCK_BITS}) AS block",
+        )
+    ]
+    for _ in range(2):
+        levels.append(_blocks(levels[-1]).withColumn("block", F.expr(f"shiftright(v, {WIDER_BITS})")))
+    widest = _blocks(levels[-1])  # a 64-bit value has 2**12 of them
     wanted = ", ".join(
         f"struct('{name}' AS name, CAST({rank} AS BIGINT) AS rank)"
         for name, rank in ranks.items()
     )
-    targets = placed.selectExpr("*", f"inline(array({wanted}))").where(
-        "rank > before_n AND rank <= before_n + block_n"
-    )
-    # one row per requested rank: the bound on what is broadcast
-    return (
-        blocked.join(F.broadcast(targets), "block")
-        .selectExpr(
-            "name",
-            "rank",
-            "total_n",
-            "total_sum",
+    found = (
+        widest.selectExpr(
             "v AS value",
             "n AS value_n",
-            f"before_n + coalesce(sum(n) OVER (PARTITION BY name ORDER BY v {BEFORE}), 0)"
-            " AS below_n",
-            f"CAST(before_sum + coalesce(sum({AMOUNT}) OVER"
-            f" (PARTITION BY name ORDER BY v {BEFORE}), 0) AS DECIMAL(38,0)) AS below_sum",
+            f"coalesce(sum(n) OVER (ORDER BY v {BEFORE}), 0) AS below_n",
+            f"CAST(coalesce(sum(amount) OVER (ORDER BY v {BEFORE}), 0) AS DECIMAL(38,0))"
+            " AS below_sum",
+            f"sum(n) OVER (ORDER BY v {ALL}) AS total_n",
+            f"CAST(sum(amount) OVER (ORDER BY v {ALL}) AS DECIMAL(38,0)) AS total_sum",
         )
-        .where("rank > below_n AND rank <= below_n + value_n")
+        .selectExpr("*", f"inline(array({wanted}))")
+        .where(REACHED)
+    )
+    for level in reversed(levels):
+        # one row per requested rank: the bound on what is broadcast
+        above = F.broadcast(
+            found.selectExpr(
+                "name", "rank", "total_n", "total_sum", "value AS block",
+                "below_n AS before_n", "below_sum AS before_sum",
+            )
+        )
+        found = (
+            level.join(above, "block")
+            .selectExpr(
+                "name",
+                "rank",
+                "total_n",
+                "total_sum",
+                "v AS value",
+                "n AS value_n",
+                f"before_n + coalesce(sum(n) OVER (PARTITION BY name ORDER BY v {BEFORE}), 0)"
+                " AS below_n",
+                f"CAST(before_sum + coalesce(sum(amount) OVER"
+                f" (PARTITION BY name ORDER BY v {BEFORE}), 0) AS DECIMAL(38,0)) AS below_sum",
+            )
+            .where(REACHED)
+        )
+    return found
+
+
+def _blocks(level: DataFrame) -> DataFrame:
+    """The blocks of a level as values of the next."""
+    return level.groupBy(F.col("block").alias("v")).agg(
+        F.sum("n").alias("n"), F.expr("CAST(sum(amount) AS DECIMAL(38,0)) AS amount")
     )
 
 

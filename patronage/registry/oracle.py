@@ -6,11 +6,10 @@ from __future__ import annotations
 
 from patronage.registry.queries import (
     ACTIVATION_CHOICE,
-    ALL_DATES,
     CHOSEN,
-    EVENT_DATES,
-    MONTHS_SPANNED,
     SAMPLE_ROWS,
+    SAMPLE_ROWS_LARGE,
+    TABLES,
     YEAR_1995,
     YEAR_1996,
 )
@@ -19,7 +18,9 @@ from patronage.sources.star import BALANCE_BINS
 Span = tuple[str, str]
 
 
-def _between(column: str, span: Span) -> str:
+def _between(column: str, span: Span | None) -> str:
+    if span is None:
+        return "TRUE"
     return f"{column} >= TIMESTAMP '{span[0]}' AND {column} <= TIMESTAMP '{span[1]}'"
 
 
@@ -37,7 +38,7 @@ people AS (
 )"""
 
 
-def commerce(span: Span, item_time: str = "o_orderdate") -> str:
+def shop_views(span: Span | None, item_time: str = "o_orderdate") -> str:
     return f"""WITH {PEOPLE},
 usr AS (
   SELECT s.id, s.created_at, p.traffic_source, p.gender, p.age
@@ -70,11 +71,10 @@ usr AS (
   FROM (SELECT user_id AS id, min(ts) AS created_at FROM events
         WHERE event_type = 'signup' AND user_id IS NOT NULL GROUP BY 1) s
   LEFT JOIN people p ON p.id = s.id
-  WHERE {_between("s.created_at", EVENT_DATES)}
 ),
 ord AS (
   SELECT event_id AS order_id, user_id, 'F' AS status, ts AS created_at
-  FROM events WHERE event_type = 'purchase' AND {_between("ts", EVENT_DATES)}
+  FROM events WHERE event_type = 'purchase'
 ),
 itm AS (SELECT * FROM ord)"""
 
@@ -112,7 +112,7 @@ TRIM_LOWER = "lower(trim(status)) = 'f'"
 def _cells(head: str, grain: str, rows: str = "itm", where: str = EXACT) -> str:
     return f"""{head},
 act AS (SELECT user_id, {PERIOD[grain]} AS period FROM {rows}
-        WHERE {where} AND user_id IS NOT NULL),
+        WHERE {where} AND user_id IS NOT NULL AND created_at IS NOT NULL),
 fst AS (SELECT user_id, min(period) AS cohort FROM act GROUP BY user_id),
 siz AS (SELECT cohort, count(*) AS cohort_size FROM fst GROUP BY cohort),
 cel AS (
@@ -122,7 +122,7 @@ cel AS (
 )"""
 
 
-def _sparse(head: str, **rows) -> str:
+def _sparse(head: str, **rows: str) -> str:
     return f"""{_cells(head, "month", **rows)}
 SELECT cohort AS cohort_month, age AS age_m, active_users, cohort_size,
        round(active_users / cohort_size, 6) AS retention
@@ -163,7 +163,7 @@ def _pivot(cells: str, grain: str, ages, label: bool) -> str:
 def _repeat_monthly(head: str, year: int) -> str:
     return f"""{head},
 act AS (SELECT DISTINCT user_id, {PERIOD["month"]} AS period FROM itm
-        WHERE {TRIM_LOWER} AND user_id IS NOT NULL),
+        WHERE {TRIM_LOWER} AND user_id IS NOT NULL AND created_at IS NOT NULL),
 mon AS (
   SELECT period AS order_month,
          count(*) FILTER (EXISTS (SELECT 1 FROM act e
@@ -174,20 +174,16 @@ mon AS (
 )"""
 
 
-def _weekday_cells(head: str, span: Span) -> str:
-    rows = (
-        f"{LOWER} AND created_at >= TIMESTAMP '{span[0]}'"
-        f" AND created_at < TIMESTAMP '{span[1]}' + INTERVAL 1 DAY"
-    )
-    return f"""{_cells(head, "day", where=rows)},
+def _weekday_cells(head: str) -> str:
+    return f"""{_cells(head, "day", where=LOWER)},
 rpt AS (
   SELECT cohort, cohort + age AS repeat_day, active_users, cohort_size
   FROM cel JOIN siz USING (cohort) WHERE age >= 1
 )"""
 
 
-def _weekday(head: str, span: Span, day: str) -> str:
-    return f"""{_weekday_cells(head, span)},
+def _weekday(head: str, day: str) -> str:
+    return f"""{_weekday_cells(head)},
 wkd AS (
   SELECT isodow({day}) - 1 AS weekday, sum(active_users) AS repeats, sum(cohort_size) AS exposed
   FROM rpt GROUP BY 1
@@ -439,8 +435,14 @@ def _complete_items(head: str) -> str:
     return f"{head}, src AS (SELECT * FROM itm WHERE status = 'F')"
 
 
+def _sample(n: int) -> str:
+    return f"""
+SELECT event_id AS id, user_id, event_type, ts AS created_at, round("value", 6) AS "value"
+FROM events WHERE year(ts) = 2024 ORDER BY md5(event_id || '|42'), event_id LIMIT {n}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    shop, year, log = commerce(ALL_DATES), commerce(YEAR_1995), event_log()
+    shop, year, log = shop_views(None), shop_views(YEAR_1995), event_log()
     scope, people = _scope(shop), _activation(shop)
     category = "(SELECT i.* FROM itm i JOIN prd p ON p.id = i.product_id WHERE category = 'MEDIUM')"
     month_dense = _dense(shop, "month", 12)
@@ -457,7 +459,11 @@ FROM itm WHERE status IN ('F', 'O', 'P') AND user_id IS NOT NULL GROUP BY user_i
         "cohort_weekly_month": week_month,
         "cohort_daily_dense": _dense(shop, "day", 60, _in_month("1995-02")),
         "cohort_daily_dense_w5": _dense(shop, "day", 60, _in_month("1995-02", 5)),
-        "cohort_pivot": _pivot(_sparse(shop), "month", range(MONTHS_SPANNED), False),
+        "cohort_monthly_from": _sparse(
+            shop, where=f"{EXACT} AND created_at >= TIMESTAMP '1996-03-01'"
+        ),
+        "cohort_pivot": f"""PIVOT ({_sparse(shop)}) ON 'm' || age_m USING max(retention)
+GROUP BY cohort_month""",
         "cohort_pivot_dense": _pivot(month_dense, "month", range(1, 13), True),
         "cohort_pivot_weekly": _pivot(week_month, "week", range(1, 13), True),
         "cohort_pivot_daily": _pivot(
@@ -473,7 +479,7 @@ SELECT CASE WHEN month(order_month) >= 11 THEN 'nov_dec' ELSE 'jan_oct' END AS s
        CAST(sum(purchasers) AS BIGINT) AS purchasers,
        round(sum(returning_users) / sum(purchasers) * 100, 6) AS rate_pct
 FROM mon GROUP BY 1""",
-        "repeat_by_order_weekday": _weekday(shop, ALL_DATES, "repeat_day"),
+        "repeat_by_order_weekday": _weekday(shop, "repeat_day"),
         "revenue_scope": f"""{scope}
 SELECT order_id, user_id, product_id, CAST(sale_price AS DOUBLE) AS sale_price, created_at
 FROM sco""",
@@ -506,10 +512,12 @@ UNION ALL SELECT DISTINCT 'traffic_source', traffic_source FROM usr
 UNION ALL SELECT DISTINCT 'category', category FROM prd WHERE category IS NOT NULL
 UNION ALL SELECT DISTINCT 'brand', brand FROM prd WHERE brand IS NOT NULL""",
         "available_months": f"""{shop}
-SELECT DISTINCT {PERIOD["month"]} AS "month", strftime(created_at, '%Y-%m') AS label FROM itm""",
+SELECT DISTINCT {PERIOD["month"]} AS "month", strftime(created_at, '%Y-%m') AS label
+FROM itm WHERE created_at IS NOT NULL""",
         "cohort_months_weekly": f"""{shop}
 SELECT DISTINCT CAST(date_trunc('month', date_trunc('week', created_at)) AS DATE) AS "month",
-       strftime(date_trunc('week', created_at), '%Y-%m') AS label FROM itm""",
+       strftime(date_trunc('week', created_at), '%Y-%m') AS label
+FROM itm WHERE created_at IS NOT NULL""",
         "date_bounds": f"""{shop}
 SELECT CAST(min(created_at) AS DATE) AS first_day, CAST(max(created_at) AS DATE) AS last_day
 FROM itm""",
@@ -534,34 +542,31 @@ FROM itm""",
         "first_order_top_categories_1995": _first_categories(people),
         "ttfp_histogram_1995": _ttfp_histogram(people),
     }
-    seen = ("2024-01-01", "2024-01-30")
     buyers = _activation(log)
     sql |= {
         "cohort_weekly_dense_evt": _dense(log, "week", 12, _in_month("2024-01")),
         "cohort_daily_dense_evt": _dense(log, "day", 30, _in_month("2024-01")),
-        "repeat_by_order_weekday_evt": _weekday(log, seen, "repeat_day"),
-        "repeat_by_cohort_weekday": _weekday(log, seen, "cohort"),
-        "repeat_weekday_vs_weekend": f"""{_weekday_cells(log, seen)}
+        "repeat_by_order_weekday_evt": _weekday(log, "repeat_day"),
+        "repeat_by_cohort_weekday": _weekday(log, "cohort"),
+        "repeat_weekday_vs_weekend": f"""{_weekday_cells(log)}
 SELECT CASE WHEN isodow(repeat_day) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_group,
        CAST(sum(active_users) AS BIGINT) AS repeaters, CAST(sum(cohort_size) AS BIGINT) AS exposure,
        round_even(sum(active_users) / sum(cohort_size) * 100, 3) AS rate_pct
 FROM rpt GROUP BY 1""",
         "ttfp_summary_evt": _ttfp_summary(buyers),
         "ttfp_histogram_evt": _ttfp_histogram(buyers),
-        "sample_events": f"""
-SELECT event_id AS id, user_id, event_type, ts AS created_at, round("value", 6) AS "value"
-FROM events WHERE year(ts) = 2024 ORDER BY md5(event_id || '|42'), event_id LIMIT {SAMPLE_ROWS}""",
+        "sample_events": _sample(SAMPLE_ROWS),
+        "sample_events_50k": _sample(SAMPLE_ROWS_LARGE),
         "revenue_monthly_shipped": _revenue_monthly(
-            _scope(commerce(ALL_DATES, "l_shipdate"))
+            _scope(shop_views(None, "l_shipdate"))
         ),
         "revenue_kpis_chosen": _kpis(_scope(shop, CHOSEN)),
         "activation_kpis_chosen": _activation_kpis(_activation(shop, ACTIVATION_CHOICE)),
-        "revenue_kpis_1996": _kpis(_scope(commerce(YEAR_1996))),
-        "table_summary": f"""{shop}
-SELECT 'users' AS table_name, count(DISTINCT o_custkey) AS "rows", 5 AS cols FROM orders
-UNION ALL SELECT 'orders', count(*), 4 FROM orders
-UNION ALL SELECT 'order_items', count(*), 7 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT 'events', count(*), 5 FROM events
-UNION ALL SELECT 'inventory_items', count(*), 3 FROM lineitem""",
+        "revenue_kpis_1996": _kpis(_scope(shop_views(YEAR_1996))),
+        "table_summary": " UNION ALL ".join(
+            f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS "rows",
+CAST((SELECT count(*) FROM (DESCRIBE {name})) AS INTEGER) AS cols"""
+            for name in TABLES
+        ),
     }
     return sql

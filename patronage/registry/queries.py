@@ -1,6 +1,6 @@
 """One entry per analysis, over the whole tables of a folder.
 
-The plain keys span all the dates in the tables. Keys ending in `_1995` run the same analysis in
+The plain keys take all rows, whatever their dates. Keys ending in `_1995` run the same analysis in
 a one-year window, where earlier and later rows fall out as the analysis demands. Keys
 ending in `_evt` use the event view, which has times within the day.
 """
@@ -26,14 +26,12 @@ from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ALL_DATES = ("1995-01-01", "2001-12-31")
 YEAR_1995 = ("1995-01-01", "1995-12-31")
 YEAR_1996 = ("1996-01-01", "1996-12-31")
-EVENT_DATES = ("2024-01-01", "2024-01-31")
-MONTHS_SPANNED = 84
 COMPLETE = "F"
 DONE = (COMPLETE,)
 SAMPLE_ROWS = 1_000
+SAMPLE_ROWS_LARGE = 50_000
 
 
 def published(df: DataFrame) -> DataFrame:
@@ -50,7 +48,7 @@ def published(df: DataFrame) -> DataFrame:
     return df.select(*map(shown, df.schema.fields))
 
 
-def _commerce(span: tuple[str, str] | None, item_time: str = "o_orderdate"):
+def _shop(span: tuple[str, str] | None = None, item_time: str = "o_orderdate"):
     def shop(spark: SparkSession, base: str) -> OrderShop:
         return OrderShop(configure(spark), base, span, item_time)
 
@@ -58,7 +56,7 @@ def _commerce(span: tuple[str, str] | None, item_time: str = "o_orderdate"):
 
 
 def _event_log(spark: SparkSession, base: str) -> EventShop:
-    return EventShop(configure(spark), base, EVENT_DATES)
+    return EventShop(configure(spark), base)
 
 
 def _query(shop, analysis: Callable[[OrderShop], DataFrame]) -> Query:
@@ -87,7 +85,7 @@ ACTIVATION_CHOICE = dict(
 
 
 def _monthly(s: OrderShop) -> DataFrame:
-    return rep.repeat_purchaser_monthly(s.order_items, 1996, COMPLETE)
+    return rep.repeat_purchaser_monthly(s.orders_with_items, 1996, COMPLETE)
 
 
 def _users(s: OrderShop, **choices) -> DataFrame:
@@ -98,14 +96,12 @@ def _first(s: OrderShop) -> DataFrame:
     return act.first_order(_users(s), s.orders, DONE)
 
 
-def _tables(s: OrderShop) -> dict[str, DataFrame]:
-    return {
-        "users": s.users,
-        "orders": s.orders,
-        "order_items": s.order_items,
-        "events": s.events,
-        "inventory_items": s.inventory_items,
-    }
+def _cohort_pivot(s: OrderShop) -> DataFrame:
+    cells = ret.cohort_monthly_sparse(s.orders_with_items, status=COMPLETE)
+    return ret.cohort_pivot(cells, ret.observed_ages(cells))
+
+
+TABLES = ("customer", "orders", "lineitem", "events", "part")
 
 
 def _dimension_values(s: OrderShop) -> DataFrame:
@@ -127,49 +123,50 @@ def _age_pivot(s: OrderShop) -> DataFrame:
     return act.activation_age_pivot(long, BALANCE_BINS)
 
 
-# Analyses of the commerce view; each is registered for all dates.
-COMMERCE: dict[str, Callable[[OrderShop], DataFrame]] = {
-    "purchase_frequency": lambda s: rep.purchase_frequency(s.order_items, COMPLETE),
+# Analyses of the shop view; each is registered for all dates.
+SHOP: dict[str, Callable[[OrderShop], DataFrame]] = {
+    "purchase_frequency": lambda s: rep.purchase_frequency(s.orders_with_items, COMPLETE),
     "purchase_counts_by_user": lambda s: rep.purchase_counts_by_user(
-        s.order_items, ("F", "O", "P")
+        s.orders_with_items, ("F", "O", "P")
     ),
     "cohort_monthly_sparse": lambda s: ret.cohort_monthly_sparse(
-        s.order_items, *ALL_DATES, COMPLETE
+        s.orders_with_items, status=COMPLETE
+    ),
+    "cohort_monthly_from": lambda s: ret.cohort_monthly_sparse(
+        s.orders_with_items, "1996-03-01", status=COMPLETE
     ),
     "cohort_monthly_by_category": lambda s: ret.cohort_monthly_by_category(
         s.order_items, s.products, "MEDIUM", COMPLETE
     ),
-    "cohort_monthly_dense": lambda s: ret.cohort_monthly_dense(s.order_items, 12, COMPLETE),
+    "cohort_monthly_dense": lambda s: ret.cohort_monthly_dense(s.orders_with_items, 12, COMPLETE),
     "cohort_weekly_dense": lambda s: ret.cohort_weekly_dense(
-        s.order_items, "1995-02", 2, 52, COMPLETE
+        s.orders_with_items, "1995-02", 2, 52, COMPLETE
     ),
     "cohort_weekly_month": lambda s: ret.cohort_weekly_month(
-        s.order_items, "1995-02", 12, status=COMPLETE
+        s.orders_with_items, "1995-02", 12, status=COMPLETE
     ),
     "cohort_daily_dense": lambda s: ret.cohort_daily_dense(
-        s.order_items, "1995-02", None, 60, COMPLETE
+        s.orders_with_items, "1995-02", None, 60, COMPLETE
     ),
     "cohort_daily_dense_w5": lambda s: ret.cohort_daily_dense(
-        s.order_items, "1995-02", 5, 60, COMPLETE
-    ),
-    "cohort_pivot": lambda s: ret.cohort_pivot(
-        ret.cohort_monthly_sparse(s.order_items, *ALL_DATES, COMPLETE), range(MONTHS_SPANNED)
+        s.orders_with_items, "1995-02", 5, 60, COMPLETE
     ),
+    "cohort_pivot": _cohort_pivot,
     "cohort_pivot_dense": lambda s: ret.cohort_pivot(
-        ret.cohort_monthly_dense(s.order_items, 12, COMPLETE), range(1, 13)
+        ret.cohort_monthly_dense(s.orders_with_items, 12, COMPLETE), range(1, 13)
     ),
     "cohort_pivot_weekly": lambda s: ret.cohort_pivot(
-        ret.cohort_weekly_month(s.order_items, "1995-02", 12, status=COMPLETE),
+        ret.cohort_weekly_month(s.orders_with_items, "1995-02", 12, status=COMPLETE),
         range(1, 13),
         WEEK,
     ),
     "cohort_pivot_daily": lambda s: ret.cohort_pivot(
-        ret.cohort_daily_dense(s.order_items, "2001-07", None, 30, COMPLETE), range(1, 31), DAY
+        ret.cohort_daily_dense(s.orders_with_items, "2001-07", None, 30, COMPLETE), range(1, 31), DAY
     ),
     "repeat_purchaser_monthly": _monthly,
     "repeat_rate_by_season": lambda s: rep.repeat_rate_by_season(_monthly(s)),
     "repeat_by_order_weekday": lambda s: rep.repeat_by_order_weekday(
-        s.order_items, *ALL_DATES, COMPLETE
+        s.orders_with_items, status=COMPLETE
     ),
     "revenue_scope": lambda s: scope_of(s).items.select(
         "order_id", "user_id", "product_id", "sale_price", "created_at"
@@ -204,9 +201,9 @@ COMMERCE: dict[str, Callable[[OrderShop], DataFrame]] = {
     "ttfp_histogram": lambda s: act.ttfp_histogram(_users(s), s.orders, 20, DONE),
     "status_counts": lambda s: ovw.status_counts(s.orders),
     "dimension_values": _dimension_values,
-    "available_months": lambda s: ovw.available_months(s.order_items),
-    "cohort_months_weekly": lambda s: ovw.cohort_months_weekly(s.order_items),
-    "date_bounds": lambda s: ovw.date_bounds(s.order_items),
+    "available_months": lambda s: ovw.available_months(s.orders_with_items),
+    "cohort_months_weekly": lambda s: ovw.cohort_months_weekly(s.orders_with_items),
+    "date_bounds": lambda s: ovw.date_bounds(s.orders_with_items),
 }
 
 # Those whose result turns on the window's edges, again for 1995 alone.
@@ -233,31 +230,27 @@ YEARLY = (
 # Analyses of the event view.
 EVENT_LOG: dict[str, Callable[[OrderShop], DataFrame]] = {
     "cohort_weekly_dense_evt": lambda s: ret.cohort_weekly_dense(
-        s.order_items, "2024-01", None, 12
+        s.orders_with_items, "2024-01", None, 12
     ),
-    "cohort_daily_dense_evt": lambda s: ret.cohort_daily_dense(s.order_items, "2024-01", None, 30),
+    "cohort_daily_dense_evt": lambda s: ret.cohort_daily_dense(s.orders_with_items, "2024-01", None, 30),
     "repeat_by_order_weekday_evt": lambda s: rep.repeat_by_order_weekday(
-        s.order_items, "2024-01-01", "2024-01-30"
-    ),
-    "repeat_by_cohort_weekday": lambda s: rep.repeat_by_cohort_weekday(
-        s.order_items, "2024-01-01", "2024-01-30"
-    ),
-    "repeat_weekday_vs_weekend": lambda s: rep.repeat_weekday_vs_weekend(
-        s.order_items, "2024-01-01", "2024-01-30"
+        s.orders_with_items
     ),
+    "repeat_by_cohort_weekday": lambda s: rep.repeat_by_cohort_weekday(s.orders_with_items),
+    "repeat_weekday_vs_weekend": lambda s: rep.repeat_weekday_vs_weekend(s.orders_with_items),
     "ttfp_summary_evt": lambda s: act.ttfp_summary(_users(s), s.orders),
     "ttfp_histogram_evt": lambda s: act.ttfp_histogram(_users(s), s.orders, 20),
 }
 
 
 def queries() -> dict[str, Query]:
-    everything = _commerce(ALL_DATES)
-    found = {key: _query(everything, analysis) for key, analysis in COMMERCE.items()}
-    found |= {f"{key}_1995": _query(_commerce(YEAR_1995), COMMERCE[key]) for key in YEARLY}
+    everything = _shop()
+    found = {key: _query(everything, analysis) for key, analysis in SHOP.items()}
+    found |= {f"{key}_1995": _query(_shop(YEAR_1995), SHOP[key]) for key in YEARLY}
     found |= {key: _query(_event_log, analysis) for key, analysis in EVENT_LOG.items()}
     # The order's month decides the scope, the item's own month the series.
     found["revenue_monthly_shipped"] = _query(
-        _commerce(ALL_DATES, "l_shipdate"), COMMERCE["revenue_monthly"]
+        _shop(None, "l_shipdate"), SHOP["revenue_monthly"]
     )
     found["revenue_kpis_chosen"] = _query(
         everything, lambda s: rev.revenue_kpis(scope_of(s, **CHOSEN))
@@ -267,13 +260,17 @@ def queries() -> dict[str, Query]:
         lambda s: act.activation_kpis(_users(s, **ACTIVATION_CHOICE), s.orders, DONE),
     )
     # Users who signed up before the year have left the scope by then.
-    found["revenue_kpis_1996"] = _query(_commerce(YEAR_1996), COMMERCE["revenue_kpis"])
+    found["revenue_kpis_1996"] = _query(_shop(YEAR_1996), SHOP["revenue_kpis"])
     found["sample_events"] = _query(
-        _commerce(None),
+        _shop(),
         lambda s: smp.sample_events(s.events, 2024, SAMPLE_ROWS, 42, ["id"]),
     )
-    # Table sizes are those of the tables as they are, outside any window.
+    found["sample_events_50k"] = _query(
+        _shop(),
+        lambda s: smp.sample_events(s.events, 2024, SAMPLE_ROWS_LARGE, 42, ["id"]),
+    )
+    # Table sizes are those of the tables as they are stored.
     found["table_summary"] = _query(
-        _commerce(None), lambda s: ovw.table_summary(_tables(s))
+        _shop(), lambda s: ovw.table_summary({name: s.raw(name) for name in TABLES})
     )
     return found

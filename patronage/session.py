@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -22,11 +23,16 @@ RUNTIME_CONF = {
 START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+_CONFIGURED: weakref.WeakSet[SparkSession] = weakref.WeakSet()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
-    for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Apply the runtime settings to an existing session, once, and return it."""
+    if spark not in _CONFIGURED:
+        for key, value in RUNTIME_CONF.items():
+            if spark.conf.get(key, None) != value:
+                spark.conf.set(key, value)
+        _CONFIGURED.add(spark)
     return spark
 
 

@@ -9,6 +9,7 @@ from patronage.functions.spans import calendar_year, closed_window, day_range
 from patronage.functions.values import AGE_BINS, status_is
 from patronage.operators import activation, overview, repeat, retention, revenue, sampling
 from patronage.plans.cohorts import MONTH, cohort_cells, dense_cells
+from patronage.registry.queries import queries
 from pyspark.sql import functions as F
 
 ITEM = "user_id bigint, order_id bigint, status string, created_at ts"
@@ -391,3 +392,71 @@ def test_sample_of_copies_keeps_their_number(spark, n):
     found = [r.id for r in sampling.sample_rows(df, n).collect()]
     assert len(found) == min(n, 60)
     assert all(found.count(i) <= (21 if i == 7 else 1) for i in set(found))
+
+
+ITEMS = "order_id bigint,user_id bigint,status string,created_at ts"
+
+
+def test_either_bound_alone(frame):
+    items = frame(ITEMS, [(1, 1, "Complete", "2022-05-01"), (2, 2, "Complete", "2023-05-01"),
+                          (3, 3, "Complete", None)])
+    months = lambda **span: sorted(
+        str(r[0])[:4] for r in retention.cohort_monthly_sparse(items, **span).collect()
+    )
+    assert months() == ["2022", "2023"]
+    assert months(start="2023-01-01") == ["2023"]
+    assert months(end="2022-12-31") == ["2022"]
+
+
+@pytest.mark.parametrize("fraction, count, brought", [(0.1, 1, 30), (1.0, 2, 46), (1.5, 2, 46)])
+def test_fractions_up_to_all(frame, fraction, count, brought):
+    users = frame("id bigint,created_at ts,gender string,age int,traffic_source string",
+                  [(i, "2023-01-01", "F", 30, "Search") for i in (1, 2)])
+    orders = frame(ITEMS, [(i, i, "Complete", "2023-01-02") for i in (1, 2)])
+    items = frame("order_id bigint,user_id bigint,product_id bigint,sale_price money,created_at ts",
+                  [(1, 1, 1, 30, "2023-01-02"), (2, 2, 1, 16, "2023-01-02")])
+    products = frame("id bigint,category string,brand string,name string", [(1, "c", "b", "n")])
+    scope = revenue.revenue_scope(users, orders, items, products)
+    (row,) = revenue.top_revenue_share(scope, fraction).collect()
+    found = (row.top_count, float(row.top_revenue), float(row.total_revenue))
+    assert found == (count, brought, 46)
+
+
+def test_a_kept_scope_gives_the_same(spark, frame, tmp_path):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    users = frame("id bigint,created_at ts,gender string,age int,traffic_source string",
+                  [(1, "2023-01-01", "F", 30, "Search")])
+    orders = frame(ITEMS, [(1, 1, "Complete", "2023-01-02")])
+    items = frame("order_id bigint,user_id bigint,product_id bigint,sale_price money,created_at ts",
+                  [(1, 1, 1, 30, "2023-01-02")])
+    products = frame("id bigint,category string,brand string,name string", [(1, "c", "b", "n")])
+    scope = revenue.revenue_scope(users, orders, items, products)
+    kept = scope.kept()
+    for analysis in (revenue.revenue_kpis, revenue.product_revenue_topk):
+        assert rows(analysis(kept)) == rows(analysis(scope))
+
+
+def test_plain_keys_take_rows_of_any_date(spark, tmp_path):
+    """Orders of 1990, 2005, 2023 and without a date count wherever the date is not asked for."""
+    dates = ["1990-01-05", "2005-06-07", "2023-12-31 23:59:59", None]
+    keys = range(len(dates))
+    write = lambda name, df: df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("orders", spark.createDataFrame(
+        [(k, k, "F", 1.0, d, "x") for k, d in zip(keys, dates)],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate string, o_orderpriority string",
+    ).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")))
+    write("lineitem", spark.createDataFrame(
+        [(k, 1, 1, 1, 1.0, 5.0, 0.0, 0.0, "N", "F") for k in keys],
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string",
+    ).withColumn("l_shipdate", F.lit(None).cast("timestamp_ntz")))
+    run = lambda key: queries()[key](spark, str(tmp_path)).collect()
+    assert run("purchase_frequency")[0].users == 4
+    assert run("status_counts")[0].orders == 4
+    assert [str(r.cohort_month)[:4] for r in sorted(run("cohort_monthly_sparse"))] == ["1990", "2005", "2023"]
+    assert len(run("cohort_pivot")) == 3 and len(run("available_months")) == 3
+    (bounds,) = run("date_bounds")
+    assert (bounds.first_day.year, bounds.last_day.year) == (1990, 2023)
