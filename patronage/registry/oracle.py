@@ -249,7 +249,7 @@ FROM tot"""
 def _revenue_monthly(scope: str) -> str:
     return f"""{scope}
 SELECT {PERIOD["month"]} AS "month", CAST(sum(sale_price) AS DOUBLE) AS revenue
-FROM sco GROUP BY 1"""
+FROM sco WHERE created_at IS NOT NULL GROUP BY 1"""
 
 
 def _top_share(scope: str) -> str:
@@ -317,7 +317,7 @@ def _activation(head: str, chosen: dict | None = None) -> str:
         )
     return f"""{head},
 ppl AS (SELECT * FROM usr WHERE {kept}),
-buy AS (SELECT * FROM ord WHERE status = 'F'),
+buy AS (SELECT * FROM ord WHERE status = 'F' AND created_at IS NOT NULL),
 fbt AS (SELECT user_id, min(created_at) AS first_at FROM buy GROUP BY user_id),
 mrk AS (SELECT ppl.*, fbt.first_at, {_bin_case("age")} AS age_group
         FROM ppl LEFT JOIN fbt ON fbt.user_id = ppl.id),
