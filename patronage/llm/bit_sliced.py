@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-The components of a block of vectors are quantised and kept as slices: one bitmap of the block's rows
-for each attribute and binary digit. A query's scores are sums of slices, weighted by the binary
+The components of a block of vectors are quantised and kept as slices: a bitmap of the block's
+rows for each attribute and binary digit. A query's scores are sums of slices, weighted by the binary
 digits of its own components, and are added up for all rows at once with bitmap full adders. The
 result is slices again; the top rows are taken from the most significant slice downward, and rows
 that tie at the boundary are resolved exactly, by their ids.
@@ -34,10 +34,10 @@ def quantised(embedding: str = "embedding", scale: int = 256) -> F.Column:
     return F.when(~bad & (F.size(embedding) > 0), whole)
 
 
-def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps (attribute, digit, 64-row words) of rows of whole numbers, and each attribute's least.
+def slices_of(values: np.ndarray) -> np.ndarray:
+    """Bitmaps (attribute, digit, 64-row words) of rows of whole numbers.
 
-    Digits count from the least value, so none is negative.
+    Digits count from each attribute's least value, so none is negative.
     """
     low = values.min(axis=0)
     above = (values - low).T  # attribute, row
@@ -47,10 +47,10 @@ def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for d in range(digits):
         bits = (above >> d & 1).astype(np.uint8)
         out[:, d, : -(-values.shape[0] // 8)] = np.packbits(bits, axis=1, bitorder="little")
-    return out.view(np.uint64), low
+    return out.view(np.uint64)
 
 
-def score_slices(slices: np.ndarray, query: np.ndarray, rows: int) -> list[np.ndarray]:
+def score_slices(slices: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     """Digits, least first, of a number for each row that orders the rows as their scores do.
 
     A negative weight counts the missing digits instead, which differs by a constant.
@@ -114,7 +114,7 @@ def _index(block: pd.DataFrame) -> pd.DataFrame:
     """One row: the block's ids (ascending), values and slices."""
     block = block.sort_values("vec_id", kind="stable")
     values = np.stack(block["q"].to_numpy()).astype(np.int64)
-    slices, _ = slices_of(values)
+    slices = slices_of(values)
     return pd.DataFrame(
         {
             "size": [values.shape[1]],
@@ -146,7 +146,7 @@ def _search(k: int):
                     low, high = np.searchsorted(ids, [query_id, query_id + 1])
                     for own in range(low, high):
                         allowed[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-                    sure, tied = top_rows(score_slices(slices, query, len(ids)), allowed, k)
+                    sure, tied = top_rows(score_slices(slices, query), allowed, k)
                     some = _members(sure)
                     some = np.concatenate([some, _members(tied, k - len(some))])
                     scores = values[some].astype(np.int64) @ query

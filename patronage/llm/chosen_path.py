@@ -92,8 +92,9 @@ def _keys(minima: np.ndarray, tree: int, depth: int) -> np.ndarray:
     paths = np.full((len(minima), 1), tree + 1, np.uint64)
     with np.errstate(over="ignore"):
         for level in range(depth):
-            step = [paths * np.uint64(0x2545F4914F6CDD1D) + own[:, level, j, None] * np.uint64(2) + np.uint64(j) for j in (0, 1)]
-            paths = W.mixed(np.concatenate(step, axis=1))
+            left = paths * np.uint64(0x2545F4914F6CDD1D) + own[:, level, 0, None] * np.uint64(2)
+            right = paths * np.uint64(0x2545F4914F6CDD1D) + own[:, level, 1, None] * np.uint64(2)
+            paths = W.mixed(np.concatenate([left, right + np.uint64(1)], axis=1))
     return paths
 
 

@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 EXTRA = {
@@ -26,7 +27,7 @@ def documents(spark, tmp_path_factory):
             columns = [pa.array([r[c] for r in some], kinds[c]) for c in (0, 1)]
             columns += [pa.nulls(len(some), t) for t in kinds[2:]]
             table = pa.Table.from_arrays(columns, names=names)
-            pa.parquet.write_table(table, folder / f"part-{k}.parquet")
+            pq.write_table(table, folder / f"part-{k}.parquet")
         return spark.read.parquet(str(folder))
 
     return build
@@ -36,5 +37,3 @@ def documents(spark, tmp_path_factory):
 def small():
     return "/root/testdata/sf0.001"
 
-
-import pyarrow.parquet  # noqa: E402
