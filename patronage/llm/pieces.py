@@ -150,6 +150,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
         yield batch.slice(low, high - low)
 
 
+def forget() -> None:
+    """Give back what was remembered of lower-cased words, so that idle workers stay small."""
+    _spaced.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def byte_level_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Whole texts under a byte-level BPE tokenizer: all ids, and where each text's begin and end.
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.pieces import slices, spaced_ids, tokenizer
+from patronage.llm.pieces import forget, slices, spaced_ids, tokenizer
 from patronage.llm.work import texts_of
 
 LEAF = 8_192
@@ -143,13 +143,16 @@ def leaves(path: str, text: str, leaf: int) -> list[tuple[bool, str]]:
 
 def _with_ids(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            ids, at = spaced_ids(path, batch.column("text"))
-            lists = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
-            kept = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), lists], names=[*kept, "ids"]
-            )
+        try:
+            for batch in (part for whole in batches for part in slices(whole)):
+                ids, at = spaced_ids(path, batch.column("text"))
+                lists = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
+                kept = [c for c in batch.schema.names if c != "ids"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept), lists], names=[*kept, "ids"]
+                )
+        finally:
+            forget()
 
     return encode
 

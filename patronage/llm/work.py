@@ -5,12 +5,30 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Texts are long: batches to Python tasks are kept to some megabytes on either side.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+_PREPARED: weakref.WeakSet[SparkSession] = weakref.WeakSet()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set the size of batches, once a session."""
+    if spark not in _PREPARED:
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
+        _PREPARED.add(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +54,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: later failures do not compute it again."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    prepare(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
