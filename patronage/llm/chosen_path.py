@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from patronage.llm import words as W
 from patronage.llm.components import components
-from patronage.llm.work import written
+from patronage.llm.work import lean, written
 
 TREES = 4
 DEPTH = 3  # of all documents
@@ -123,14 +123,14 @@ def _branch(trees: range, depth: int, below: bool):
 def nodes(features: DataFrame, trees: range) -> DataFrame:
     """`key`, `doc_id` of the nodes that hold two documents or more, large ones branched further."""
     rows = features.select("doc_id", "minima").mapInArrow(
-        _branch(trees, DEPTH, False), "doc_id bigint, key bigint"
+        lean(_branch(trees, DEPTH, False)), "doc_id bigint, key bigint"
     )
     sizes = rows.groupBy("key").count().where("count > 1")
     sizes = written(sizes, "node-sizes")
     small = rows.join(sizes.where(F.col("count") <= NODE).select("key"), "key")
     large = sizes.where(F.col("count") > NODE).select(F.col("key").alias("top"))
     lower = features.select("doc_id", "minima").mapInArrow(
-        _branch(trees, DEEPER, True), "doc_id bigint, key bigint, top bigint"
+        lean(_branch(trees, DEEPER, True)), "doc_id bigint, key bigint, top bigint"
     )
     lower = lower.join(large, "top", "left_semi").select("key", "doc_id")
     return small.select("key", "doc_id").union(lower)
@@ -238,11 +238,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 )
 
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(full, "id bigint, set binary")
+    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(lean(full), "id bigint, set binary")
     sets = written(sets, "sets")
     with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     with_y = with_x.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    return with_y.select("a", "b", "x", "y").mapInArrow(lean(_confirm(percent)), "a bigint, b bigint")
 
 
 def _blocks(members: DataFrame, salt: int, last: bool) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL")
-    features = written(known.mapInArrow(_features(size), FEATURES), "features")
+    features = written(known.mapInArrow(lean(_features(size)), FEATURES), "features")
     same = features.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("first"))
     same = written(same, "equal-sets")
     heads = features.join(
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             "key", "block", "doc_id", "label", "n", "places"
         )
         runs = rows.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
-        pairs = runs.mapInArrow(_pairs(percent, best), "a bigint, b bigint").distinct()
+        pairs = runs.mapInArrow(lean(_pairs(percent, best)), "a bigint, b bigint").distinct()
         if asked is not None:  # confirmed or not, a pair is asked for once
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "first", "doc_id").alias("component_id"),
     )
-    unknown = texts.where("doc_id IS NULL").mapInArrow(_features(size), FEATURES)
+    unknown = texts.where("doc_id IS NULL").mapInArrow(lean(_features(size)), FEATURES)
     rest = unknown.select(
         "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )

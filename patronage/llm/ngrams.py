@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm import words as W
-from patronage.llm.work import written
+from patronage.llm.work import lean, written
 
 # Of a chunk's texts: all n-grams (64-bit hashes) with the row of each.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -122,7 +122,7 @@ def frequent(rows: DataFrame, features: Features, least: int, most: int) -> np.n
                     [pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"]
                 )
 
-    counted = rows.select("text").mapInArrow(count, "gram bigint, n bigint")
+    counted = rows.select("text").mapInArrow(lean(count), "gram bigint, n bigint")
     common = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     kept = common.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow()
     return np.sort(kept.column("gram").to_numpy().view(np.uint64))
@@ -155,7 +155,7 @@ def counts(
 
     names = [f"n{t}" for t in range(1 + len(targets))]
     counted = rows.select("text", *targets).mapInArrow(
-        count, "place bigint, " + ", ".join(f"{n} bigint" for n in names)
+        lean(count), "place bigint, " + ", ".join(f"{n} bigint" for n in names)
     )
     summed = counted.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((len(chosen) + 1, len(names)), np.int64)

@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from patronage.llm.work import give_back
+
 KEPT = 600_000
 _STEP = 1 << 19
 # White space of any kind after a space, or a space at the end.
@@ -153,7 +155,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
 def forget() -> None:
     """Give back what was remembered of lower-cased words, so that idle workers stay small."""
     _spaced.cache_clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def byte_level_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm import ngrams as N
+from patronage.llm.work import lean
 
 SAMPLE_ROWS = 20_000
 LEAST_ROWS = 5  # labelled rows of some category that hold a feature
@@ -161,11 +162,11 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
     sample = N.sampled(labelled, sample_rows).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", *categories
     )
-    found = sample.mapInArrow(pairs, f"doc_id bigint, {kinds}, places array<bigint>")
+    found = sample.mapInArrow(lean(pairs), f"doc_id bigint, {kinds}, places array<bigint>")
     model = (
         found.coalesce(1)
         .mapInArrow(
-            train, "weights array<double>, earlier array<double>, link bigint, bias double"
+            lean(train), "weights array<double>, earlier array<double>, link bigint, bias double"
         )
         .orderBy("link")
         .collect()  # a row for each category
@@ -213,7 +214,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             )
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(scored, ", ".join([*schema, *(f"`{n}` double" for n in names)]))
+    return rows.mapInArrow(lean(scored), ", ".join([*schema, *(f"`{n}` double" for n in names)]))
 
 
 # Words that name a person, and words that belittle: fixed values.

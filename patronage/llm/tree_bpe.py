@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.pieces import forget, slices, spaced_ids, tokenizer
-from patronage.llm.work import texts_of
+from patronage.llm.work import lean, texts_of
 
 LEAF = 8_192
 _WINDOW = 48
@@ -270,4 +270,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
-    return rows.mapInArrow(texts, f"{schema}, decoded string")
+    return rows.mapInArrow(lean(texts), f"{schema}, decoded string")
