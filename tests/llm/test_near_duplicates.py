@@ -162,6 +162,33 @@ def test_hot_passage_and_repeated_words(documents):
     assert {r[0] for r in found.where("doc_id >= 1000").select("doc_id").collect()} >= {1_001, 1_002}
 
 
+def test_passages_behind_shorter_stretches(documents):
+    rng = random.Random(11)
+    rows, whole = [], {}
+    for g in range(12):
+        shared = passage(rng, 60, "s")
+        for k in range(4):  # the first two hold less than a passage of it, at other places
+            middle = [shared[8:53], shared[4:48], shared, shared][k]
+            before, after = passage(rng, 70, "b"), passage(rng, 70, "a")
+            rows.append((10 * g + k, " ".join(before + middle + after)))
+            whole[10 * g + k] = range(70, 130)
+    covered = {}
+    for r in compact_windows.repeated_passages(documents(rows)).collect():
+        assert r["first_doc_id"] == r["doc_id"] - 1
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    assert covered == {10 * g + 3: set(whole[10 * g + 3]) for g in range(12)}
+
+
+def test_stretch_hashes():
+    values = np.random.default_rng(1).integers(0, 2, 200).astype(np.uint64)
+    one, two = compact_windows.stretch_hashes(values, 6)
+    found = {}
+    for p in range(195):
+        found.setdefault((one[p], two[p]), set()).add(tuple(values[p : p + 6]))
+    assert all(len(v) == 1 for v in found.values())
+    assert len(found) == len({tuple(values[p : p + 6]) for p in range(195)})
+
+
 def test_cut_keeps_the_rest():
     assert compact_windows._cut_words("é b  c\nd e", [(1, 3)]) == "é \nd e"
     assert compact_windows._cut_words("a b c d", [(0, 2), (1, 3)]) == " d"
