@@ -139,6 +139,24 @@ def test_main_text_of_a_page():
     assert text_of(long).count("\n") == 2_999
 
 
+def test_names_do_not_drop_the_article():
+    body = "<article><h1>T</h1><p>One two three.</p></article>"
+    for page in (
+        f"<div class='layout has-sidebar'>{body}<div class=sidebar>x</div></div>",
+        f"<div id='main' class='no-comments'>{body}</div>",
+        f"<div class='content menu-open'>{body}</div><div class=menu>Much text of a menu, more</div>",
+        f"<form action=x>{body}<button>Go</button></form><footer>end</footer>",
+        f"<div class=banner><div class=widget>{body}</div></div>",
+    ):
+        assert text_of(page) == "T\nOne two three."
+    plain = "<form><div class=sidebar><h1>T</h1><p>Most of the text.</p></div></form><nav>n</nav>"
+    assert text_of(plain) == "T\nMost of the text."
+    inner = "<article><p>A</p><div class='alert'>B</div><p class='share-price'>C</p></article>"
+    assert text_of(inner) == "A\nB\nC"
+    dropped = "<article><p>A</p><div class='share-buttons'>B</div><div class=ad>C</div></article>"
+    assert text_of(dropped) == "A"
+
+
 def test_wrappers_find_templates(spark):
     # Without an article element: what all pages of a host have is template.
     def page(k):
