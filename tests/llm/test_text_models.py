@@ -157,6 +157,14 @@ def test_names_do_not_drop_the_article():
     assert text_of(dropped) == "A"
 
 
+def test_pages_without_an_article_keep_all_blocks():
+    body = "".join(f"<p>{k} of a body that is long</p>" for k in range(20))
+    page = f"<div id=content><h1>T</h1><p>intro</p><div class=body>{body}</div></div>"
+    assert text_of(page).split("\n")[:3] == ["T", "intro", "0 of a body that is long"]
+    two = f"<div><section>{body}</section><section><p>second</p></section></div>"
+    assert text_of(two).endswith("\nsecond")
+
+
 def test_wrappers_find_templates(spark):
     # Without an article element: what all pages of a host have is template.
     def page(k):
