@@ -188,6 +188,22 @@ def test_wrappers_find_templates(spark):
     assert wrappers.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    def page(k, more=""):
+        return f"<div class=wrap><h1>Title {k}</h1><p>All the text of page {k}.</p>{more}</div>"
+
+    rows = [(k, f"http://a.example/{k}", page(1)) for k in range(5)] + [(9, "http://a.example/9", "")]
+    # A place that only the copies and near copies of one page have, on a host of many others.
+    quote = "<blockquote>Said once</blockquote>"
+    rows += [(100 + k, "http://b.example/", page(k)) for k in range(30)]
+    rows += [(200 + k, "http://b.example/", page(k, quote)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert all(got[k] == "Title 1\nAll the text of page 1." for k in range(5)) and got[9] == ""
+    assert got[103] == "Title 3\nAll the text of page 3."
+    assert got[203] == "Title 3\nAll the text of page 3.\nSaid once"
+
+
 def test_given_pages(spark, small):
     for r in registry.op8_wrappers(spark, small).collect():
         assert r["n_chars"] == len(r["text"]) and "<" not in r["text"]
