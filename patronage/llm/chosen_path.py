@@ -3,8 +3,8 @@
 A document is its set of word shingles. Trees branch documents by minwise tokens: at every level a
 document follows the least tokens of its set under two hash functions, so similar sets tend to meet
 in a node. Nodes of `NODE` rows at most are compared exhaustively; larger ones branch further, and
-if they stay large (copies of copies) they are dealt out in blocks. Independent trees repeat this
-until a pair at the threshold is missed less than once in ten thousand times.
+if they stay large (copies of copies) they are dealt out in blocks. Independent trees repeat this,
+as many as the threshold needs for a pair at it to be missed once in a hundred thousand times at most.
 
 Within a node, pairs pass by an upper bound of their similarity (equal places of a histogram of the
 set), and pass to confirmation on the full sets. Three rounds keep the pairs few: in the first two
@@ -15,6 +15,7 @@ component are not looked for, since they would change nothing. Equal sets are on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,11 @@ from patronage.llm import words as W
 from patronage.llm.components import components
 from patronage.llm.work import lean, written
 
-TREES = 4
+MISSED = 1e-5  # of the pairs at the threshold, at most
 DEPTH = 3  # of all documents
 DEEPER = 5  # of those in nodes that are still large
 NODE = 2_048
 BUCKETS = 256
-_FUNCTIONS = TREES * DEEPER * 2
-
-_ODD = np.random.default_rng(9).integers(1, 1 << 62, _FUNCTIONS, dtype=np.uint64) * 2 + 1
 
 FEATURES = "doc_id bigint, n bigint, key1 bigint, key2 bigint, minima binary, places binary"
 
@@ -47,7 +45,20 @@ def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray,
         yield low, high, *W.distinct(shingles, shingle_at)
 
 
-def _features(size: int):
+def trees_for(percent: int) -> int:
+    """How many trees bring all but `MISSED` of the pairs at the threshold together.
+
+    Sets of similarity J follow one branch at least of a level with 1 - (1 - J) ** 2, and meet in a
+    node of the deepest level if they do so at each.
+    """
+    met = (1 - (1 - percent / 100) ** 2) ** DEEPER
+    return 1 if met >= 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
+
+
+def _features(size: int, trees: int):
+    functions = trees * DEEPER * 2
+    odds = np.random.default_rng(9).integers(1, 1 << 62, functions, dtype=np.uint64) * 2 + 1
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -56,13 +67,13 @@ def _features(size: int):
                 full = np.flatnonzero(n)
                 starts = at[:-1][full]
                 sums = np.zeros((2, high - low), np.uint64)
-                minima = np.zeros((high - low, _FUNCTIONS), np.uint32)
+                minima = np.zeros((high - low, functions), np.uint32)
                 places = np.zeros((high - low, BUCKETS), np.int64)
                 if len(full):
                     with np.errstate(over="ignore"):
                         sums[0, full] = np.add.reduceat(flat, starts)
                         sums[1, full] = np.add.reduceat(W.mixed(flat), starts)
-                        for f, odd in enumerate(_ODD):
+                        for f, odd in enumerate(odds):
                             under = ((flat * odd) >> np.uint64(32)).astype(np.uint32)
                             minima[full, f] = np.minimum.reduceat(under, starts)
                     row = np.repeat(np.arange(high - low), n)
@@ -88,7 +99,8 @@ def _features(size: int):
 
 def _keys(minima: np.ndarray, tree: int, depth: int) -> np.ndarray:
     """The path of each row to each of its nodes at a depth: (row, 2 ** depth)."""
-    own = minima.reshape(len(minima), TREES, DEEPER, 2)[:, tree].astype(np.uint64)
+    own = minima.reshape(len(minima), minima.shape[1] // (DEEPER * 2), DEEPER, 2)
+    own = own[:, tree].astype(np.uint64)
     paths = np.full((len(minima), 1), tree + 1, np.uint64)
     with np.errstate(over="ignore"):
         for level in range(depth):
@@ -105,7 +117,8 @@ def _branch(trees: range, depth: int, below: bool):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             blob = b"".join(batch.column("minima").to_pylist())
-            minima = np.frombuffer(blob, np.uint32).reshape(len(ids), _FUNCTIONS)
+            minima = np.frombuffer(blob, np.uint32)
+            minima = minima.reshape(len(ids), len(minima) // max(len(ids), 1))
             for tree in trees:
                 keys = _keys(minima, tree, depth)
                 wide = keys.shape[1]
@@ -281,7 +294,8 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL")
-    features = written(known.mapInArrow(lean(_features(size)), FEATURES), "features")
+    trees = trees_for(percent)
+    features = written(known.mapInArrow(lean(_features(size, trees)), FEATURES), "features")
     same = features.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("first"))
     same = written(same, "equal-sets")
     heads = features.join(
@@ -291,10 +305,10 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     heads = written(heads.dropDuplicates(["doc_id", "key1", "key2", "n"]), "heads")
     labels, links, asked = heads.select(F.col("doc_id").alias("id")).limit(0), None, None
     labels = labels.withColumn("component", F.col("id"))
-    rounds = [(range(1), True), (range(TREES), True), (range(TREES), False)]
-    for salt, (trees, best) in enumerate(rounds):
+    rounds = [(range(1), True), (range(trees), True), (range(trees), False)]
+    for salt, (some, best) in enumerate(rounds):
         if salt < 2:
-            placed = written(nodes(heads, trees), "nodes")
+            placed = written(nodes(heads, some), "nodes")
         found = labels.withColumnRenamed("id", "doc_id")
         members = placed.join(found, "doc_id", "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("label")
@@ -318,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "first", "doc_id").alias("component_id"),
     )
-    unknown = texts.where("doc_id IS NULL").mapInArrow(lean(_features(size)), FEATURES)
+    unknown = texts.where("doc_id IS NULL").mapInArrow(lean(_features(size, trees)), FEATURES)
     rest = unknown.select(
         "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )

@@ -62,6 +62,20 @@ def test_near_duplicates(documents, monkeypatch, node):
     assert sorted(map(tuple, out.collect())) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95, 100])
+def test_trees_follow_the_threshold(percent):
+    # Pairs of random minima that agree as often as sets at the threshold do, in the deepest nodes.
+    trees, rng = chosen_path.trees_for(percent), np.random.default_rng(percent)
+    shape = (40_000, trees * chosen_path.DEEPER * 2)
+    one = rng.integers(0, 1 << 32, shape, dtype=np.uint32)
+    two = np.where(rng.random(shape) < percent / 100, one, one + 1)
+    met = np.zeros(len(one), bool)
+    for tree in range(trees):
+        a, b = (chosen_path._keys(x, tree, chosen_path.DEEPER) for x in (one, two))
+        met |= (a == b).any(axis=1)
+    assert (~met).sum() <= 4
+
+
 def test_repeated_and_missing_ids(documents):
     text = "a b c d e f g"
     rows = [(5, text), (5, text), (2, text), (None, text), (9, None), (None, None)]
