@@ -156,18 +156,23 @@ def _bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
 
 
 def _pairs(percent: int, best: bool):
-    """Pairs that may be similar, of rows (key, doc_id, label, n, places) in runs of one key."""
+    """Pairs that may be similar, of rows (key, doc_id, label, n, places, side) in runs of one key.
 
-    def of_node(ids, labels, n, places) -> tuple[np.ndarray, np.ndarray]:
+    Rows of a side other than 0 are compared with those of the other side only.
+    """
+
+    def of_node(ids, labels, n, places, side) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         values, counts = np.unique(labels, return_counts=True)
         major = labels == values[counts.argmax()]
         # Major rows are met by the others; among themselves they have nothing to find.
         order = np.argsort(~major, kind="stable")
         ids, labels, n, places = ids[order], labels[order], n[order], places[order]
+        side = side[order]
         for i in range(int(major.sum()), len(ids)):
             near = np.flatnonzero(
                 (labels[:i] != labels[i])
+                & ((side[i] == 0) | (side[:i] != side[i]))
                 & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
             )
             if not len(near):
@@ -192,7 +197,9 @@ def _pairs(percent: int, best: bool):
             key = rows.column("key").to_numpy()
             block = rows.column("block").to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            ids, labels, n = (rows.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+            ids, labels, n, side = (
+                rows.column(c).to_numpy() for c in ("doc_id", "label", "n", "side")
+            )
             blobs = rows.column("places").to_pylist()
             blank = bytes(BUCKETS)
             a, b = [], []
@@ -200,7 +207,8 @@ def _pairs(percent: int, best: bool):
                 if high - low > 1 and (labels[low:high] != labels[low]).any():
                     blob = b"".join(x or blank for x in blobs[low:high])
                     places = np.frombuffer(blob, np.uint8).reshape(high - low, BUCKETS)
-                    x, y = of_node(ids[low:high], labels[low:high], n[low:high], places)
+                    own = slice(low, high)
+                    x, y = of_node(ids[own], labels[own], n[own], places, side[own])
                     a.append(x)
                     b.append(y)
             if a:
@@ -261,8 +269,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 def _blocks(members: DataFrame, salt: int, last: bool) -> DataFrame:
     """Nodes of several labels, in blocks of about NODE rows.
 
-    Most nodes are one block. Of a larger one, the rows of the most frequent label are dealt out;
-    in the last round the others go to all blocks, so no pair is missed, before that to one.
+    Most nodes are one block. A larger one is dealt out; in the last round as pairs of blocks, so that
+    no pair is missed, each is met once and a task holds two blocks. `side` tells the two apart (0: a
+    block with itself). Pairs of blocks of the most frequent label have nothing to find.
     """
     per_label = members.groupBy("key", "label").count()
     most = F.struct("count", "label")
@@ -272,15 +281,30 @@ def _blocks(members: DataFrame, salt: int, last: bool) -> DataFrame:
     sizes = sizes.where("labels > 1").select(
         "key",
         F.col("top.label").alias("major"),
-        F.ceil(F.col("rows") / NODE).cast("int").alias("blocks"),
+        F.ceil(F.col("rows") / NODE).cast("bigint").alias("blocks"),
+        F.ceil(F.col("top.count") / NODE).cast("bigint").alias("majors"),
+        F.ceil((F.col("rows") - F.col("top.count")) / NODE).cast("bigint").alias("minors"),
     )
     placed = members.join(sizes, "key")
-    one = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks")).cast("int")
-    if last:
-        everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-        own = F.when(F.col("label") == F.col("major"), F.array(one)).otherwise(everywhere)
-        return placed.withColumn("block", F.explode(own)).drop("major", "blocks")
-    return placed.withColumn("block", one).drop("major", "blocks")
+    hashed = F.xxhash64("doc_id", F.lit(salt))
+    rest = ("major", "blocks", "majors", "minors")
+    if not last:
+        one = placed.withColumn("block", F.pmod(hashed, F.col("blocks")))
+        return one.withColumn("side", F.lit(0)).drop(*rest)
+    zero, whole = F.lit(0).cast("bigint"), F.col("blocks") == 1
+    total, is_minor = F.col("minors") + F.col("majors"), F.col("label") != F.col("major")
+    own = F.when(is_minor, F.pmod(hashed, F.col("minors"))).otherwise(
+        F.col("minors") + F.pmod(hashed, F.col("majors"))
+    )
+    met = F.sequence(zero, F.when(is_minor, total).otherwise(F.col("minors")) - 1)
+    dealt = placed.withColumn("own", F.when(whole, zero).otherwise(own)).withColumn(
+        "met", F.explode(F.when(whole, F.array(zero)).otherwise(met))
+    )
+    least, most = F.least("own", "met"), F.greatest("own", "met")
+    side = F.when(F.col("own") == F.col("met"), 0).when(F.col("own") < F.col("met"), 1).otherwise(2)
+    return dealt.withColumn("block", least * total + most).withColumn("side", side).drop(
+        "own", "met", *rest
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -315,7 +339,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         )
         dealt = _blocks(members, salt, not best)
         rows = dealt.join(heads.select("doc_id", "n", "places"), "doc_id").select(
-            "key", "block", "doc_id", "label", "n", "places"
+            "key", "block", "doc_id", "label", "n", "places", "side"
         )
         runs = rows.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
         pairs = runs.mapInArrow(lean(_pairs(percent, best)), "a bigint, b bigint").distinct()

@@ -76,6 +76,24 @@ def test_trees_follow_the_threshold(percent):
     assert (~met).sum() <= 4
 
 
+def test_large_nodes_are_dealt_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "NODE", 10)
+    rows = [(7, k, 1_000 if k < 40 else k) for k in range(100)] + [(8, 1, 1), (8, 2, 2), (9, 3, 3)]
+    members = spark.createDataFrame(rows, "key bigint, doc_id bigint, label bigint")
+    groups = {}
+    for r in chosen_path._blocks(members, 2, True).collect():
+        groups.setdefault((r["key"], r["block"]), []).append((r["doc_id"], r["label"], r["side"]))
+    assert max(map(len, groups.values())) < 50
+    met = []
+    for found in groups.values():
+        for i, (a, x, s) in enumerate(found):
+            met += [
+                (min(a, b), max(a, b)) for b, y, t in found[:i] if x != y and (s == 0 or s != t)
+            ]
+    want = [(a, b) for a in range(100) for b in range(a + 1, 100) if b >= 40]
+    assert sorted(met) == sorted([*want, (1, 2)])
+
+
 def test_repeated_and_missing_ids(documents):
     text = "a b c d e f g"
     rows = [(5, text), (5, text), (2, text), (None, text), (9, None), (None, None)]
