@@ -20,16 +20,21 @@ from pyspark.sql.window import Window
 
 BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 64
-# Quantised components stay below this, so that scores of up to 2**22 attributes fit a long.
-LIMIT = 1 << 20
+# Quantised components are longs; a finite one that is not fails the query, as it does its SQL.
+LIMIT = float(1 << 63)
 
 
 def quantised(embedding: str = "embedding", scale: int = 256) -> F.Column:
     """floor(scale * x) of each component as an array of long; null where a vector takes no part."""
-    whole = F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    def long(x: F.Column) -> F.Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        wide = F.raise_error(F.lit("a vector's component times the scale is no long")).cast("bigint")
+        return F.when(F.abs(scaled) < LIMIT, F.floor(scaled)).otherwise(wide)
+
+    whole = F.transform(embedding, long)
     bad = F.exists(
         embedding,
-        lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) >= LIMIT / scale),
+        lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")),
     )
     return F.when(~bad & (F.size(embedding) > 0), whole)
 
@@ -40,12 +45,12 @@ def slices_of(values: np.ndarray) -> np.ndarray:
     Digits count from each attribute's least value, so none is negative.
     """
     low = values.min(axis=0)
-    above = (values - low).T  # attribute, row
+    above = (values.view(np.uint64) - low.view(np.uint64)).T  # attribute, row
     digits = max(1, int(above.max()).bit_length())
     rows = -(-values.shape[0] // 64) * 64
     out = np.zeros((above.shape[0], digits, rows // 8), np.uint8)
     for d in range(digits):
-        bits = (above >> d & 1).astype(np.uint8)
+        bits = (above >> np.uint64(d) & np.uint64(1)).astype(np.uint8)
         out[:, d, : -(-values.shape[0] // 8)] = np.packbits(bits, axis=1, bitorder="little")
     return out.view(np.uint64)
 
@@ -115,11 +120,13 @@ def _index(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values("vec_id", kind="stable")
     values = np.stack(block["q"].to_numpy()).astype(np.int64)
     slices = slices_of(values)
+    narrow = values.astype(np.int32)
+    kept = narrow if (narrow == values).all() else values
     return pd.DataFrame(
         {
             "size": [values.shape[1]],
             "ids": [block["vec_id"].to_numpy(np.int64).tobytes()],
-            "values": [values.astype(np.int32).tobytes()],
+            "values": [kept.tobytes()],
             "digits": [slices.shape[1]],
             "slices": [slices.tobytes()],
         }
@@ -131,7 +138,10 @@ def _search(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
-                values = np.frombuffer(row["values"], np.int32).reshape(len(ids), -1)
+                size = len(row["queries"][0])
+                kind = np.int32 if len(row["values"]) == 4 * len(ids) * size else np.int64
+                values = np.frombuffer(row["values"], kind).reshape(len(ids), -1)
+                most = max(abs(int(values.min())), int(values.max()))
                 slices = np.frombuffer(row["slices"], np.uint64)
                 slices = slices.reshape(values.shape[1], row["digits"], -1)
                 everyone = np.zeros(slices.shape[2] * 8, np.uint8)
@@ -149,7 +159,10 @@ def _search(k: int):
                     sure, tied = top_rows(score_slices(slices, query), allowed, k)
                     some = _members(sure)
                     some = np.concatenate([some, _members(tied, k - len(some))])
-                    scores = values[some].astype(np.int64) @ query
+                    exact = np.int64
+                    if most * sum(map(abs, q)) >= 1 << 63:
+                        exact = object  # whole numbers of any size; a top score must be a long
+                    scores = values[some].astype(exact) @ query.astype(exact)
                     out += zip([query_id] * len(some), ids[some].tolist(), scores.tolist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[c] for r in out], pa.int64()) for c in range(3)],

@@ -39,6 +39,16 @@ def test_against_brute_force(spark, block_rows, query_rows):
     assert sorted(map(tuple, out.collect())) == brute(vectors, 5)
 
 
+def test_wide_vectors(spark):
+    rng = random.Random(2)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)]
+    vectors += [(30, [4_096.0, -1e5, 1.0, 0.0]), (31, [-9e4, 5e6, 0.5, 2.0]), (33, [1e7, -1e7, 3.0, 4.0])]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    rows = frame.select("vec_id", bit_sliced.quantised().alias("q"))
+    out = bit_sliced.top_k(rows, rows.where("vec_id % 3 = 0"), 5, 16, 4)
+    assert sorted(map(tuple, out.collect())) == brute(vectors, 5)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     rows = frame.select("vec_id", bit_sliced.quantised().alias("q"))
