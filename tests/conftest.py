@@ -46,7 +46,3 @@ def frame(spark):
         )
 
     return build
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from patronage.functions.spans import calendar_year, closed_window, day_range
 from patronage.functions.values import AGE_BINS, status_is

@@ -6,7 +6,7 @@ import textwrap
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

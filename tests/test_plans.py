@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from patronage.operators import activation, repeat, retention, revenue

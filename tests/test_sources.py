@@ -4,7 +4,7 @@ import csv
 import datetime as dt
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from patronage.operators.retention import cohort_monthly_dense
 from patronage.operators.sampling import sample_events_job
