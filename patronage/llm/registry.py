@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +16,18 @@ from patronage.llm import (
     chosen_path,
     compact_windows,
     decontaminate,
+    four_russians,
     ngrams,
+    packing,
     quality,
+    recompression,
     shards,
     token_files,
     toxicity,
     tree_bpe,
     wrappers,
 )
-from patronage.llm.work import new_path, table
+from patronage.llm.work import new_path, table, texts_of
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -183,6 +189,96 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every 50th vector."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), bit_sliced.quantised().alias("q")
+    )
+    return four_russians.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                  CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+                            AND len(a.q) = len(b.q)),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                     row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+              FROM scored WHERE same QUALIFY place <= 5),
+negatives AS (SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score,
+                     s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY anchor_id, place
+                                             ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+              FROM positives JOIN scored s USING (anchor_id)
+              WHERE NOT s.same AND 50 * positive_score <= 100 * s.score
+                AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 3
+"""
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def repeating(doc_id: int | None, text: str) -> str:
+    """The text, for one document in ten with its words repeating from some place on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    words = _WORD.findall(text) if h % 10 == 0 else []
+    if not words:
+        return text
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    period = words[a : a + p]
+    return " ".join(words[:a] + (period * (-(-(n - a) // p)))[: n - a])
+
+
+def _repeating(batch: pa.RecordBatch) -> pa.Array:
+    ids = batch.column("doc_id").to_pylist()
+    return pa.array(map(repeating, ids, texts_of(batch)), pa.string())
+
+
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, some made to repeat, and what is left without."""
+    found = recompression.find_runs(table(spark, sf_dir, "documents"), _repeating)
+    listed = F.array_join(
+        F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), ""
+    )
+    # of the longest, the first
+    best = F.array_max(
+        F.transform(
+            "runs",
+            lambda r: F.struct(
+                r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")
+            ),
+        )
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2 048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, public_tokenizers.path(BYTE_TOKENIZER))
+    piece = packed.select("sequence_id", F.explode("pieces").alias("piece"))
+    return piece.select("sequence_id", "piece.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -197,6 +293,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_wrappers,
             op9_chosen_path,
             op10_decontaminate,
+            op11_four_russians,
+            op12_recompression,
+            op13_packing,
         )
     }
 
@@ -206,4 +305,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_bit_sliced_top_k": OP4_SQL,
         "op9_chosen_path": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op11_four_russians": OP11_SQL,
     }
