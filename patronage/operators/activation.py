@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from patronage.functions import calendar as cal
 from patronage.functions.values import AGE_BINS, Bins, in_list_or_known, percent
+from patronage.plans import sketch
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import complete_keys, top_k
 from patronage.plans.ranks import count_values, merge_counts, quantile_summary
+from patronage.sources.store import ByUser, parts_of
 
 COMPLETE = ("Complete",)
 
@@ -52,18 +54,26 @@ def first_order(
     )
 
 
-def _with_first(users: DataFrame, orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
-    """Users with `first_at`, null for those who never bought."""
-    first = (
-        _bought(orders, statuses)
-        .groupBy(F.col("user_id").alias("id"))
-        .agg(F.min("created_at").alias("first_at"))
-    )
-    return users.join(first, "id", "left")
+def _with_first(users: DataFrame, orders: ByUser, statuses: Sequence[str]) -> DataFrame:
+    """Users with `first_at`, null for those who never bought.
+
+    Of orders in several frames that have no user in common, each meets the users for itself.
+    """
+    for turn, part in enumerate(parts_of(orders)):
+        first = (
+            _bought(part, statuses)
+            .groupBy(F.col("user_id").alias("id"))
+            .agg(F.min("created_at").alias("other_at" if turn else "first_at"))
+        )
+        users = users.join(first, "id", "left")
+        if turn:
+            known = F.coalesce("first_at", "other_at")
+            users = users.withColumn("first_at", known).drop("other_at")
+    return users
 
 
 def activation_kpis(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """Users, buyers among them, and the rate; a null rate when there are no users."""
     people = users.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("created_at"))
@@ -76,7 +86,7 @@ def activation_kpis(
 
 
 def days_to_first(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """Whole days from sign-up to first order, counted: `v` days, `n` users."""
     met = _with_first(users, orders, statuses).where(F.col("first_at").isNotNull())
@@ -84,7 +94,7 @@ def days_to_first(
 
 
 def ttfp_summary(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """Mean, median, quartiles and maximum of the days to the first order.
 
@@ -108,8 +118,38 @@ def ttfp_summary(
     )
 
 
+def ttfp_summaries(
+    users: DataFrame,
+    orders: ByUser,
+    statuses: Sequence[str] = COMPLETE,
+    points: int = sketch.POINTS,
+    splits: int = sketch.SPLITS,
+) -> DataFrame:
+    """Summaries of the days to the first order for each sign-up month, to be kept.
+
+    `ttfp_sketch` of any choice of months then needs no orders. Users are dealt out by their id.
+    """
+    month = cal.month_start(F.col("created_at")).alias("signup_month")
+    days = cal.elapsed_days(F.col("first_at"), F.col("created_at"))
+    met = _with_first(users, orders, statuses).where(F.col("first_at").isNotNull())
+    rows = met.select("id", month, days.alias("days"))
+    return sketch.summarise(rows, F.col("days"), ["signup_month"], points, splits, F.col("id"))
+
+
+def ttfp_sketch(summaries: DataFrame, points: int = sketch.POINTS) -> DataFrame:
+    """Buyers, median and quartiles of the days to the first order, from summaries of months.
+
+    `rank_error` is what the rank of any of them is off by at most, less than 1/points of the
+    buyers and a few for each month. The maximum is exact.
+    """
+    wanted = {"median_days": 0.5, "q25_days": 0.25, "q75_days": 0.75, "max_days": 1.0}
+    found = sketch.quantiles(summaries, wanted).drop("total_sum")
+    off = sketch.rank_error(summaries, ["signup_month"], points)
+    return found.withColumnRenamed("total_n", "buyers").withColumn("rank_error", off.scalar())
+
+
 def ttfp_histogram(
-    users: DataFrame, orders: DataFrame, bins: int = 20, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, bins: int = 20, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """Buyers by days to the first order, in bins of equal width."""
     return equal_width_histogram(days_to_first(users, orders, statuses), bins)
@@ -129,7 +169,7 @@ def _with_rate(df: DataFrame) -> DataFrame:
 
 
 def activation_monthly(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """Users and buyers by month of sign-up."""
     month = cal.month_start(F.col("created_at"))
@@ -140,7 +180,7 @@ def activation_monthly(
 
 def activation_by(
     users: DataFrame,
-    orders: DataFrame,
+    orders: ByUser,
     dimension: str,
     statuses: Sequence[str] = COMPLETE,
     best_first: bool = True,
@@ -153,27 +193,27 @@ def activation_by(
 
 
 def activation_by_gender(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     return activation_by(users, orders, "gender", statuses, best_first=False)
 
 
 def activation_by_channel(
-    users: DataFrame, orders: DataFrame, statuses: Sequence[str] = COMPLETE
+    users: DataFrame, orders: ByUser, statuses: Sequence[str] = COMPLETE
 ) -> DataFrame:
     """By traffic source, the best rate first."""
     return activation_by(users, orders, "traffic_source", statuses)
 
 
 def _binned(
-    users: DataFrame, orders: DataFrame, bins: Bins, statuses: Sequence[str]
+    users: DataFrame, orders: ByUser, bins: Bins, statuses: Sequence[str]
 ) -> DataFrame:
     return _with_first(users, orders, statuses).withColumn("bin", bins.position("age"))
 
 
 def activation_by_age_group(
     users: DataFrame,
-    orders: DataFrame,
+    orders: ByUser,
     bins: Bins = AGE_BINS,
     statuses: Sequence[str] = COMPLETE,
 ) -> DataFrame:
@@ -190,7 +230,7 @@ def activation_by_age_group(
 
 def activation_age_by_month(
     users: DataFrame,
-    orders: DataFrame,
+    orders: ByUser,
     bins: Bins = AGE_BINS,
     statuses: Sequence[str] = COMPLETE,
 ) -> DataFrame:

@@ -1,8 +1,12 @@
-"""How often customers buy, and who comes back: by month, season and weekday."""
+"""How often customers buy, and who comes back: by month, season and weekday.
+
+Items are one frame, or several that have no user in common (`sources.store`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,20 +17,26 @@ from patronage.functions.values import ratio, status_is
 from patronage.plans.cohorts import DAY, MONTH, active_periods, cohort_cells
 from patronage.plans.keys import complete_keys
 from patronage.schemas import require_columns
+from patronage.sources.store import ByUser, on_parts, parts_of
 
 COMPLETE = "Complete"
 # Fixed value: the statuses that count as a purchase made, whatever became of it.
 PURCHASE_STATUSES = ("Complete", "Returned", "Cancelled")
 
 
-def orders_per_user(items: DataFrame) -> DataFrame:
+def orders_per_user(items: ByUser) -> DataFrame:
     """Distinct orders of each user: `user_id, num_orders`.
 
     Pairs are made distinct on the map side and shuffled by both columns before they are
-    counted, so the orders of one large buyer are spread. A null order counts as none.
+    counted, so the orders of one large buyer are spread. A null order counts as none. Of several
+    frames that have no user in common, each is counted for itself.
     """
-    pairs = items.where(F.col("user_id").isNotNull()).select("user_id", "order_id").distinct()
-    return pairs.groupBy("user_id").agg(F.count("order_id").alias("num_orders"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        pairs = part.where(F.col("user_id").isNotNull()).select("user_id", "order_id").distinct()
+        return pairs.groupBy("user_id").agg(F.count("order_id").alias("num_orders"))
+
+    return reduce(DataFrame.unionAll, map(counted, parts_of(items)))
 
 
 def frequency(per_user: DataFrame) -> DataFrame:
@@ -34,20 +44,25 @@ def frequency(per_user: DataFrame) -> DataFrame:
     return per_user.groupBy("num_orders").agg(F.count("*").alias("users")).orderBy("num_orders")
 
 
+def _of_status(items: ByUser, status: str, normalize: str) -> ByUser:
+    return on_parts(items, lambda part: part.where(status_is(F.col("status"), status, normalize)))
+
+
 def purchase_frequency(
-    items: DataFrame, status: str = COMPLETE, normalize: str = "none"
+    items: ByUser, status: str = COMPLETE, normalize: str = "none"
 ) -> DataFrame:
-    return frequency(orders_per_user(items.where(status_is(F.col("status"), status, normalize))))
+    return frequency(orders_per_user(_of_status(items, status, normalize)))
 
 
 def purchase_counts_by_user(
-    items: DataFrame, statuses: Sequence[str] = PURCHASE_STATUSES
+    items: ByUser, statuses: Sequence[str] = PURCHASE_STATUSES
 ) -> DataFrame:
-    return orders_per_user(items.where(F.col("status").isin(list(statuses))))
+    wanted = F.col("status").isin(list(statuses))
+    return orders_per_user(on_parts(items, lambda part: part.where(wanted)))
 
 
 def repeat_purchaser_monthly(
-    items: DataFrame,
+    items: ByUser,
     year: int | None,
     status: str = COMPLETE,
     normalize: str = "trim_lower",
@@ -57,10 +72,12 @@ def repeat_purchaser_monthly(
     The year is cut out after first months are known, so earlier purchases still count. A table
     without a status counts as completed.
     """
-    require_columns(items, ("user_id", "created_at"), "order items")
-    if "status" in items.columns:
-        items = items.where(status_is(F.col("status"), status, normalize))
-    active = active_periods(items, MONTH)
+
+    def completed(part: DataFrame) -> DataFrame:
+        require_columns(part, ("user_id", "created_at"), "order items")
+        return _of_status(part, status, normalize) if "status" in part.columns else part
+
+    active = active_periods(on_parts(items, completed), MONTH)
     if year is not None:
         active = active.where(F.year("period") == year)
     returning = (F.col("cohort") < F.col("period")).cast("int")
@@ -87,10 +104,12 @@ def repeat_rate_by_season(monthly: DataFrame) -> DataFrame:
 
 
 def _repeat_cells(
-    items: DataFrame, start: Day | None, end: Day | None, status: str, normalize: str
+    items: ByUser, start: Day | None, end: Day | None, status: str, normalize: str
 ) -> DataFrame:
     """Observed daily cells of age 1 and up, with the day of the repeat purchase."""
-    rows = day_range(items.where(status_is(F.col("status"), status, normalize)), start, end)
+    rows = on_parts(
+        _of_status(items, status, normalize), lambda part: day_range(part, start, end)
+    )
     return (
         cohort_cells(rows, DAY)
         .where(F.col("age") >= 1)
@@ -121,7 +140,7 @@ def _by_weekday(cells: DataFrame, day: Column) -> DataFrame:
 
 
 def repeat_by_order_weekday(
-    items: DataFrame,
+    items: ByUser,
     start: Day | None = None,
     end: Day | None = None,
     status: str = COMPLETE,
@@ -136,7 +155,7 @@ def repeat_by_order_weekday(
 
 
 def repeat_by_cohort_weekday(
-    items: DataFrame,
+    items: ByUser,
     start: Day | None = None,
     end: Day | None = None,
     status: str = COMPLETE,
@@ -148,7 +167,7 @@ def repeat_by_cohort_weekday(
 
 
 def repeat_weekday_vs_weekend(
-    items: DataFrame,
+    items: ByUser,
     start: Day | None = None,
     end: Day | None = None,
     status: str = COMPLETE,

@@ -1,10 +1,13 @@
-"""Cohort retention by month, week and day; sparse, dense and wide."""
+"""Cohort retention by month, week and day; sparse, dense and wide.
+
+Items are one frame, or several that have no user in common (`sources.store`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions import calendar as cal
@@ -12,35 +15,42 @@ from patronage.functions.spans import Day, day_range
 from patronage.functions.values import sample_size_suffix, status_is
 from patronage.plans.cohorts import DAY, MONTH, WEEK, Grain, cohort_cells, dense_cells, named
 from patronage.schemas import require_columns
+from patronage.sources.store import ByUser, on_parts
 
 COMPLETE = "Complete"
 
 
 def _complete(
-    items: DataFrame, status: str, normalize: str, status_optional: bool = False
-) -> DataFrame:
+    items: ByUser, status: str, normalize: str, status_optional: bool = False
+) -> ByUser:
     """Completed items. Where the status is optional, a table without one counts as completed."""
-    require_columns(items, ("user_id", "created_at"), "order items")
-    if status_optional and "status" not in items.columns:
-        return items
-    require_columns(items, ("status",), "order items")
-    return items.where(status_is(F.col("status"), status, normalize))
+
+    def completed(part: DataFrame) -> DataFrame:
+        require_columns(part, ("user_id", "created_at"), "order items")
+        if status_optional and "status" not in part.columns:
+            return part
+        require_columns(part, ("status",), "order items")
+        return part.where(status_is(F.col("status"), status, normalize))
+
+    return on_parts(items, completed)
 
 
 def cohort_monthly_sparse(
-    items: DataFrame,
+    items: ByUser,
     start: Day | None = None,
     end: Day | None = None,
     status: str = COMPLETE,
     normalize: str = "none",
 ) -> DataFrame:
     """Monthly retention, observed cells only; `start` and `end` are whole days, either may be open."""
-    rows = day_range(_complete(items, status, normalize), start, end)
+    rows = on_parts(
+        _complete(items, status, normalize), lambda part: day_range(part, start, end)
+    )
     return named(cohort_cells(rows, MONTH), MONTH)
 
 
 def cohort_monthly_by_category(
-    items: DataFrame,
+    items: ByUser,
     products: DataFrame,
     category: str,
     status: str = COMPLETE,
@@ -48,12 +58,15 @@ def cohort_monthly_by_category(
 ) -> DataFrame:
     """Monthly retention within one product category, first purchase included."""
     chosen = products.where(F.col("category") == category).select(F.col("id").alias("product_id"))
-    rows = _complete(items, status, normalize).join(chosen, "product_id", "left_semi")
+    rows = on_parts(
+        _complete(items, status, normalize),
+        lambda part: part.join(chosen, "product_id", "left_semi"),
+    )
     return named(cohort_cells(rows, MONTH), MONTH)
 
 
 def cohort_monthly_dense(
-    items: DataFrame,
+    items: ByUser,
     max_age: int = 12,
     status: str = COMPLETE,
     normalize: str = "trim_lower",
@@ -74,7 +87,7 @@ def _kept_cohorts(month: str, week_of_month: int | None) -> Column:
 
 
 def cohort_weekly_dense(
-    items: DataFrame,
+    items: ByUser,
     month: str,
     week_of_month: int | None = None,
     max_age: int = 12,
@@ -102,7 +115,7 @@ def _weekly(cells: DataFrame) -> DataFrame:
 
 
 def cohort_weekly_month(
-    items: DataFrame,
+    items: ByUser,
     month: str,
     max_age: int = 12,
     status: str = COMPLETE,
@@ -114,7 +127,7 @@ def cohort_weekly_month(
 
 
 def cohort_daily_dense(
-    items: DataFrame,
+    items: ByUser,
     month: str,
     week_of_month: int | None = None,
     max_age: int = 30,
@@ -141,8 +154,8 @@ def cohort_daily_dense(
 def cohort_pivot(cells: DataFrame, ages: Iterable[int], grain: Grain = MONTH) -> DataFrame:
     """Cohort by age matrix of the retention, a column `<m|w|d><age>` for each age asked for.
 
-    Naming the ages keeps columns nobody reached and saves a job to look for them; `observed_ages`
-    looks for those that occur.
+    Naming the ages keeps columns nobody reached and saves a job to look for them; for all ages
+    that occur, see `cohort_matrix`.
     """
     rows = [grain.cohort_column] + [c for c in ("cohort_label",) if c in cells.columns]
     ages = list(ages)
@@ -151,7 +164,24 @@ def cohort_pivot(cells: DataFrame, ages: Iterable[int], grain: Grain = MONTH) ->
     return wide.select(*rows, *(F.col(str(age)).alias(f"{letter}{age}") for age in ages))
 
 
-def observed_ages(cells: DataFrame, grain: Grain = MONTH) -> list[int]:
-    """The ages that occur, in order: a row for each period between the first and the last."""
-    ages = cells.select(grain.age_column).where(F.col(grain.age_column).isNotNull()).distinct()
-    return sorted(row[0] for row in ages.collect())
+def cohort_matrix(cells: DataFrame, grain: Grain = MONTH) -> DataFrame:
+    """Cohort by age matrix of the retention, each cohort's as an array from age 0 on.
+
+    All arrays reach to the largest age of any cohort, null where there is no cell. The cells are
+    made once: the largest age comes from a window over them, and there are only as many as
+    cohorts times ages.
+    """
+    rows = [grain.cohort_column] + [c for c in ("cohort_label",) if c in cells.columns]
+    age = F.col(grain.age_column)
+    horizon = F.max(age).over(Window.partitionBy())
+    by_age = F.map_from_entries(F.collect_list(F.struct(age, "retention")))
+    listed = (
+        cells.where(age.isNotNull())
+        .withColumn("horizon", horizon)
+        .groupBy(*rows, "horizon")
+        .agg(by_age.alias("by_age"))
+    )
+    ages = F.sequence(F.lit(0), F.col("horizon"))
+    return listed.select(
+        *rows, F.transform(ages, lambda a: F.try_element_at("by_age", a)).alias("retention")
+    )

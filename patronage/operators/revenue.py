@@ -25,7 +25,7 @@ from patronage.operators.repeat import frequency, orders_per_user
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import top_k
 from patronage.plans.ranks import count_values, pick_ranks
-from patronage.sources.tables import memoise
+from patronage.sources.store import keep
 
 MONEY_SUM = "decimal(38,2)"
 
@@ -85,7 +85,7 @@ class Scope:
 
         The parts go to the folder of spark.checkpoint.dir, which all executors reach.
         """
-        return Scope(*map(memoise, (self.ordered, self.users, self.products)))
+        return Scope(*map(keep, (self.ordered, self.users, self.products)))
 
     def by_kept_users(self, df: DataFrame) -> DataFrame:
         """Rows of kept users, for frames where one user may have many rows.
@@ -144,7 +144,7 @@ def _money(column: str = "sale_price") -> Column:
 
 def revenue_kpis(scope: Scope) -> DataFrame:
     """One row of totals and averages per user, per buyer and per order."""
-    by_order = scope.sums("order_id", "user_id").groupBy("order_id", "user_id")
+    by_order = scope.sums("order_id", "user_id").groupBy("user_id", "order_id")
     kept = scope.by_kept_users(by_order.agg(_money("revenue").alias("revenue")))
     # Orders and buyers are counted by a sum each: two distinct counts would triple the rows.
     buyers = kept.select("user_id").groupBy("user_id").agg(F.lit(1).alias("one"))

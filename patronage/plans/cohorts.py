@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions import calendar as cal
+from patronage.sources.store import ByUser, parts_of
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,15 @@ def _dated(items: DataFrame) -> DataFrame:
     return items.where(F.col("user_id").isNotNull() & F.col("created_at").isNotNull())
 
 
-def active_periods(items: DataFrame, grain: Grain) -> DataFrame:
-    """One row per user and active period, with the user's first period as `cohort`."""
+def active_periods(items: ByUser, grain: Grain) -> DataFrame:
+    """One row per user and active period, with the user's first period as `cohort`.
+
+    Of several frames that have no user in common, each is done for itself.
+    """
+    return reduce(DataFrame.unionAll, (_active_periods(part, grain) for part in parts_of(items)))
+
+
+def _active_periods(items: DataFrame, grain: Grain) -> DataFrame:
     periods = (
         _dated(items)
         .select("user_id", grain.start(F.col("created_at")).alias("period"))
@@ -53,7 +62,7 @@ def active_periods(items: DataFrame, grain: Grain) -> DataFrame:
     return periods.withColumn("cohort", first)
 
 
-def _aged_periods(items: DataFrame, grain: Grain) -> DataFrame:
+def _aged_periods(items: ByUser, grain: Grain) -> DataFrame:
     age = grain.gap(F.col("period"), F.col("cohort"))
     return active_periods(items, grain).withColumn("age", age)
 
@@ -64,7 +73,7 @@ def _sized(cells: DataFrame) -> DataFrame:
     return cells.withColumn("cohort_size", size.over(Window.partitionBy("cohort")))
 
 
-def cohort_cells(items: DataFrame, grain: Grain) -> DataFrame:
+def cohort_cells(items: ByUser, grain: Grain) -> DataFrame:
     """Observed cells: `cohort, age, active_users, cohort_size, retention`."""
     cells = (
         _aged_periods(items, grain)
@@ -75,7 +84,7 @@ def cohort_cells(items: DataFrame, grain: Grain) -> DataFrame:
 
 
 def dense_cells(
-    items: DataFrame,
+    items: ByUser,
     grain: Grain,
     max_age: int,
     keep_cohort: Column | None = None,

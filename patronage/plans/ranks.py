@@ -1,9 +1,9 @@
 """Exact order statistics without sorting everything in one place.
 
 Values are integers (cents, days). They are first counted per distinct value, then per block of
-2**20 neighbouring values, and those per block of 2**16 blocks, twice. A rank is looked for from the
-widest blocks down: each step sees at most 2**16 blocks, the last at most 2**20 values, whatever
-the range of the values.
+2**20 neighbouring values, and those per block of 2**22 blocks. A rank is looked for from the widest
+blocks down: each step sees at most 2**22 blocks, the last at most 2**20 values, whatever the range
+of the values. Values below 2**42 have one widest block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
-WIDER_BITS = 16
+WIDER_BITS = 22
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 AMOUNT = "CAST(v AS DECIMAL(38,0)) * n"
@@ -43,15 +43,13 @@ def pick_ranks(counts: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
     per name that exists: `name, rank, total_n, total_sum, value, value_n, below_n, below_sum`,
     where `below_*` cover the rows with a smaller value.
     """
-    levels = [
-        counts.selectExpr(
-            "v", "n", f"CAST({AMOUNT} AS DECIMAL(38,0)) AS amount",
-            f"shiftright(v, {BLOCK_BITS}) AS block",
-        )
-    ]
-    for _ in range(2):
-        levels.append(_blocks(levels[-1]).withColumn("block", F.expr(f"shiftright(v, {WIDER_BITS})")))
-    widest = _blocks(levels[-1])  # a 64-bit value has 2**12 of them
+    values = counts.selectExpr(
+        "v", "n", f"CAST({AMOUNT} AS DECIMAL(38,0)) AS amount",
+        f"shiftright(v, {BLOCK_BITS}) AS block",
+    )
+    blocks = _blocks(values).withColumn("block", F.expr(f"shiftright(v, {WIDER_BITS})"))
+    levels = [values, blocks]
+    widest = _blocks(blocks)  # a 64-bit value has 2**22 of them
     wanted = ", ".join(
         f"struct('{name}' AS name, CAST({rank} AS BIGINT) AS rank)"
         for name, rank in ranks.items()

@@ -7,9 +7,13 @@ from __future__ import annotations
 from patronage.registry.queries import (
     ACTIVATION_CHOICE,
     CHOSEN,
+    POINTS,
     SAMPLE_ROWS,
     SAMPLE_ROWS_LARGE,
+    SKETCHED,
+    SPLITS,
     TABLES,
+    TOLERANCE,
     YEAR_1995,
     YEAR_1996,
 )
@@ -441,6 +445,114 @@ SELECT event_id AS id, user_id, event_type, ts AS created_at, round("value", 6)
 FROM events WHERE year(ts) = 2024 ORDER BY md5(event_id || '|42'), event_id LIMIT {n}"""
 
 
+RAW_EVENTS = """
+raw AS (
+  SELECT CAST(event_id AS VARCHAR) AS id,
+         CASE WHEN event_id % 11 > 0 THEN CAST(user_id AS VARCHAR) END AS user_id,
+         ' ' || CAST(CAST("value" AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+         CAST(CAST("value" AS DECIMAL(18,1)) AS VARCHAR) || 'e-1' AS ratio,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at,
+         CASE WHEN event_id % 40 = 0 THEN 'unknown' ELSE CAST(event_id % 7 AS VARCHAR) END AS score,
+         CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS note,
+         CAST(NULL AS VARCHAR) AS remark
+  FROM events
+)"""
+RAW_COLUMNS = ("id", "user_id", "amount", "ratio", "created_at", "score", "note", "remark")
+
+
+def _inferred() -> str:
+    """Each column's values by what they look like, told one by one."""
+    long = " UNION ALL ".join(
+        f"SELECT {place} AS place, '{name}' AS column_name, trim({name}) AS x FROM raw"
+        for place, name in enumerate(RAW_COLUMNS)
+    )
+    names = ", ".join(f"({place}, '{name}')" for place, name in enumerate(RAW_COLUMNS))
+    number = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
+    return f"""WITH {RAW_EVENTS},
+val AS ({long}),
+cnt AS (
+  SELECT place, count(*) AS total, count(x) AS known,
+         count(*) FILTER (regexp_full_match(x, '[+-]?[0-9]{{1,18}}')) AS longs,
+         count(*) FILTER (regexp_full_match(x, '{number}')) AS decimals,
+         count(*) FILTER (regexp_full_match(x, '{number}([eE][+-]?[0-9]{{1,3}})?')) AS doubles,
+         count(*) FILTER (regexp_full_match(x, '[0-9]{{4}}-.*')
+                          AND try_cast(x AS TIMESTAMP) IS NOT NULL) AS times,
+         max(CASE WHEN regexp_full_match(x, '{number}')
+             THEN length(ltrim(split_part(ltrim(x, '+-'), '.', 1), '0')) END) AS whole,
+         max(CASE WHEN regexp_full_match(x, '{number}') THEN length(split_part(x, '.', 2)) END)
+           AS behind
+  FROM val GROUP BY place
+),
+typ AS (
+  SELECT *, CASE WHEN known = 0 THEN 'string'
+              WHEN longs >= known * {1 - TOLERANCE} THEN 'bigint'
+              WHEN decimals >= known * {1 - TOLERANCE}
+                THEN format('decimal({{}},{{}})', whole + behind, behind)
+              WHEN doubles >= known * {1 - TOLERANCE} THEN 'double'
+              WHEN times >= known * {1 - TOLERANCE} THEN 'timestamp' ELSE 'string' END AS type
+  FROM cnt
+)
+SELECT CAST(n.place AS INTEGER) AS place, column_name, coalesce(type, 'string') AS type,
+       coalesce(total - known, 0) AS nulls,
+       coalesce(known - CASE type WHEN 'bigint' THEN longs WHEN 'double' THEN doubles
+         WHEN 'timestamp' THEN times WHEN 'string' THEN known ELSE decimals END, 0) AS rejects
+FROM (VALUES {names}) n(place, column_name) LEFT JOIN typ ON typ.place = n.place"""
+
+
+TYPED_EVENTS = f"""WITH {RAW_EVENTS}
+SELECT CAST(created_at AS DATE) AS "day", count(id) AS ids,
+       CAST(sum(CAST(user_id AS BIGINT)) AS BIGINT) AS user_sum,
+       CAST(sum(CAST(trim(amount) AS DECIMAL(18,2))) AS DOUBLE) AS amount,
+       round(sum(CAST(ratio AS DOUBLE)), 6) AS ratio,
+       CAST(sum(TRY_CAST(score AS BIGINT)) AS BIGINT) AS score, count(note) AS notes
+FROM raw GROUP BY 1"""
+
+
+def _ttfp_sketch(activation: str) -> str:
+    """Per month and part, the values at the ranks ceil(k * n / points)."""
+    ranges = []
+    for name, (first, last) in SKETCHED.items():
+        kept = " AND ".join(
+            f"signup_month {sign} DATE '{day}'"
+            for sign, day in ((">=", first), ("<=", last))
+            if day
+        )
+        ranges.append(f"SELECT '{name}' AS months, * FROM pts WHERE {kept or 'TRUE'}")
+
+    def quantile(q: float) -> str:
+        low = f"list_extract(vs, CAST(floor((len(vs) - 1) * {q}) AS BIGINT) + 1)"
+        high = f"list_extract(vs, CAST(ceil((len(vs) - 1) * {q}) AS BIGINT) + 1)"
+        share = f"((len(vs) - 1) * {q} - floor((len(vs) - 1) * {q}))"
+        return f"round(CAST({low} AS DOUBLE) + ({high} - {low}) * {share}, 6)"
+
+    return f"""{activation},
+dys AS (
+  SELECT {PERIOD["month"]} AS signup_month, id % {SPLITS} AS part,
+         CAST(floor((epoch_us(first_at) - epoch_us(created_at)) / 86400000000.0) AS BIGINT) AS v
+  FROM mrk WHERE first_at IS NOT NULL
+),
+rnk AS (
+  SELECT signup_month, part, v, row_number() OVER (PARTITION BY signup_month, part ORDER BY v) AS r,
+         count(*) OVER (PARTITION BY signup_month, part) AS n
+  FROM dys
+),
+pts AS (
+  SELECT signup_month, part, n, v,
+         (k * n + {POINTS - 1}) // {POINTS} - ((k - 1) * n + {POINTS - 1}) // {POINTS} AS weight
+  FROM rnk, range(1, {POINTS + 1}) p(k) WHERE r = (k * n + {POINTS - 1}) // {POINTS}
+),
+rng AS ({" UNION ALL ".join(ranges)}),
+lst AS (SELECT months, list(v ORDER BY v) AS vs FROM rng, range(weight) t(i) GROUP BY months),
+siz AS (SELECT DISTINCT months, signup_month, part, n FROM rng),
+err AS (SELECT months, sum(CASE WHEN n > {POINTS} THEN ceil(n / {POINTS}) + 1 ELSE 0 END) AS off
+        FROM siz GROUP BY months)
+SELECT m.months, CAST(len(vs) AS BIGINT) AS buyers, {quantile(0.5)} AS median_days,
+       {quantile(0.25)} AS q25_days, {quantile(0.75)} AS q75_days, {quantile(1.0)} AS max_days,
+       CAST(coalesce(off, 0) AS BIGINT) AS rank_error
+FROM (VALUES {", ".join(f"('{name}')" for name in SKETCHED)}) m(months)
+LEFT JOIN lst ON lst.months = m.months LEFT JOIN err ON err.months = m.months"""
+
+
 def oracle_sql() -> dict[str, str]:
     shop, year, log = shop_views(None), shop_views(YEAR_1995), event_log()
     scope, people = _scope(shop), _activation(shop)
@@ -462,8 +574,13 @@ FROM itm WHERE status IN ('F', 'O', 'P') AND user_id IS NOT NULL GROUP BY user_i
         "cohort_monthly_from": _sparse(
             shop, where=f"{EXACT} AND created_at >= TIMESTAMP '1996-03-01'"
         ),
-        "cohort_pivot": f"""PIVOT ({_sparse(shop)}) ON 'm' || age_m USING max(retention)
-GROUP BY cohort_month""",
+        "cohort_pivot": f"""WITH cll AS ({_sparse(shop)}),
+grd AS (SELECT cohort_month, a.age AS age_m
+        FROM (SELECT DISTINCT cohort_month FROM cll),
+             range((SELECT max(age_m) FROM cll) + 1) a(age))
+SELECT cohort_month,
+       string_agg(coalesce(printf('%.6f', retention), '-'), ' ' ORDER BY age_m) AS retention
+FROM grd LEFT JOIN cll USING (cohort_month, age_m) GROUP BY cohort_month""",
         "cohort_pivot_dense": _pivot(month_dense, "month", range(1, 13), True),
         "cohort_pivot_weekly": _pivot(week_month, "week", range(1, 13), True),
         "cohort_pivot_daily": _pivot(
@@ -522,6 +639,23 @@ FROM itm WHERE created_at IS NOT NULL""",
 SELECT CAST(min(created_at) AS DATE) AS first_day, CAST(max(created_at) AS DATE) AS last_day
 FROM itm""",
     }
+    sql |= {
+        "ttfp_sketch": _ttfp_sketch(people),
+        "inferred_types": _inferred(),
+        "typed_events": TYPED_EVENTS,
+        "events_through_csv": f"""WITH {RAW_EVENTS}
+SELECT CAST(id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS user_id, note AS event_type,
+       CAST(created_at AS TIMESTAMP) AS created_at
+FROM raw""",
+        "first_rows": "SELECT * FROM region LIMIT 5",
+        "revenue_report": f"""{scope}
+SELECT 'revenue' AS figure,
+       coalesce((SELECT CAST(sum(sale_price) AS DOUBLE) FROM sco), 0) AS amount
+UNION ALL SELECT strftime("month", '%Y-%m'), revenue FROM ({_revenue_monthly(scope)})
+UNION ALL SELECT category, revenue FROM ({_topk(scope, *REVENUE)})""",
+        "cohort_monthly_clustered": month_dense,
+        "activation_monthly_clustered": _activation_monthly(people),
+    }
     scope, people = _scope(year), _activation(year)
     sql |= {
         "purchase_frequency_1995": _frequency(_complete_items(year)),

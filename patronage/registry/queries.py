@@ -22,6 +22,7 @@ from patronage.operators import revenue as rev
 from patronage.operators import sampling as smp
 from patronage.plans.cohorts import DAY, WEEK
 from patronage.session import configure
+from patronage.sources import inference, store, tables
 from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +98,13 @@ def _first(s: OrderShop) -> DataFrame:
 
 
 def _cohort_pivot(s: OrderShop) -> DataFrame:
-    cells = ret.cohort_monthly_sparse(s.orders_with_items, status=COMPLETE)
-    return ret.cohort_pivot(cells, ret.observed_ages(cells))
+    """The matrix of all ages as text, a row for each cohort."""
+    matrix = ret.cohort_matrix(ret.cohort_monthly_sparse(s.orders_with_items, status=COMPLETE))
+    shown = F.transform(
+        "retention",
+        lambda x: F.when(x.isNull(), F.lit("-")).otherwise(F.format_string("%.6f", F.round(x, 6))),
+    )
+    return matrix.withColumn("retention", F.array_join(shown, " "))
 
 
 TABLES = ("customer", "orders", "lineitem", "events", "part")
@@ -118,6 +124,92 @@ def _dimension_values(s: OrderShop) -> DataFrame:
     return reduce(DataFrame.unionAll, listed)
 
 
+TOLERANCE = 0.05
+POINTS = 100
+SPLITS = 4
+BUCKETS = 8
+SKETCHED = {"all": (None, None), "1995": ("1995-01-01", "1995-12-01"), "late": ("1996-06-01", None)}
+
+
+def _inferred(s: OrderShop) -> DataFrame:
+    found = inference.infer_types(s.raw_events, TOLERANCE)
+    return found.withColumn("column_name", F.col("column")).drop("column")
+
+
+def _typed_events(s: OrderShop) -> DataFrame:
+    """What the export's columns add up to, once parsed in the types found for them.
+
+    The sums are cast, since the columns of an empty export are text.
+    """
+    raw = s.raw_events
+    typed = inference.parse(raw, inference.types_of(inference.infer_types(raw, TOLERANCE)))
+    return typed.groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count("id").alias("ids"),
+        F.sum("user_id").cast("bigint").alias("user_sum"),
+        F.sum("amount").cast("double").alias("amount"),
+        F.sum("ratio").cast("double").alias("ratio"),
+        F.sum("score").cast("bigint").alias("score"),
+        F.count("note").alias("notes"),
+    )
+
+
+def _through_csv(s: OrderShop) -> DataFrame:
+    """The export written as CSV and loaded as the canonical table; columns without a place go."""
+    spark = s.raw_events.sparkSession
+    path = store.new_path(spark, "events-csv")
+    kind = F.col("note").alias("event_type")
+    tables.write_csv(s.raw_events.select("id", "user_id", "amount", "created_at", kind), path)
+    loaded = tables.load_table(spark, path, "events", "csv")
+    return loaded.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+def _ttfp_sketch(s: OrderShop) -> DataFrame:
+    """From one kept table of monthly summaries, the quantiles of several ranges of months."""
+    kept = store.keep(act.ttfp_summaries(_users(s), s.orders, DONE, POINTS, SPLITS))
+    found = []
+    for name, (first, last) in SKETCHED.items():
+        some = kept
+        if first:
+            some = some.where(F.col("signup_month") >= F.lit(first).cast("date"))
+        if last:
+            some = some.where(F.col("signup_month") <= F.lit(last).cast("date"))
+        found.append(act.ttfp_sketch(some, POINTS).withColumn("months", F.lit(name)))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _clustered(df: DataFrame, user: str, *order: str) -> store.ByUser:
+    path = store.new_path(df.sparkSession, "clustered")
+    return store.write_clustered(df, path, user, BUCKETS, order)
+
+
+def _clustered_orders(s: OrderShop) -> store.ByUser:
+    return _clustered(s.orders_with_items, "user_id", "created_at", "order_id")
+
+
+def _clustered_orders_any(s: OrderShop) -> store.ByUser:
+    return _clustered(s.orders, "user_id", "created_at", "order_id")
+
+
+def _clustered_users(s: OrderShop) -> DataFrame:
+    (users,) = store.parts_of(_clustered(s.users, "id"))  # one row a user: none is heavy
+    return users
+
+
+def _report(s: OrderShop) -> DataFrame:
+    """Several figures of the revenue report from one scope, written once."""
+    scope = scope_of(s).kept()
+    kpis = rev.revenue_kpis(scope).select(
+        F.lit("revenue").alias("figure"), F.col("total_revenue").cast("double").alias("amount")
+    )
+    months = rev.revenue_monthly(scope).select(
+        F.date_format("month", "yyyy-MM"), F.col("revenue").cast("double")
+    )
+    categories = rev.category_revenue_topk(scope, 10).select(
+        "category", F.col("revenue").cast("double")
+    )
+    return kpis.unionAll(months).unionAll(categories)
+
+
 def _age_pivot(s: OrderShop) -> DataFrame:
     long = act.activation_age_by_month(_users(s), s.orders, BALANCE_BINS, DONE)
     return act.activation_age_pivot(long, BALANCE_BINS)
@@ -204,6 +296,18 @@ SHOP: dict[str, Callable[[OrderShop], DataFrame]] = {
     "available_months": lambda s: ovw.available_months(s.orders_with_items),
     "cohort_months_weekly": lambda s: ovw.cohort_months_weekly(s.orders_with_items),
     "date_bounds": lambda s: ovw.date_bounds(s.orders_with_items),
+    "ttfp_sketch": _ttfp_sketch,
+    "inferred_types": _inferred,
+    "typed_events": _typed_events,
+    "events_through_csv": _through_csv,
+    "first_rows": lambda s: ovw.first_rows(s.raw("region"), 5),
+    "revenue_report": _report,
+    "cohort_monthly_clustered": lambda s: ret.cohort_monthly_dense(
+        _clustered_orders(s), 12, COMPLETE
+    ),
+    "activation_monthly_clustered": lambda s: act.activation_monthly(
+        act.signed_up(_clustered_users(s)), _clustered_orders_any(s), DONE
+    ),
 }
 
 # Those whose result turns on the window's edges, again for 1995 alone.

@@ -132,9 +132,10 @@ class OrderShop:
         """What `order_items` says of who ordered when, one row an order.
 
         Enough for analyses that count users, orders or periods. Line items come as distinct keys,
-        deduplicated before the shuffle.
+        deduplicated before the shuffle. That shuffle is the join's too: a broadcast would need
+        another one.
         """
-        keys = self._read("lineitem").selectExpr("l_orderkey AS order_id").distinct()
+        keys = self._read("lineitem").selectExpr("l_orderkey AS order_id").distinct().hint("merge")
         return self.orders.join(keys, "order_id", "left_semi")
 
     def raw(self, table: str) -> DataFrame:
@@ -149,6 +150,21 @@ class OrderShop:
             )
         )
 
+    @cached_property
+    def raw_events(self) -> DataFrame:
+        """The events as an export has them: all text, with gaps, and here and there a wrong value."""
+        return self._read("events").selectExpr(
+            "CAST(event_id AS STRING) AS id",
+            "CASE WHEN event_id % 11 > 0 THEN CAST(user_id AS STRING) END AS user_id",
+            "concat(' ', CAST(CAST(value AS DECIMAL(18,2)) AS STRING)) AS amount",
+            "concat(CAST(CAST(value AS DECIMAL(18,1)) AS STRING), 'e-1') AS ratio",
+            "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS created_at",
+            "CASE WHEN event_id % 40 = 0 THEN 'unknown' ELSE CAST(event_id % 7 AS STRING) END"
+            " AS score",
+            "CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(event_id AS STRING) END AS note",
+            "CAST(NULL AS STRING) AS remark",
+        )
+
     @cached_property
     def inventory_items(self) -> DataFrame:
         return self._within(
