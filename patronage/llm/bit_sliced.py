@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patronage.llm.work import lean, written
+
 BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 64
+_INDEX = "size int, block bigint, ids binary, values binary, digits int, slices binary"
 # Quantised components are longs; a finite one that is not fails the query, as it does its SQL.
 LIMIT = float(1 << 63)
 
@@ -125,6 +128,7 @@ def _index(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "size": [values.shape[1]],
+            "block": [block["block"].iloc[0]],
             "ids": [block["vec_id"].to_numpy(np.int64).tobytes()],
             "values": [kept.tobytes()],
             "digits": [slices.shape[1]],
@@ -193,14 +197,19 @@ def top_k(
     rows = vectors.select("vec_id", "q").where("vec_id IS NOT NULL AND q IS NOT NULL")
     asked = queries.select("vec_id", "q").where("vec_id IS NOT NULL AND q IS NOT NULL")
     asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("q").alias("q"))
-    n_rows, n_asked = rows.count(), asked.count()
+    # Of equal rows, no more than k can be among the k highest: they are counted, and dealt out as
+    # so many, so that a row that repeats endlessly makes no block longer.
+    copies = rows.groupBy("vec_id", "q").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    copies = copies.select("vec_id", "q", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("n"))
+    copies = written(copies.drop("n"), "vectors")
+    n_rows, n_asked = copies.count(), asked.count()
     blocks, groups = max(1, -(-n_rows // block_rows)), max(1, -(-n_asked // query_rows))
     size = F.size("q").alias("size")
-    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks))
+    spread = F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks))
     index = (
-        rows.select("vec_id", "q", size, spread.alias("block"))
+        copies.select("vec_id", "q", size, spread.alias("block"))
         .groupBy("size", "block")
-        .applyInPandas(_index, "size int, ids binary, values binary, digits int, slices binary")
+        .applyInPandas(_index, _INDEX)
     )
     group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
     listed = (
@@ -208,10 +217,12 @@ def top_k(
         .groupBy("size", "part")
         .agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("q").alias("queries"))
     )
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))
-    pairs = index.withColumn("part", every).join(listed, ["size", "part"])
-    near = pairs.drop("part", "size").mapInArrow(
-        _search(k), "query_id bigint, vec_id bigint, score bigint"
+    # The groups of queries go to the blocks: they are some hundred times smaller.
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    sent = listed.withColumn("block", every).drop("part").repartition(blocks, "size", "block")
+    pairs = sent.join(index.repartition(blocks, "size", "block"), ["size", "block"])
+    near = pairs.drop("block", "size").mapInArrow(
+        lean(_search(k)), "query_id bigint, vec_id bigint, score bigint"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -476,11 +476,43 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     0x09 to 0x0D). Passages have 50 words at least. A passage is given once for each earlier
     document it was compared with and found similar to. Of equal texts, all but the least doc_id
     repeat that one as a whole, and only it is compared with others. Null and short texts, and rows
-    without a doc_id, have no passages; rows that repeat a doc_id are one document.
+    without a doc_id, have no passages. Rows that repeat a doc_id with its text are one document; of
+    a doc_id with several texts each text is a document, the order among them by their hashes, and
+    `text_hash` (xxhash64, otherwise null) says which one is meant.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    digest = [F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2")]
+    digest = F.struct(*_digest())
+    many = texts.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    many = written(many.where("low <> high").select("doc_id"), "many-texts")
+    if many.isEmpty():
+        return _repeated(texts).withColumn("text_hash", F.lit(None).cast("bigint"))
+    # Ids are spread out, so that the texts of one have room beside each other.
+    keyed = texts.select("doc_id", "text", *_digest())
+    known = keyed.join(many, "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct()
+    order = Window.partitionBy("doc_id").orderBy("h1", "h2")
+    known = written(known.withColumn("variant", F.row_number().over(order) - 1), "variants")
+    step = known.agg(F.max("variant")).first()[0] + 1
+    spread = F.col("doc_id") * step + F.coalesce("variant", F.lit(0))
+    keyed = keyed.join(known, ["doc_id", "h1", "h2"], "left")
+    found = _repeated(keyed.select(spread.alias("doc_id"), "text"))
+
+    def id_of(name: str) -> F.Column:
+        return F.expr(f"({name} - pmod({name}, {step})) DIV {step}L")
+
+    back = found.withColumn("variant", F.pmod("doc_id", F.lit(step)).cast("int"))
+    back = back.withColumn("doc_id", id_of("doc_id")).withColumn("first_doc_id", id_of("first_doc_id"))
+    back = back.join(known.select("doc_id", "variant", F.col("h1").alias("text_hash")), ["doc_id", "variant"], "left")
+    return back.select(*found.columns, "text_hash")
+
+
+def _digest() -> list[F.Column]:
+    return [F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2")]
+
+
+def _repeated(texts: DataFrame) -> DataFrame:
+    """The passages of texts of which no two have one id."""
+    digest = _digest()
     same = texts.select("doc_id", *digest).groupBy("h1", "h2").agg(
         F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")
     )
@@ -560,16 +592,26 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     Only texts with such passages change; what is left of them is not trimmed. A text that is all
     repeat becomes empty. A null text stays null.
     """
-    spans = passages.groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "stop")).alias("_spans")
-    )
-    joined = docs.join(spans, "doc_id", "left")
     names = docs.columns
+    own = "_spans"
+    while own in names:
+        own += "_"
+    spans = passages.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")
+    )
+    spans = spans.select(F.struct("id", "text_hash", "spans").alias(own))
+    asked = F.col(f"{own}.text_hash")
+    joined = docs.join(
+        spans,
+        (docs["doc_id"] == F.col(f"{own}.id")) & (asked.isNull() | (asked == F.xxhash64(docs["text"]))),
+        "left",
+    )
+    joined = joined.select(*names, F.col(f"{own}.spans").alias(own))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("_spans").to_pylist()):
+            for k, spans in enumerate(batch.column(own).to_pylist()):
                 if spans and texts[k]:
                     texts[k] = _cut_words(texts[k], [(s["start"], s["stop"]) for s in spans])
             columns = [
@@ -578,7 +620,7 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)
 
 
 def _cut_words(text: str, spans: list[tuple[int, int]]) -> str:

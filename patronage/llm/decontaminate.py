@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.work import texts_of, written
+from patronage.llm.work import lean, texts_of, written
 
 WINDOW = 10
 BLOCK = 5
@@ -179,7 +179,7 @@ def find_passages(
     schema = ", ".join([*names, "n_words bigint", f"hits {HITS}"])
     for k in range(blocks):
         texts = [tuple(r) for r in items.where(block == k).distinct().collect()]  # one block
-        found = found.mapInArrow(_scan(sorted(texts), window, k == 0), schema)
+        found = found.mapInArrow(lean(_scan(sorted(texts), window, k == 0)), schema)
         if blocks > 1:
             found = written(found, "passages")
     return found

@@ -117,11 +117,24 @@ def _descending(values: np.ndarray) -> np.ndarray:
     return -values.astype(np.int64)
 
 
-# Of an anchor group's scores of a block: name of the pick, anchors and rows.
+# Of an anchor group's scores of some rows: the place of a positive, anchors and rows.
 Pick = Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]]
 
 
-def _search(pick: Pick):
+def _first(out: list[list], k: int) -> pa.RecordBatch:
+    """Of a block's picks, the k highest of each anchor and place."""
+    columns = [np.array(c, np.int64) for c in out]
+    columns = [c[np.lexsort((columns[2], -columns[3], columns[1], columns[0]))] for c in columns]
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    begins = np.flatnonzero(new)
+    kept = np.arange(len(new)) - begins[np.cumsum(new) - 1] < k if len(new) else new
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c[kept]) for c in columns], names=["anchor_id", "place", "vec_id", "score"]
+    )
+
+
+def _search(pick: Pick, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -147,10 +160,7 @@ def _search(pick: Pick):
                         out[1] += [place] * len(anchor)
                         out[2] += ids[part][chosen].tolist()
                         out[3] += found[chosen, anchor].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in out],
-                    names=["anchor_id", "place", "vec_id", "score"],
-                )
+                yield _first(out, k)
 
     return lean(search)
 
@@ -211,7 +221,9 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataF
     return written(grouped.applyInArrow(build, _INDEX_SQL), "planes"), blocks
 
 
-def _meet(index: DataFrame, blocks: int, anchors: DataFrame, pick: Pick, group: int) -> DataFrame:
+def _meet(
+    index: DataFrame, blocks: int, anchors: DataFrame, pick: Pick, k: int, group: int
+) -> DataFrame:
     """What `pick` takes of each block for each anchor.
 
     Anchors in groups go to the blocks, not the other way round: a group is some kilobytes. A task
@@ -228,10 +240,9 @@ def _meet(index: DataFrame, blocks: int, anchors: DataFrame, pick: Pick, group:
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     sent = grouped.select("size", "anchors", every.alias("block")).repartition(blocks, "size", "block")
     pairs = sent.join(index.repartition(blocks, "size", "block"), ["size", "block"])
-    found = pairs.mapInArrow(
-        _search(pick), "anchor_id bigint, place bigint, vec_id bigint, score bigint"
+    return pairs.mapInArrow(
+        _search(pick, k), "anchor_id bigint, place bigint, vec_id bigint, score bigint"
     )
-    return found
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -275,7 +286,7 @@ def hard_negatives(
         .agg(F.min(F.struct("label", "q")).alias("least"))
         .select("anchor_id", "least.label", "least.q")
     )
-    near = _meet(index, blocks, asked, _same_label(positives), group)
+    near = _meet(index, blocks, asked, _same_label(positives), positives, group)
     near = _ranked(near, positives).select(
         "anchor_id",
         F.col("rank").cast("bigint").alias("place"),
@@ -291,7 +302,8 @@ def hard_negatives(
         F.floor(wide * most_percent / 100).cast("bigint").alias("most"),
     )
     bounds = near.groupBy("anchor_id").agg(F.collect_list(bound).alias("positives"))
-    found = _meet(index, blocks, asked.join(bounds, "anchor_id"), _below(negatives), group)
+    bounded = asked.join(bounds, "anchor_id")
+    found = _meet(index, blocks, bounded, _below(negatives), negatives, group)
     best = _ranked(found, negatives).select(
         "anchor_id",
         "place",

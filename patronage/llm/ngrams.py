@@ -15,6 +15,9 @@ from patronage.llm.work import lean, written
 # Of a chunk's texts: all n-grams (64-bit hashes) with the row of each.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+# Places whose counts make one row.
+COUNTED = 1 << 12
+
 # Of labels: some bytes each.
 BROADCAST_ROWS = 1 << 20
 
@@ -131,38 +134,55 @@ def frequent(rows: DataFrame, features: Features, least: int, most: int) -> np.n
 def counts(
     rows: DataFrame, features: Features, chosen: np.ndarray, targets: list[str]
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, 1 + targets): rows that hold each, all and those of each target; and such totals."""
+    """(n-gram, 1 + targets): rows that hold each, all and those of each target; and such totals.
+
+    A task gives its counts in blocks of places, so it makes as many rows whatever it has met.
+    """
+    width = 1 + len(targets)
+    size = len(chosen) + 1  # the last place has the totals
+    blocks = -(-size // COUNTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((len(chosen) + 1, 1 + len(targets)), np.int64)
+        found = np.zeros((blocks * COUNTED, width), np.int64)
         for batch in batches:
             marks = np.stack(
                 [np.ones(batch.num_rows, np.int64)]
                 + [batch.column(t).to_numpy(zero_copy_only=False) for t in targets],
                 axis=1,
             )
-            found[-1] += marks.sum(axis=0)
+            found[size - 1] += marks.sum(axis=0)
             for low, _, row, place in indicators(batch.column("text"), features, chosen):
-                for t in range(found.shape[1]):
-                    found[:-1, t] += np.bincount(
-                        place, marks[low + row, t], minlength=len(chosen)
+                for t in range(width):
+                    found[: size - 1, t] += np.bincount(
+                        place, marks[low + row, t], minlength=size - 1
                     ).astype(np.int64)
-        some = np.flatnonzero(found.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some), *(pa.array(c) for c in found[some].T.copy())],
-            names=["place", *(f"n{t}" for t in range(found.shape[1]))],
-        )
-
-    names = [f"n{t}" for t in range(1 + len(targets))]
-    counted = rows.select("text", *targets).mapInArrow(
-        lean(count), "place bigint, " + ", ".join(f"{n} bigint" for n in names)
-    )
-    summed = counted.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    out = np.zeros((len(chosen) + 1, len(names)), np.int64)
-    out[summed.column("place").to_numpy()] = np.stack(
-        [summed.column(n).to_numpy() for n in names], axis=1
+        if found[size - 1, 0]:
+            yield _blocks(dict(enumerate(found.reshape(blocks, COUNTED, width))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(*(batch.column(c).to_pylist() for c in ("block", "counts"))):
+                own = np.frombuffer(data, np.int64).reshape(COUNTED, width)
+                sums[block] = sums[block] + own if block in sums else own
+        if sums:
+            yield _blocks(sums)
+
+    schema = "block int, counts binary"
+    counted = rows.select("text", *targets).mapInArrow(lean(count), schema)
+    summed = counted.repartition("block").mapInArrow(lean(add), schema).toArrow()
+    out = np.zeros((blocks, COUNTED, width), np.int64)
+    for block, data in zip(*(summed.column(c).to_pylist() for c in ("block", "counts"))):
+        out[block] = np.frombuffer(data, np.int64).reshape(COUNTED, width)
+    flat = out.reshape(-1, width)[:size]
+    return flat[:-1], flat[-1]
+
+
+def _blocks(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())],
+        names=["block", "counts"],
     )
-    return out[:-1], out[-1]
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:

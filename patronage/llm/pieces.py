@@ -5,7 +5,8 @@ whole text:
 
 * byte-level BPE: before a space that stands before a character that is not white space. The
   tokenizer's own pattern starts a new word there, whatever precedes. Within a word: between
-  letters and the ASCII punctuation that ends it, and around a single line feed.
+  letters and the ASCII punctuation that ends it, and around a single line feed that has no white
+  space of any kind beside it.
 * word-end BPE with white space dropped: at spaces and line feeds, and before the punctuation that
   ends a word of Latin letters.
 
@@ -87,7 +88,9 @@ class Words:
         """The ids, if the word is made of parts that no token crosses."""
         if "\n" in word and not self.lower:
             lines = word.split("\n")
-            if all(lines):
+            if all(lines) and not any(
+                a[-1].isspace() or b[0].isspace() for a, b in zip(lines[:-1], lines[1:])
+            ):
                 feed = self.rest.get("\n")
                 return feed.join([self.get(lines[0]), *map(self.rest.get, lines[1:])])
             return None
@@ -112,7 +115,7 @@ class Words:
         return self._whole(word) if found is None else found
 
     def bound(self) -> None:
-        if len(self.known) > (KEPT // 2 if self.lower else KEPT):  # lower-cased words are fewer
+        if len(self.known) > (KEPT // 4 if self.lower else KEPT):  # lower-cased words are fewer
             self.known.clear()
 
 

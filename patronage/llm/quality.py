@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm import ngrams as N
+from patronage.llm.work import lean
 
 SAMPLE_ROWS = 8_000
 LEAST_ROWS = 5  # rows of the rarer class that hold an n-gram
@@ -148,11 +149,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         )
 
     found = N.sampled(rows, sample_rows).mapInArrow(
-        pairs, "doc_id bigint, quality bigint, places array<bigint>"
+        lean(pairs), "doc_id bigint, quality bigint, places array<bigint>"
     )
     row = (
-        found.coalesce(1)
-        .mapInArrow(train, "weights array<double>, bias double, slope double, offset double")
+        found.repartition(1)
+        .sortWithinPartitions("doc_id", "places")
+        .mapInArrow(lean(train), "weights array<double>, bias double, slope double, offset double")
         .first()
     )
     if row is None or good in (0, n):
@@ -183,4 +185,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(scored, f"{schema}, score double")
+    return rows.mapInArrow(lean(scored), f"{schema}, score double")

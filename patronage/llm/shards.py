@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patronage.llm.work import lean
+
 # A cell is put in order within one task; there are at most MOST_CELLS of them, or a few more.
 CELL_ROWS = 1_000
 MOST_CELLS = 1 << 17
@@ -138,7 +140,7 @@ def shuffle_to_shards(
             raise RuntimeError("the partitions of the input changed between two reads")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    dealt = rows.mapInArrow(deal, f"{schema}, _cell int, shard int, _first bigint, _key bigint")
+    dealt = rows.mapInArrow(lean(deal), f"{schema}, _cell int, shard int, _first bigint, _key bigint")
     place = F.row_number().over(Window.partitionBy("_cell").orderBy("_key")) - 1
     slot = (F.col("_first") + place).cast("bigint")
     return dealt.withColumn("slot", slot).drop("_cell", "_first", "_key")

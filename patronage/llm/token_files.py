@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patronage.llm.pieces import byte_level_ids, id_type, slices
+from patronage.llm.work import lean
 
 END_ID = 0
 # The dictionary is trained on SAMPLE_RUNS runs of ids, taken by hash from all places in the texts
@@ -150,7 +151,7 @@ def write_tokens(
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    placed.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    placed.mapInArrow(lean(blocks), BLOCKS).write.parquet(f"{path}/blocks")
     sums = (
         spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     )
@@ -225,10 +226,13 @@ def read_tokens(
 
     blocks = spark.read.parquet(f"{path}/blocks")
     if wanted is not None:
-        near = F.lit(False)
-        for i in sorted(wanted):
-            near = near | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
-        blocks = blocks.where(near)
+        asked = sorted(wanted)
+        if asked:  # what is pushed down to the files first
+            blocks = blocks.where((F.col("first_doc") <= asked[-1]) & (F.col("last_doc") >= asked[0]))
+        listed = F.lit(np.array(asked, np.int64))
+        blocks = blocks.where(
+            F.exists(listed, lambda i: (F.col("first_doc") <= i) & (F.col("last_doc") >= i))
+        )
     parts = spark.read.parquet(f"{path}/parts")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     return blocks.join(parts, "part").mapInArrow(

@@ -164,7 +164,8 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
     )
     found = sample.mapInArrow(lean(pairs), f"doc_id bigint, {kinds}, places array<bigint>")
     model = (
-        found.coalesce(1)
+        found.repartition(1)
+        .sortWithinPartitions("doc_id", "places")
         .mapInArrow(
             lean(train), "weights array<double>, earlier array<double>, link bigint, bias double"
         )

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.pieces import forget, slices, spaced_ids, tokenizer
-from patronage.llm.work import lean, texts_of
+from patronage.llm.work import lean, texts_of, written
 
 LEAF = 8_192
 _WINDOW = 48
+_STEP = 4 << 20  # bytes of text encoded at a time
 
 
 @dataclass
@@ -144,7 +145,7 @@ def leaves(path: str, text: str, leaf: int) -> list[tuple[bool, str]]:
 def _with_ids(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in (part for whole in batches for part in slices(whole)):
+            for batch in (part for whole in batches for part in slices(whole, most=_STEP)):
                 ids, at = spaced_ids(path, batch.column("text"))
                 lists = pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))
                 kept = [c for c in batch.schema.names if c != "ids"]
@@ -162,6 +163,9 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
 
     A null text is the empty text and has no ids. A column `ids` of `docs` is replaced; rows that
     repeat are encoded each for itself. `path` names a tokenizer that drops white space.
+
+    Texts with a long stretch are written out first, once, with a number each; so their parts find
+    their row again whatever `docs` is computed from.
     """
     rows = docs.drop("ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -215,8 +219,14 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         ids = np.concatenate([join_all(path, run).ids for run in runs])
         return pd.DataFrame({"_row": parts["_row"].iloc[:1], "ids": [ids.astype(np.int32)]})
 
-    numbered = rows.where(long).withColumn("_row", F.monotonically_increasing_id())
-    parts = numbered.select("_row", "text").mapInArrow(
+    name = "_row"
+    while name in rows.columns:
+        name += "_"
+    numbered = rows.where(long).withColumn(name, F.monotonically_increasing_id())
+    numbered = written(numbered, "long-stretches")
+    if numbered.isEmpty():
+        return short
+    parts = numbered.select(F.col(name).alias("_row"), "text").mapInArrow(
         cut, "_row bigint, k int, joined boolean, part string"
     )
     encoded = parts.repartition("_row", "k").mapInArrow(
@@ -225,7 +235,8 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         "ids array<bigint>, starts array<bigint>, ends array<bigint>",
     )
     whole = encoded.groupBy("_row").applyInPandas(gather, "_row bigint, ids array<int>")
-    return short.unionByName(numbered.join(whole, "_row").drop("_row"))
+    whole = whole.withColumnRenamed("_row", name)
+    return short.unionByName(numbered.join(whole, name).drop(name))
 
 
 @functools.cache

@@ -211,6 +211,78 @@ def test_passages_behind_shorter_stretches(documents):
     assert covered == {10 * g + 3: set(whole[10 * g + 3]) for g in range(12)}
 
 
+def test_ids_with_several_texts(documents):
+    rng = random.Random(8)
+
+    def text(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    shared = [text(60) for _ in range(4)]
+    rows = [
+        (5, f"{text(20)} {shared[0]} {text(30)}"),
+        (5, f"{text(200)} {shared[1]} {text(3)}"),
+        (5, f"{shared[2]} {text(9)}"),
+        (5, f"{shared[2]} {text(9)}"),
+        (7, f"{text(40)} {shared[0]}"),
+        (8, f"{shared[1]} {text(40)}"),
+        (-3, f"{text(11)} {shared[2]} {text(12)}"),
+        (9, shared[3]),
+        (9, f"{shared[3]} {text(5)}"),
+        (10, text(80)),
+    ]
+    rows.append((5, rows[2][1]))
+    docs = documents(rows, extra=True)
+    passages = compact_windows.repeated_passages(docs)
+    found = {(r.doc_id, r.first_doc_id, r.stop - r.start) for r in passages.collect()}
+    assert found >= {(7, 5, 60), (8, 5, 60), (5, -3, 60), (9, 9, 60)}
+    assert found <= {(7, 5, 60), (8, 5, 60), (5, -3, 60), (9, 9, 60), (5, 5, 60)}
+    cut = compact_windows.without_repeats(docs, passages)
+    assert cut.columns == docs.columns
+    left = sorted((r.doc_id, len(r.text.split())) for r in cut.collect())
+    assert left == sorted(
+        [(5, 110), (5, 263), (5, 9), (5, 9), (5, 9), (7, 40), (8, 40), (-3, 83), (10, 80)]
+        + ([(9, 0), (9, 65)] if (9, 0) in left else [(9, 5), (9, 60)])
+    )
+
+
+def test_near_passages_are_found(documents):
+    """Against brute force: of later documents that hold a near passage at all, how many get one."""
+    rng = random.Random(12)
+    rows, families = [], []
+    for _ in range(90):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(100)]
+        members = []
+        for turn in range(rng.choice([2, 2, 3, 5])):
+            words = list(passage)
+            for _ in range(turn and rng.choice([1, 2, 3])):
+                words[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.2:  # half of it stands in another document too
+                half = words[:45]
+                rows.append((len(rows), " ".join(half + [f"h{rng.randrange(10**6)}" for _ in range(30)])))
+            before, after = ([f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] for _ in "ab")
+            members.append(len(rows))
+            rows.append((len(rows), " ".join(before + words + after)))
+        families.append(members)
+    shingles = {}
+    for i, text in rows:
+        words = text.split()
+        shingles[i] = np.array([hash(tuple(words[k : k + 5])) for k in range(len(words) - 4)], np.int64)
+    holds = {
+        later
+        for members in families
+        for k, later in enumerate(members)
+        if any(
+            compact_windows.align(shingles[later].view(np.uint64), shingles[x].view(np.uint64), 46)
+            for x in members[:k]
+        )
+    }
+    found = {r.doc_id for r in compact_windows.repeated_passages(documents(rows)).collect()}
+    assert len(holds) > 100
+    missed = len(holds - found)
+    assert missed <= 0.1 * len(holds), (missed, len(holds))
+    print("near passages missed:", missed, "of", len(holds))
+
+
 def test_stretch_hashes():
     values = np.random.default_rng(1).integers(0, 2, 200).astype(np.uint64)
     one, two = compact_windows.stretch_hashes(values, 6)

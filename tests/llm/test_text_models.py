@@ -12,12 +12,12 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from patronage.llm import decontaminate, dom, ngrams, quality, registry, toxicity, wrappers
 
-KEYS = [f"op{n}_" for n in range(1, 11)]
+KEYS = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_one_query_for_each_operator():
     found = registry.queries()
-    assert all(sum(k.startswith(p) for k in found) == 1 for p in KEYS) and len(found) == 10
+    assert all(sum(k.startswith(p) for k in found) == 1 for p in KEYS) and len(found) == 13
     assert set(queries()) >= {*found, "pipeline"} and set(registry.oracle_sql()) <= set(found)
 
 

@@ -29,12 +29,15 @@ HOSTILE = [
     "x1y2 99,5% a_b --- !!!\nnext\n\nafter",
     "word\u001fsep",
     "日本語のテキスト 🙂🙂 ok",
+    "a\n\u00a0",
+    "word\n\u00a0\nword",
 ]
 
 
 def fuzz(n, seed):
     rng = random.Random(seed)
     alphabet = ["ab", "the ", "Éé", "'s", "12", "!,", "́", "<|endoftext|>", "\n", " ", "日"]
+    alphabet += ["\n", "\u00a0", "\u2003", "\u3000", "\u0085", "\u2028", "\x1c", "\t"]
     return ["".join(rng.choices(alphabet, k=rng.randint(1, 120))) for _ in range(n)]
 
 
@@ -87,6 +90,16 @@ def test_tree_bpe_of_documents(documents):
     assert tree_bpe.encode(docs.limit(0), WORDS).count() == 0
 
 
+def test_tree_bpe_behind_a_repartition(documents):
+    rng = random.Random(4)
+    rows = [(k, f"doc {k} " + "".join(rng.choices("abc1!", k=300 + k))) for k in range(60)]
+    library = Tokenizer.from_file(WORDS)
+    docs = documents(rows).selectExpr("*", "doc_id AS _row").repartition(16)
+    out = tree_bpe.encode(docs, WORDS, leaf=64).collect()
+    got = {r["doc_id"]: (r["_row"], list(r["ids"])) for r in out}
+    assert got == {i: (i, library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_token_files_round_trip(spark, documents, tmp_path):
     rows = [(k * 7 % 40, t) for k, t in enumerate(HOSTILE + ["very long " * 5_000])]
     rows += [(3, "again"), (3, "again"), (None, "no id")]

@@ -32,6 +32,7 @@ def test_against_brute_force(spark, block_rows, query_rows):
     vectors += [(60 + i, [0.5] * 8) for i in range(25)]  # one very common vector
     vectors += [(100, [0.0] * 8), (102, [-1.0, 1.0] * 4), (3, vectors[3][1]), (7, [0.25] * 8)]
     vectors += [(200, None), (201, []), (202, [1.0, None] * 4), (203, [float("nan")] * 8)]
+    vectors += [(9, [0.75] * 8)] * 40  # one row again and again
     vectors += [(204, [float("inf")] * 8), (None, [1.0] * 8), (300, [1.0, 2.0]), (303, [3.0, -2.0])]
     frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
     rows = frame.select("vec_id", bit_sliced.quantised().alias("q"))
