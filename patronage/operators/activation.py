@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import calendar as cal
 from patronage.functions.values import AGE_BINS, Bins, in_list_or_known, percent
+from patronage.operators import bitmaps
 from patronage.plans import sketch
 from patronage.plans.histogram import equal_width_histogram
 from patronage.plans.keys import complete_keys, top_k
@@ -54,6 +55,51 @@ def first_order(
     )
 
 
+def first_known_per_user(
+    users: DataFrame,
+    orders: DataFrame,
+    columns: Sequence[str],
+    statuses: Sequence[str] = COMPLETE,
+) -> DataFrame:
+    """`user_id` and, of each column, the first known value in the order of the user's orders.
+
+    So the columns of a row may come from several orders, where the first has gaps. Orders at one
+    time go by their id. One aggregate a column, taken on the map side already.
+    """
+    first = [
+        F.expr(
+            f"min_by(`{c}`, struct(created_at, order_id)) FILTER (WHERE `{c}` IS NOT NULL)"
+        ).alias(c)
+        for c in columns
+    ]
+    found = _bought(orders, statuses).groupBy("user_id").agg(*first)
+    return found.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
+def activation_index(
+    users: DataFrame,
+    orders: ByUser,
+    bins: Bins = AGE_BINS,
+    statuses: Sequence[str] = COMPLETE,
+) -> DataFrame:
+    """Bitmaps of users by gender, traffic source, age group, sign-up month and activation.
+
+    Kept once, it answers the totals and rates by any of them and by any choice of values
+    (`operators.bitmaps`) without users or orders.
+    """
+    marked = _with_first(users, orders, statuses)
+    return bitmaps.index_users(
+        marked,
+        {
+            "gender": F.col("gender"),
+            "traffic_source": F.col("traffic_source"),
+            "age_group": bins.name(bins.position("age")),
+            "signup_month": cal.month_label(F.col("created_at")),
+            "activated": F.when(F.col("first_at").isNotNull(), F.lit("yes")),
+        },
+    )
+
+
 def _with_first(users: DataFrame, orders: ByUser, statuses: Sequence[str]) -> DataFrame:
     """Users with `first_at`, null for those who never bought.
 

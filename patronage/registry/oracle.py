@@ -553,6 +553,46 @@ FROM (VALUES {", ".join(f"('{name}')" for name in SKETCHED)}) m(months)
 LEFT JOIN lst ON lst.months = m.months LEFT JOIN err ON err.months = m.months"""
 
 
+def _bitmap_rates(activation: str) -> str:
+    by = {
+        "everyone": "''",
+        "gender": "gender",
+        "traffic_source": "traffic_source",
+        "age_group": "age_group",
+        "signup_month": "strftime(created_at, '%Y-%m')",
+    }
+    each = " UNION ALL ".join(
+        f"SELECT '{name}' AS dimension, {value} AS \"value\", {COUNTED} FROM mrk"
+        f" WHERE {value} IS NOT NULL GROUP BY {value} HAVING count(*) > 0"
+        for name, value in by.items()
+    )
+    return f"{activation} {each}"
+
+
+def _bitmap_choice(activation: str) -> str:
+    sources = _in("traffic_source", ACTIVATION_CHOICE["traffic_sources"])
+    return f"""{activation}
+SELECT strftime(created_at, '%Y-%m') AS signup_month, age_group, {COUNTED}
+FROM mrk
+WHERE {sources} AND gender = '{ACTIVATION_CHOICE["gender"]}' AND created_at IS NOT NULL
+  AND age_group IS NOT NULL
+GROUP BY 1, 2"""
+
+
+def _first_known(activation: str) -> str:
+    order = "ORDER BY o_orderdate, o_orderkey"
+    return f"""{activation},
+gap AS (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority,
+               CASE WHEN o_orderkey % 7 > 4 THEN o_totalprice END AS total
+        FROM orders
+        WHERE o_orderstatus = 'F' AND o_orderdate IS NOT NULL
+          AND o_custkey IN (SELECT id FROM ppl))
+SELECT o_custkey AS user_id, first(o_orderkey {order}) AS order_id,
+       first(priority {order}) FILTER (WHERE priority IS NOT NULL) AS priority,
+       round(first(total {order}) FILTER (WHERE total IS NOT NULL), 6) AS total
+FROM gap GROUP BY o_custkey"""
+
+
 def oracle_sql() -> dict[str, str]:
     shop, year, log = shop_views(None), shop_views(YEAR_1995), event_log()
     scope, people = _scope(shop), _activation(shop)
@@ -654,6 +694,9 @@ SELECT 'revenue' AS figure,
 UNION ALL SELECT strftime("month", '%Y-%m'), revenue FROM ({_revenue_monthly(scope)})
 UNION ALL SELECT category, revenue FROM ({_topk(scope, *REVENUE)})""",
         "cohort_monthly_clustered": month_dense,
+        "activation_bitmaps": _bitmap_rates(people),
+        "activation_bitmaps_chosen": _bitmap_choice(people),
+        "first_known_per_user": _first_known(people),
         "activation_monthly_clustered": _activation_monthly(people),
     }
     scope, people = _scope(year), _activation(year)

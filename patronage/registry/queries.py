@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.operators import activation as act
+from patronage.operators import bitmaps
 from patronage.operators import overview as ovw
 from patronage.operators import repeat as rep
 from patronage.operators import retention as ret
@@ -177,6 +178,33 @@ def _ttfp_sketch(s: OrderShop) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
+INDEXED = ("gender", "traffic_source", "age_group", "signup_month")
+
+
+def _bitmap_rates(s: OrderShop) -> DataFrame:
+    """Users and buyers by each dimension, from one kept index."""
+    index = store.keep(act.activation_index(_users(s), s.orders, BALANCE_BINS, DONE))
+    hits = bitmaps.chosen(index, "activated")
+    found = [
+        bitmaps.rates(index, [name], hits)
+        .withColumnRenamed(name, "value")
+        .withColumn("dimension", F.lit(name))
+        for name in (bitmaps.EVERYONE, *INDEXED)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _bitmap_choice(s: OrderShop) -> DataFrame:
+    """Months by age group among the users of some sources and one gender."""
+    index = store.keep(act.activation_index(_users(s), s.orders, BALANCE_BINS, DONE))
+    hits = bitmaps.chosen(index, "activated")
+    within = [
+        bitmaps.chosen(index, "traffic_source", ACTIVATION_CHOICE["traffic_sources"]),
+        bitmaps.chosen(index, "gender", [ACTIVATION_CHOICE["gender"]]),
+    ]
+    return bitmaps.rates(index, ["signup_month", "age_group"], hits, within)
+
+
 def _clustered(df: DataFrame, user: str, *order: str) -> store.ByUser:
     path = store.new_path(df.sparkSession, "clustered")
     return store.write_clustered(df, path, user, BUCKETS, order)
@@ -302,6 +330,11 @@ SHOP: dict[str, Callable[[OrderShop], DataFrame]] = {
     "events_through_csv": _through_csv,
     "first_rows": lambda s: ovw.first_rows(s.raw("region"), 5),
     "revenue_report": _report,
+    "activation_bitmaps": _bitmap_rates,
+    "activation_bitmaps_chosen": _bitmap_choice,
+    "first_known_per_user": lambda s: act.first_known_per_user(
+        _users(s), s.orders_with_gaps, ["order_id", "priority", "total"], DONE
+    ),
     "cohort_monthly_clustered": lambda s: ret.cohort_monthly_dense(
         _clustered_orders(s), 12, COMPLETE
     ),

@@ -111,6 +111,20 @@ class OrderShop:
             )
         )
 
+    @cached_property
+    def orders_with_gaps(self) -> DataFrame:
+        """Orders with two more columns, each unknown for some."""
+        return self._within(
+            self._read("orders").selectExpr(
+                "o_orderkey AS order_id",
+                "o_custkey AS user_id",
+                "o_orderstatus AS status",
+                "o_orderdate AS created_at",
+                "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority",
+                "CASE WHEN o_orderkey % 7 > 4 THEN o_totalprice END AS total",
+            )
+        )
+
     @cached_property
     def order_items(self) -> DataFrame:
         lines = self._read("lineitem")

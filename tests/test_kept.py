@@ -8,7 +8,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from patronage.operators import activation, repeat, retention
+from patronage.operators import activation, bitmaps, repeat, retention
 from patronage.plans import sketch
 from patronage.plans.cohorts import MONTH, cohort_cells
 from patronage.sources import inference, store
@@ -205,3 +205,49 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         store.shared_folder(Elsewhere)
+
+
+# ---- bitmaps of users
+
+
+def test_bitmaps_count_users_of_any_choice(spark, monkeypatch):
+    monkeypatch.setattr(bitmaps, "BUCKET_USERS", 60_000)  # so that buckets have a second page
+    users = spark.range(0, 100_000, 1, 8).selectExpr(
+        "id * 1000003 AS id",
+        "CASE WHEN id % 3 > 0 THEN concat('g', id % 3) END AS g",
+        "CASE WHEN id % 2 = 0 THEN 'hot' ELSE CAST(id % 7 AS STRING) END AS s",
+        "id % 5 = 0 AS hit",
+    )
+    users = users.unionAll(users.where("id % 10 = 0")).unionAll(
+        spark.sql("SELECT CAST(NULL AS BIGINT), 'g1', 'hot', true")
+    )
+    index = store.keep(
+        bitmaps.index_users(
+            users,
+            {"g": F.col("g"), "s": F.col("s"), "hit": F.when(F.col("hit"), F.lit("yes"))},
+        )
+    )
+    assert index.agg(F.max("page"), F.max(F.length("bits"))).first()[:] == (1, 4_096)
+    known = users.where("id IS NOT NULL").distinct()
+    hits = bitmaps.chosen(index, "hit")
+    within = [bitmaps.chosen(index, "s", ["hot", "3"])]
+    for dimensions, kept, choice in (
+        (["g"], known, []),
+        (["g", "s"], known, []),
+        (["g"], known.where("s IN ('hot', '3')"), within),
+    ):
+        expected = kept.where(" AND ".join(f"{d} IS NOT NULL" for d in dimensions)).groupBy(
+            *dimensions
+        ).agg(F.count("*").alias("n"), F.count_if("hit").alias("m"))
+        found = bitmaps.rates(index, dimensions, hits, choice).drop("activation_rate")
+        assert sorted(rows(found)) == sorted(rows(expected))
+    everyone = bitmaps.chosen(index, bitmaps.EVERYONE)
+    assert rows(bitmaps.count_users(everyone)) == [(100_000,)]
+    assert rows(bitmaps.count_users(bitmaps.both(everyone, hits))) == [(20_000,)]
+    assert rows(bitmaps.count_users(bitmaps.chosen(index, "s", ["nobody"]))) == [(0,)]
+
+
+def test_one_scan_for_all_dimensions(spark, orders):
+    users = orders[False].select(F.col("user_id").alias("id"), "status")
+    index = bitmaps.index_users(users, {"a": F.col("status"), "b": F.upper("status")})
+    assert not [x for x in plan_of(index).split("\n") if "Expand" in x or "Union" in x]
