@@ -73,7 +73,7 @@ class Scope:
 
         With an `attribute`, the product's comes along, for one join instead of two.
         """
-        summed = self.ordered.groupBy("product_id", *keys).agg(_money().alias("revenue"))
+        summed = self.ordered.groupBy("product_id", *keys).agg(money().alias("revenue"))
         if attribute is None:
             ids = self.products.select(F.col("id").alias("product_id"))
             return summed.join(ids, "product_id", "left_semi")
@@ -138,23 +138,28 @@ def revenue_scope(
     return Scope(ordered, kept_users, kept_products)
 
 
-def _money(column: str = "sale_price") -> Column:
+def money(column: str = "sale_price") -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast(MONEY_SUM)
 
 
 def revenue_kpis(scope: Scope) -> DataFrame:
     """One row of totals and averages per user, per buyer and per order."""
     by_order = scope.sums("order_id", "user_id").groupBy("user_id", "order_id")
-    kept = scope.by_kept_users(by_order.agg(_money("revenue").alias("revenue")))
+    kept = scope.by_kept_users(by_order.agg(money("revenue").alias("revenue")))
     # Orders and buyers are counted by a sum each: two distinct counts would triple the rows.
     buyers = kept.select("user_id").groupBy("user_id").agg(F.lit(1).alias("one"))
     totals = (
         kept.groupBy("order_id")
-        .agg(_money("revenue").alias("revenue"))
-        .agg(_money("revenue").alias("total_revenue"), F.count("order_id").alias("total_orders"))
+        .agg(money("revenue").alias("revenue"))
+        .agg(money("revenue").alias("total_revenue"), F.count("order_id").alias("total_orders"))
         .withColumn("purchasing_users", buyers.agg(F.count("one")).scalar())
         .withColumn("total_users", scope.users.agg(F.countDistinct("id")).scalar())
     )
+    return with_averages(totals)
+
+
+def with_averages(totals: DataFrame) -> DataFrame:
+    """The totals with revenue per user, per buyer and per order."""
     revenue = F.col("total_revenue")
     return totals.select(
         "*",
@@ -168,11 +173,11 @@ def revenue_monthly(scope: Scope) -> DataFrame:
     """Revenue by the month of the item's own time."""
     month = cal.month_start(F.col("created_at")).alias("month")
     sums = scope.sums("user_id", month).where(F.col("month").isNotNull())
-    by_user = sums.groupBy("user_id", "month").agg(_money("revenue").alias("revenue"))
+    by_user = sums.groupBy("user_id", "month").agg(money("revenue").alias("revenue"))
     return (
         scope.sums_of_kept_users(by_user)
         .groupBy("month")
-        .agg(_money("revenue").alias("revenue"))
+        .agg(money("revenue").alias("revenue"))
         .orderBy("month")
     )
 
@@ -184,7 +189,7 @@ def order_frequency(scope: Scope) -> DataFrame:
 
 def user_revenue(scope: Scope) -> DataFrame:
     by_user = scope.sums("user_id").where(F.col("user_id").isNotNull()).groupBy("user_id")
-    return scope.sums_of_kept_users(by_user.agg(_money("revenue").alias("revenue")))
+    return scope.sums_of_kept_users(by_user.agg(money("revenue").alias("revenue")))
 
 
 def top_revenue_share(scope: Scope, fraction: float = 0.10) -> DataFrame:
@@ -219,16 +224,16 @@ def customer_revenue_histogram(scope: Scope, bins: int = 15) -> DataFrame:
 
 def _revenue_by(scope: Scope, attribute: str) -> DataFrame:
     by_user = scope.sums("user_id", attribute=attribute).groupBy("user_id", attribute)
-    kept = scope.sums_of_kept_users(by_user.agg(_money("revenue").alias("revenue")))
-    return kept.groupBy(attribute).agg(_money("revenue").alias("revenue"))
+    kept = scope.sums_of_kept_users(by_user.agg(money("revenue").alias("revenue")))
+    return kept.groupBy(attribute).agg(money("revenue").alias("revenue"))
 
 
-def _labelled_top(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
+def labelled_top(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
     return top_k(df, k, by, key).withColumn("label", shorten(F.col(key)))
 
 
 def category_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
-    return _labelled_top(_revenue_by(scope, "category"), k, "revenue", "category")
+    return labelled_top(_revenue_by(scope, "category"), k, "revenue", "category")
 
 
 def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
@@ -236,13 +241,13 @@ def category_aov_topk(scope: Scope, k: int = 10) -> DataFrame:
     by_category = (
         scope.by_kept_users(scope.sums("order_id", "user_id", attribute="category"))
         .groupBy("category", "order_id")
-        .agg(_money("revenue").alias("revenue"))
+        .agg(money("revenue").alias("revenue"))
         .groupBy("category")
-        .agg(ratio(_money("revenue"), F.count("order_id")).alias("aov"))
+        .agg(ratio(money("revenue"), F.count("order_id")).alias("aov"))
     )
-    return _labelled_top(by_category.where(F.col("aov").isNotNull()), k, "aov", "category")
+    return labelled_top(by_category.where(F.col("aov").isNotNull()), k, "aov", "category")
 
 
 def product_revenue_topk(scope: Scope, k: int = 10) -> DataFrame:
     """Revenue by product name; products of one name count together."""
-    return _labelled_top(_revenue_by(scope, "name"), k, "revenue", "name")
+    return labelled_top(_revenue_by(scope, "name"), k, "revenue", "name")

@@ -52,12 +52,14 @@ def active_periods(items: ByUser, grain: Grain) -> DataFrame:
     return reduce(DataFrame.unionAll, (_active_periods(part, grain) for part in parts_of(items)))
 
 
+def active_pairs(items: DataFrame, grain: Grain) -> DataFrame:
+    """The distinct (user_id, period) of dated rows."""
+    period = grain.start(F.col("created_at")).alias("period")
+    return _dated(items).select("user_id", period).distinct()
+
+
 def _active_periods(items: DataFrame, grain: Grain) -> DataFrame:
-    periods = (
-        _dated(items)
-        .select("user_id", grain.start(F.col("created_at")).alias("period"))
-        .distinct()
-    )
+    periods = active_pairs(items, grain)
     first = F.min("period").over(Window.partitionBy("user_id"))
     return periods.withColumn("cohort", first)
 
@@ -80,7 +82,12 @@ def cohort_cells(items: ByUser, grain: Grain) -> DataFrame:
         .groupBy("cohort", "age")
         .agg(F.count("*").alias("active_users"))
     )
-    return _with_retention(_sized(cells))
+    return cells_of_counts(cells)
+
+
+def cells_of_counts(counts: DataFrame) -> DataFrame:
+    """Counts by `cohort, age` with each cohort's size and the share of it."""
+    return _with_retention(_sized(counts))
 
 
 def dense_cells(

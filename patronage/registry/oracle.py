@@ -593,6 +593,43 @@ SELECT o_custkey AS user_id, first(o_orderkey {order}) AS order_id,
 FROM gap GROUP BY o_custkey"""
 
 
+def _cube_by_value(head: str) -> str:
+    dimensions = ("order_month", "status", "gender", "age_group", "traffic_source", "category", "brand")
+    each = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, sale_price, order_id, user_id FROM fct"
+        for d in dimensions
+    )
+    return f"""{head},
+fct AS (
+  SELECT month(o.created_at) AS order_month, o.status, u.gender, {_bin_case("u.age")} AS age_group,
+         u.traffic_source, p.category, p.brand, i.sale_price, i.order_id, i.user_id
+  FROM itm i
+  JOIN ord o ON o.order_id = i.order_id
+  JOIN usr u ON u.id = i.user_id
+  JOIN prd p ON p.id = i.product_id
+  WHERE o.status IS NOT NULL AND ({_bin_case("u.age")}) IS NOT NULL
+    AND u.traffic_source IS NOT NULL AND p.category IS NOT NULL AND p.brand IS NOT NULL
+)
+SELECT dimension, value, CAST(coalesce(sum(sale_price), 0) AS DOUBLE) AS revenue,
+       count(DISTINCT order_id) AS orders, count(DISTINCT user_id) AS buyers
+FROM ({each}) WHERE value IS NOT NULL GROUP BY 1, 2"""
+
+
+def _cube_report(shop: str) -> str:
+    figures = (
+        ("month", """strftime("month", '%Y-%m')""", "revenue", _revenue_monthly),
+        ("category", "category", "revenue", lambda scope: _topk(scope, *REVENUE)),
+        ("order value", "category", "aov", lambda scope: _topk(scope, *AOV)),
+        ("product", "name", "revenue", lambda scope: _topk(scope, *PRODUCT)),
+    )
+    return " UNION ALL ".join(
+        f"SELECT '{choice}' AS choice, '{figure}' AS figure, {key} AS key, {amount} AS amount"
+        f" FROM ({sql(_scope(shop, chosen))})"
+        for choice, chosen in (("none", None), ("some", CHOSEN))
+        for figure, key, amount, sql in figures
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     shop, year, log = shop_views(None), shop_views(YEAR_1995), event_log()
     scope, people = _scope(shop), _activation(shop)
@@ -693,6 +730,10 @@ SELECT 'revenue' AS figure,
        coalesce((SELECT CAST(sum(sale_price) AS DOUBLE) FROM sco), 0) AS amount
 UNION ALL SELECT strftime("month", '%Y-%m'), revenue FROM ({_revenue_monthly(scope)})
 UNION ALL SELECT category, revenue FROM ({_topk(scope, *REVENUE)})""",
+        "revenue_cube": _cube_by_value(shop),
+        "revenue_cube_kpis": _kpis(_scope(shop, CHOSEN)),
+        "revenue_cube_report": _cube_report(shop),
+        "cohort_monthly_steps": _sparse(shop),
         "cohort_monthly_clustered": month_dense,
         "activation_bitmaps": _bitmap_rates(people),
         "activation_bitmaps_chosen": _bitmap_choice(people),

@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 
 from patronage.operators import activation as act
 from patronage.operators import bitmaps
+from patronage.operators import cube as cub
 from patronage.operators import overview as ovw
 from patronage.operators import repeat as rep
 from patronage.operators import retention as ret
 from patronage.operators import revenue as rev
 from patronage.operators import sampling as smp
-from patronage.plans.cohorts import DAY, WEEK
+from patronage.operators.cohort_state import CohortState
+from patronage.plans.cohorts import DAY, MONTH, WEEK, named
 from patronage.session import configure
 from patronage.sources import inference, store, tables
 from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
@@ -238,6 +240,51 @@ def _report(s: OrderShop) -> DataFrame:
     return kpis.unionAll(months).unionAll(categories)
 
 
+def _cube(s: OrderShop) -> cub.RevenueCube:
+    return cub.revenue_cube(s.users, s.orders, s.order_items, s.products, BALANCE_BINS).kept()
+
+
+def _chosen_cube(s: OrderShop) -> cub.RevenueCube:
+    return _cube(s).chosen(rev.Filters(statuses=DONE, age_bins=BALANCE_BINS, **CHOSEN))
+
+
+def _cube_report(s: OrderShop) -> DataFrame:
+    """Months and rankings of one choice and of none, from one kept cube."""
+    cube = _cube(s)
+    found = []
+    for choice, more in (("none", {}), ("some", CHOSEN)):
+        part = cube.chosen(rev.Filters(statuses=DONE, age_bins=BALANCE_BINS, **more))
+        parts = {
+            "month": cub.cube_monthly(part).select(F.date_format("month", "yyyy-MM"), "revenue"),
+            "category": cub.cube_category_topk(part).select("category", "revenue"),
+            "order value": cub.cube_category_aov_topk(part).select("category", "aov"),
+            "product": cub.cube_product_topk(part).select("name", "revenue"),
+        }
+        found += [
+            df.toDF("key", "amount").select(
+                F.lit(choice).alias("choice"),
+                F.lit(figure).alias("figure"),
+                "key",
+                F.col("amount").cast("double").alias("amount"),
+            )
+            for figure, df in parts.items()
+        ]
+    return reduce(DataFrame.unionAll, found)
+
+
+STEPS = 4
+
+
+def _cohort_steps(s: OrderShop) -> DataFrame:
+    """Monthly cohorts from orders that come in steps, each with rows of all dates."""
+    items = s.orders_with_items.where(F.col("status") == COMPLETE)
+    spark = items.sparkSession
+    state = CohortState(spark, store.new_path(spark, "cohorts"), MONTH).start()
+    for step in range(1, STEPS + 1):
+        state.advance(items.where(F.pmod("order_id", F.lit(STEPS)) == step - 1), step)
+    return named(state.cells(), MONTH)
+
+
 def _age_pivot(s: OrderShop) -> DataFrame:
     long = act.activation_age_by_month(_users(s), s.orders, BALANCE_BINS, DONE)
     return act.activation_age_pivot(long, BALANCE_BINS)
@@ -330,6 +377,10 @@ SHOP: dict[str, Callable[[OrderShop], DataFrame]] = {
     "events_through_csv": _through_csv,
     "first_rows": lambda s: ovw.first_rows(s.raw("region"), 5),
     "revenue_report": _report,
+    "revenue_cube": lambda s: cub.cube_by_value(_cube(s)),
+    "revenue_cube_kpis": lambda s: cub.cube_kpis(_chosen_cube(s)),
+    "revenue_cube_report": _cube_report,
+    "cohort_monthly_steps": _cohort_steps,
     "activation_bitmaps": _bitmap_rates,
     "activation_bitmaps_chosen": _bitmap_choice,
     "first_known_per_user": lambda s: act.first_known_per_user(
