@@ -9,12 +9,15 @@ would, with a tenth of its memory.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,11 @@ from patronage.llm.work import lean, texts_of, written
 
 WINDOW = 10
 BLOCK = 5
-# Bytes of item text for one automaton; more items are scanned for in further passes.
+# Bytes of item text for one automaton, and of all that one scan of the texts takes along.
 AUTOMATON_BYTES = 2 << 20
+SENT_BYTES = 64 << 20
+# Bytes of batches that a task holds while several automata take turns.
+HELD_BYTES = 32 << 20
 
 # A-Z become a-z; ASCII other than letters and digits separates words.
 _NORMAL = bytes(
@@ -64,15 +70,14 @@ class Passages:
             self.automaton.make_automaton()
         self.empty = not blocks
 
-    def runs(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
-        """How many words the text has, and (item, first word, word after the last) of the hits."""
-        words = [w for w in words_of(text) if w]
-        if self.empty or not words:
-            return len(words), []
-        line = f" {' '.join(words)} "
+    def runs(self, line: str) -> list[tuple[str, int, int]]:
+        """(item, first word, word after the last) of the hits in a text's line of words."""
+        if self.empty or not line:
+            return []
         met = list(self.automaton.iter(line))
         if not met:
-            return len(words), []
+            return []
+        words = line[1:-1].split(" ")
         gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
         spans: dict[int, set[tuple[int, int]]] = {}
         done: dict[tuple[int, int], int] = {}
@@ -107,40 +112,97 @@ class Passages:
                     found.append((item_id, low, high))
                     low, high = a, b
             found.append((item_id, low, high))
-        return len(words), sorted(found)
+        return sorted(found)
 
 
-def _scan(items: list[tuple[str, str]], window: int, first: bool):
+def line_of(text: str | None) -> tuple[int, str]:
+    """How many words a text has, and the words between single blanks; without words, nothing."""
+    words = [w for w in words_of(text) if w]
+    return len(words), f" {' '.join(words)} " if words else ""
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about `size` bytes, at least one batch each."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        if held and held_bytes + batch.nbytes > size:
+            yield held
+            held, held_bytes = [], 0
+        held.append(batch)
+        held_bytes += batch.nbytes
+    if held:
+        yield held
+
+
+def _scan(parts: Broadcast, window: int, first: bool, held_bytes: int):
+    """Look each text up in the automaton of every part of the items.
+
+    A task holds one automaton and some megabytes of texts at a time: where there are several
+    parts, their automata take turns over the texts held.
+    """
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(items, window)
-        for batch in batches:
-            counts, hits = [], []
-            before = None if first else batch.column("hits").to_pylist()
-            for i, text in enumerate(texts_of(batch)):
-                n, runs = passages.runs(text)
-                counts.append(n)
-                rows = [] if first else list(before[i])
-                if runs:
-                    at = [m.span() for m in _WORD.finditer(text)]
-                    rows += [
-                        {
-                            "item_id": item,
-                            "start": a,
-                            "stop": b,
-                            "char_start": at[a][0],
-                            "char_stop": at[b - 1][1],
-                        }
-                        for item, a, b in runs
-                    ]
-                hits.append(rows)
-            kept = [c for c in batch.schema.names if first or c not in ("n_words", "hits")]
-            arrays = [batch.column(c) for c in kept]
-            arrays += [pa.array(counts, pa.int64()), pa.array(hits, _HITS)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "hits"])
+        packed = parts.value
+        passages, at = None, None
+        for held in _gathered(batches, held_bytes if len(packed) > 1 else 0):
+            texts = [text for batch in held for text in texts_of(batch)]
+            lines = [line_of(text) for text in texts]
+            runs: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+            # turn about, so that the automaton in hand serves the next run of texts first
+            order = range(len(packed)) if at != len(packed) - 1 else reversed(range(len(packed)))
+            for k in order:
+                if at != k:
+                    passages = None  # let go of the last one before the next is made
+                    passages, at = Passages(pickle.loads(zlib.decompress(packed[k])), window), k
+                for found, (_, line) in zip(runs, lines):
+                    found += passages.runs(line)
+            done = 0
+            for batch in held:
+                rows = slice(done, done + batch.num_rows)
+                done += batch.num_rows
+                counts = [n for n, _ in lines[rows]]
+                hits = list(map(_hits_of, texts[rows], runs[rows]))
+                if not first:
+                    hits = [a + b for a, b in zip(batch.column("hits").to_pylist(), hits)]
+                kept = [c for c in batch.schema.names if first or c not in ("n_words", "hits")]
+                arrays = [batch.column(c) for c in kept]
+                arrays += [pa.array(counts, pa.int64()), pa.array(hits, _HITS)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "hits"])
 
     return scan
 
 
+def _hits_of(text: str, runs: list[tuple[str, int, int]]) -> list[dict]:
+    """The runs, by item, with their places in the original text."""
+    if not runs:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    return [
+        {
+            "item_id": item,
+            "start": a,
+            "stop": b,
+            "char_start": at[a][0],
+            "char_stop": at[b - 1][1],
+        }
+        for item, a, b in sorted(runs)
+    ]
+
+
+def _parts(items: list[tuple[str, str]], size: int) -> list[bytes]:
+    """The items in packed parts of at most `size` bytes of text, or one item; at least one part."""
+    parts, part, part_bytes = [], [], 0
+    for item in items:
+        own = len(item[1].encode())
+        if part and part_bytes + own > size:
+            parts.append(part)
+            part, part_bytes = [], 0
+        part.append(item)
+        part_bytes += own
+    parts.append(part)
+    return [zlib.compress(pickle.dumps(part), 1) for part in parts]
+
+
 _HITS = pa.list_(
     pa.struct(
         [
@@ -159,28 +221,33 @@ def find_passages(
     benchmark: DataFrame,
     window: int = WINDOW,
     automaton_bytes: int = AUTOMATON_BYTES,
+    sent_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """The documents with `n_words` and `hits`: benchmark items found, by words and characters.
 
     A hit is a run of words that windows of one item cover: `start` and `stop` count words,
-    `char_start` and `char_stop` characters of the original text. The items are read in blocks of
-    `automaton_bytes`, and each block is one scan; so what a task holds does not grow with the
-    benchmark. Null texts have no words. Items without an id, words or text take no part; items
-    that repeat an id count as one item. Columns of `docs` called `n_words` or `hits` are replaced.
+    `char_start` and `char_stop` characters of the original text. Items go to the tasks in packed
+    parts of `automaton_bytes`, all in one scan of the texts; only items of more than `sent_bytes`,
+    measured before, take another scan for each so many. What a task holds of automata and texts
+    does not grow with the benchmark. Null texts have no words. Items without an id, words or text
+    take no part; items that repeat an id count as one item. Columns of `docs` called `n_words` or
+    `hits` are replaced.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
         "item_id IS NOT NULL AND text IS NOT NULL"
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // automaton_bytes)) if size > automaton_bytes else 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    scans = max(1, -(-2 * size // sent_bytes)) if size > sent_bytes else 1
+    scan = F.pmod(F.xxhash64("item_id", "text"), F.lit(scans))
+    context = docs.sparkSession.sparkContext
     found = docs.drop("n_words", "hits")
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields]
     schema = ", ".join([*names, "n_words bigint", f"hits {HITS}"])
-    for k in range(blocks):
-        texts = [tuple(r) for r in items.where(block == k).distinct().collect()]  # one block
-        found = found.mapInArrow(lean(_scan(sorted(texts), window, k == 0)), schema)
-        if blocks > 1:
+    for k in range(scans):
+        texts = sorted(tuple(r) for r in items.where(scan == k).distinct().collect())  # bounded
+        parts = context.broadcast(_parts(texts, automaton_bytes))
+        found = found.mapInArrow(lean(_scan(parts, window, k == 0, HELD_BYTES)), schema)
+        if scans > 1:
             found = written(found, "passages")
     return found
 

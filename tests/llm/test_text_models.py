@@ -229,8 +229,9 @@ def brute(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("automaton_bytes", [1 << 20, 300])
-def test_passages(spark, documents, automaton_bytes):
+@pytest.mark.parametrize("automaton_bytes, sent_bytes", [(1 << 20, 1 << 20), (300, 1 << 20), (60, 300)])
+def test_passages(spark, documents, automaton_bytes, sent_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 2_000)
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.randint(1, 30)))) for k in range(12)]
     items += [(50, "Été, WAS? 42"), (51, ""), (52, None), (None, "alpha beta"), (3, "gamma gamma")]
@@ -244,7 +245,9 @@ def test_passages(spark, documents, automaton_bytes):
         rows.append((k, " ".join(text[:at]) + " " + mixed + " " + " ".join(text[at:])))
     rows += [(70, None), (71, ""), (72, "the " * 500), (70, "dup 42 été was 42"), (None, "Été was 42")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontaminate.find_passages(documents(rows, extra=True), bench, 10, automaton_bytes)
+    found = decontaminate.find_passages(
+        documents(rows, extra=True), bench, 10, automaton_bytes, sent_bytes
+    )
     out = found.select("doc_id", "text", "n_words", decontaminate.n_hit().alias("n"), decontaminate.item_ids().alias("i"), "hits")
     got = sorted((str(r[0]), str(r[1]), r["n_words"], r["n"], r["i"]) for r in out.collect())
     assert got == sorted((str(i), str(t), *brute(t, items)) for i, t in rows)
@@ -254,6 +257,18 @@ def test_passages(spark, documents, automaton_bytes):
     assert decontaminate.find_passages(documents(rows), bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_a_large_benchmark_is_one_scan_of_the_documents(spark, documents):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"q{rng.randrange(10**6)}" for _ in range(12))) for k in range(3_000)]
+    rows = [(k, f"intro {items[k * 7][1]} outro") for k in range(400)] + [(900, "nothing of it")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.find_passages(documents(rows), bench, automaton_bytes=20_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = {r[0]: r[1] for r in found.select("doc_id", decontaminate.item_ids()).collect()}
+    assert got == {k: [str(k * 7)] for k in range(400)} | {900: []}
+
+
 # pipeline
 
 
