@@ -146,13 +146,26 @@ def revenue_kpis(scope: Scope) -> DataFrame:
     """One row of totals and averages per user, per buyer and per order."""
     by_order = scope.sums("order_id", "user_id").groupBy("user_id", "order_id")
     kept = scope.by_kept_users(by_order.agg(money("revenue").alias("revenue")))
-    # Orders and buyers are counted by a sum each: two distinct counts would triple the rows.
-    buyers = kept.select("user_id").groupBy("user_id").agg(F.lit(1).alias("one"))
+    # Each pair counts for its order and for its buyer. Two groups by one key, in one exchange:
+    # a branch for each would repeat the joins, and two distinct counts would triple the rows.
+    order = F.struct("order_id", F.lit(None).cast(kept.schema["user_id"].dataType).alias("user_id"))
+    buyer = F.struct(F.lit(None).cast(kept.schema["order_id"].dataType).alias("order_id"), "user_id")
+    zero = F.lit(0).cast(kept.schema["revenue"].dataType)
+    sides = F.inline(
+        F.array(
+            F.struct(order.alias("of"), F.col("revenue").alias("revenue")),
+            F.struct(buyer.alias("of"), zero.alias("revenue")),
+        )
+    )
     totals = (
-        kept.groupBy("order_id")
+        kept.select(sides)
+        .groupBy("of.order_id", "of.user_id")
         .agg(money("revenue").alias("revenue"))
-        .agg(money("revenue").alias("total_revenue"), F.count("order_id").alias("total_orders"))
-        .withColumn("purchasing_users", buyers.agg(F.count("one")).scalar())
+        .agg(
+            money("revenue").alias("total_revenue"),
+            F.count("order_id").alias("total_orders"),
+            F.count("user_id").alias("purchasing_users"),
+        )
         .withColumn("total_users", scope.users.agg(F.countDistinct("id")).scalar())
     )
     return with_averages(totals)
