@@ -17,7 +17,7 @@ from patronage.registry.queries import (
     YEAR_1995,
     YEAR_1996,
 )
-from patronage.sources.star import BALANCE_BINS
+from patronage.sources.star import BALANCE_BINS, STAR_SCHEMAS
 
 Span = tuple[str, str]
 
@@ -630,6 +630,27 @@ def _cube_report(shop: str) -> str:
     )
 
 
+def _sizes() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS "rows",
+CAST((SELECT count(*) FROM (DESCRIBE {name})) AS INTEGER) AS cols"""
+        for name in TABLES
+    )
+
+
+def _stored_bounds() -> str:
+    found = []
+    for name in TABLES:
+        for field in STAR_SCHEMAS[name].split(", "):
+            column, kind = field.split()
+            if kind in ("int", "bigint", "timestamp_ntz"):
+                value = f"epoch_us({column})" if kind == "timestamp_ntz" else column
+                found.append(f"""SELECT '{name}' AS table_name, '{column}' AS column_name,
+       count(*) AS "rows", count({column}) AS known, CAST(min({value}) AS BIGINT) AS least,
+       CAST(max({value}) AS BIGINT) AS greatest FROM {name}""")
+    return " UNION ALL ".join(found)
+
+
 def oracle_sql() -> dict[str, str]:
     shop, year, log = shop_views(None), shop_views(YEAR_1995), event_log()
     scope, people = _scope(shop), _activation(shop)
@@ -781,10 +802,10 @@ FROM rpt GROUP BY 1""",
         "revenue_kpis_chosen": _kpis(_scope(shop, CHOSEN)),
         "activation_kpis_chosen": _activation_kpis(_activation(shop, ACTIVATION_CHOICE)),
         "revenue_kpis_1996": _kpis(_scope(shop_views(YEAR_1996))),
-        "table_summary": " UNION ALL ".join(
-            f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS "rows",
-CAST((SELECT count(*) FROM (DESCRIBE {name})) AS INTEGER) AS cols"""
-            for name in TABLES
-        ),
+        "table_summary": _sizes(),
+        "table_summary_stored": _sizes(),
+        "stored_bounds": _stored_bounds(),
+        "date_bounds_stored": """SELECT CAST(min(o_orderdate) AS DATE) AS first_day,
+       CAST(max(o_orderdate) AS DATE) AS last_day FROM orders""",
     }
     return sql

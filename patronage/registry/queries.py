@@ -25,7 +25,7 @@ from patronage.operators import sampling as smp
 from patronage.operators.cohort_state import CohortState
 from patronage.plans.cohorts import DAY, MONTH, WEEK, named
 from patronage.session import configure
-from patronage.sources import inference, store, tables
+from patronage.sources import footers, inference, store, tables
 from patronage.sources.star import BALANCE_BINS, EventShop, OrderShop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,22 @@ def _cohort_pivot(s: OrderShop) -> DataFrame:
 TABLES = ("customer", "orders", "lineitem", "events", "part")
 
 
+def _stored_sizes(spark: SparkSession, base: str) -> DataFrame:
+    paths = {name: f"{base}/{name}.parquet" for name in TABLES}
+    return footers.stored_sizes(configure(spark), paths)
+
+
+def _stored_bounds(spark: SparkSession, base: str) -> DataFrame:
+    configure(spark)
+    bounds = [
+        footers.stored_bounds(spark, f"{base}/{name}.parquet").select(
+            F.lit(name).alias("table_name"), "*"
+        )
+        for name in TABLES
+    ]
+    return reduce(DataFrame.unionAll, bounds)
+
+
 def _dimension_values(s: OrderShop) -> DataFrame:
     sources = (
         (s.orders, "status"),
@@ -461,4 +477,9 @@ def queries() -> dict[str, Query]:
     found["table_summary"] = _query(
         _shop(), lambda s: ovw.table_summary({name: s.raw(name) for name in TABLES})
     )
+    found["table_summary_stored"] = _stored_sizes
+    found["stored_bounds"] = _stored_bounds
+    found["date_bounds_stored"] = lambda spark, base: footers.stored_days(
+        configure(spark), f"{base}/orders.parquet", "o_orderdate"
+    )
     return found

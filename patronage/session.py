@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 # Settings that can be changed on a running session. UTC keeps period truncation
 # independent of the machine; the adaptive settings let Spark split a hot join
-# partition even where that costs one more exchange afterwards.
+# partition even where that costs one more exchange afterwards. Aggregates go down to Parquet
+# footers only for tables read by `sources.footers`.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -17,6 +18,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 # Start-up settings: no stack trace is kept for each column expression that is built.
