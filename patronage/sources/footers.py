@@ -1,9 +1,10 @@
 """Sizes and bounds of stored Parquet tables from the statistics in the files' footers.
 
 No column is read: Spark pushes the counts, least and greatest values down to the footers, a task
-for some files. A file without statistics of a column (one written so, or one in which the column has
-no value at all) and times of the old 96-bit kind make the query fail; a table without rows has null
-bounds.
+for some files. Where some file's footer does not say (one written without statistics, a column
+without any value in it, an empty file, times of the old 96-bit kind), bounds come from a scan of
+the asked columns; whether they do is seen by asking the footers once, for one row. A table without
+rows has null bounds.
 
 Spark finds a column's footer entry by its place. So a table is always read with its files' own
 schema, columns behind a nested one have no bounds, and all files must have the same columns in the
@@ -17,6 +18,8 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +90,6 @@ def stored_bounds(
     chosen = able if columns is None else list(columns)
     if not set(chosen) <= set(able) or not chosen:
         raise ValueError(f"no footer bounds for {sorted(set(chosen) - set(able)) or 'no columns'}")
-    df = _stored(spark, path, schema)
     found = [F.count("*").alias("rows")]
     for i, c in enumerate(map(_named, chosen)):
         found += [F.count(c).alias(f"known_{i}"), F.min(c).alias(f"least_{i}")]
@@ -107,7 +109,34 @@ def stored_bounds(
         )
         for i, c in enumerate(chosen)
     ]
-    return df.agg(*found).select(F.inline(F.array(*lines)))
+    totals = _stored(spark, path, schema).agg(*found)
+    if not _answered(totals):
+        totals = _plain(spark, path, chosen).agg(*found)
+    return totals.select(F.inline(F.array(*lines)))
+
+
+def _answered(totals: DataFrame) -> bool:
+    """Whether the footers of all files have what is asked; any other failure is raised."""
+    try:
+        totals.collect()  # one row
+    except (Py4JJavaError, PySparkException) as failure:
+        if "FAILED_READ_FILE" not in str(failure):
+            raise
+        return False
+    return True
+
+
+def _plain(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The columns by an ordinary scan, times in microseconds."""
+    df = spark.read.parquet(path)
+
+    def whole(name: str) -> Column:
+        column = _named(name)
+        if isinstance(df.schema[name].dataType, TIMES):
+            column = F.unix_micros(column.cast("timestamp"))
+        return column.alias(name)
+
+    return df.select(*map(whole, columns))
 
 
 def stored_days(spark: SparkSession, path: str, column: str) -> DataFrame:
