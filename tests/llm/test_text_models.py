@@ -204,6 +204,46 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got[203] == "Title 3\nAll the text of page 3.\nSaid once"
 
 
+def test_a_wrapper_has_the_places_of_all_pages(spark):
+    # The eight pages of the least hashes lack a place that most of the host's pages have.
+    def page(k, more):
+        return f"<div class=wrap>{more}<h1>Title {k}</h1><p>All the text of page {k}.</p></div>"
+
+    note = "<div class=hint>Read it on paper</div>"
+    rows = [(k, "http://a.example/", page(k, note if k >= 100 else "")) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    ranked = pages.selectExpr("page_id", "xxhash64(html) AS h").orderBy("h").collect()
+    plain = [r["page_id"] for r in ranked if r["page_id"] < 100]
+    least = {r["page_id"]: n for n, r in enumerate(ranked)}
+    late = [k for k in range(100, 400) if least[k] > least[plain[7]]]
+    assert len(late) > 150
+    some = pages.where(f"page_id < 100 OR page_id IN ({','.join(map(str, late))})")
+    for found in (some, some.repartition(7, "page_id")):
+        got = {r["page_id"]: r["text"] for r in wrappers.main_text(found).collect()}
+        assert all(got[k] == f"Title {k}\nAll the text of page {k}." for k in (*plain, *late))
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_wrappers_stay_small_and_keep_common_places(monkeypatch, order):
+    pages = [f"<div class=n{k}>A</div><div class=m{k}>B</div>" for k in range(600)]
+    pages += [f"<div class=seldom>{k}</div>" for k in range(30)]
+    pages += [f"<div class=common>{k}</div>" for k in range(700)]
+    parts = []
+    for k, page in enumerate(pages[::order]):
+        one = dom.pattern_of([dom.parse(page)])
+        if k % 450:
+            parts[-1] = dom.joined(parts[-1], one)
+            parts[-1] = dom.pruned(parts[-1]) if k % 10 == 0 else parts[-1]
+        else:
+            parts.append(one)
+    whole = parts[0]
+    for other in parts[1:]:
+        whole = dom.pruned(dom.joined(whole, other))
+    assert whole.pages == len(pages) and dom.nodes_of(whole) < 300
+    (common,) = [k for k in whole.kids if k.label == "div common"]
+    assert 700 <= common.pages <= 700 + len(pages) / dom.RARE and not common.many
+
+
 def test_given_pages(spark, small):
     for r in registry.op8_wrappers(spark, small).collect():
         assert r["n_chars"] == len(r["text"]) and "<" not in r["text"]
