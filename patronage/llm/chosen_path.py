@@ -6,10 +6,14 @@ in a node. Nodes of `NODE` rows at most are compared exhaustively; larger ones b
 if they stay large (copies of copies) they are dealt out in blocks. Independent trees repeat this,
 as many as the threshold needs for a pair at it to be missed once in a hundred thousand times at most.
 
+Trees can miss a pair, so a last round brings together all that share a shingle among the first of
+their sets, in one order of all shingles with the commonest last: sets of which none of these is
+shared are not similar. So no pair is missed, whatever the trees did.
+
 Within a node, pairs pass by an upper bound of their similarity (equal places of a histogram of the
-set), and pass to confirmation on the full sets. Three rounds keep the pairs few: in the first two
+set), and pass to confirmation on the full sets. The rounds keep the pairs few: in the first two
 each row offers only its best partner of those before it, and confirmed links join documents into
-components; the last takes all pairs that still lie in different components. Links within one
+components; the others take all pairs that still lie in different components. Links within one
 component are not looked for, since they would change nothing. Equal sets are one row throughout.
 """
 
@@ -33,7 +37,16 @@ DEEPER = 5  # of those in nodes that are still large
 NODE = 2_048
 BUCKETS = 256
 
-FEATURES = "doc_id bigint, n bigint, key1 bigint, key2 bigint, minima binary, places binary"
+# Shingles of which so many are seen come last in the order; any order is right, only slower.
+COMMON, LISTED = 256, 1 << 17
+_SEEN = 4  # of a shingle among those that a task holds at a time, to be counted
+_HELD = 1 << 21
+# Lists of nodes are sent to all tasks up to this size, which is measured first.
+BROADCAST_ROWS = 1 << 18
+
+FEATURES = (
+    "doc_id bigint, n bigint, key1 bigint, key2 bigint, minima binary, places binary, prefix binary"
+)
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -55,7 +68,60 @@ def trees_for(percent: int) -> int:
     return 1 if met >= 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
 
 
-def _features(size: int, trees: int):
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def _counted(size: int):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            some = counts >= _SEEN
+            columns = [pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["shingle", "n"])
+
+        for batch in batches:
+            for _, _, flat, _ in sets_of(batch.column("text"), size):
+                held.append(flat)
+                if sum(map(len, held)) >= _HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return counted
+
+
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of common shingles, the commonest last, for the order that prefixes follow."""
+    counts = docs.select("text").mapInArrow(lean(_counted(size)), "shingle bigint, n bigint")
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    most = counts.orderBy(F.desc("n"), "shingle").limit(LISTED).select("shingle").collect()
+    return np.array([r["shingle"] for r in most[::-1]], np.int64).view(np.uint64)
+
+
+def prefixes(flat: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray) -> list[bytes]:
+    """Of each set of ascending shingles the first ones, of which similar sets share one at least.
+
+    Of a set of n shingles a similar one has percent * n / 100 at least, so one of the n minus that
+    plus one first of each set, in any order that is the same for all sets, is in both.
+    """
+    if len(common) and len(flat):
+        sorted_at = np.argsort(common)
+        place = np.minimum(np.searchsorted(common, flat, sorter=sorted_at), len(common) - 1)
+        place = sorted_at[place]
+        rank = np.where(common[place] == flat, place + 1, 0)
+        if rank.any():
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            flat = flat[np.lexsort((rank, row))]
+    n = np.diff(at)
+    ends = at[:-1] + np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    return [flat[a:b].tobytes() for a, b in zip(at[:-1], ends)]
+
+
+def _features(size: int, trees: int, percent: int, common: np.ndarray):
     functions = trees * DEEPER * 2
     odds = np.random.default_rng(9).integers(1, 1 << 62, functions, dtype=np.uint64) * 2 + 1
 
@@ -90,8 +156,9 @@ def _features(size: int, trees: int):
                             [p.astype(np.uint8).tobytes() if p.max() < 256 else b"" for p in places],
                             pa.binary(),
                         ),
+                        pa.array(prefixes(flat, at, percent, common), pa.binary()),
                     ],
-                    names=["doc_id", "n", "key1", "key2", "minima", "places"],
+                    names=["doc_id", "n", "key1", "key2", "minima", "places", "prefix"],
                 )
 
     return features
@@ -145,10 +212,32 @@ def nodes(features: DataFrame, trees: range) -> DataFrame:
     lower = features.select("doc_id", "minima").mapInArrow(
         lean(_branch(trees, DEEPER, True)), "doc_id bigint, key bigint, top bigint"
     )
-    lower = lower.join(large, "top", "left_semi").select("key", "doc_id")
+    # Large nodes are few: each has more than NODE rows.
+    lower = lower.join(_sent(large), "top", "left_semi").select("key", "doc_id")
     return small.select("key", "doc_id").union(lower)
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = batch.column("prefix").to_pylist()
+        n = np.array([len(b) // 8 for b in blobs], np.int64)
+        own = [np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "label")]
+        columns = [np.frombuffer(b"".join(blobs), np.int64), *own]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], names=["key", "doc_id", "label"]
+        )
+
+
+def sharing(labelled: DataFrame) -> DataFrame:
+    """`key`, `doc_id`, `label` of the shingles in prefixes that documents of several labels have."""
+    rows = labelled.select("doc_id", "label", "prefix").mapInArrow(
+        lean(_spread), "key bigint, doc_id bigint, label bigint"
+    )
+    ends = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = written(ends.where("low < high").select("key"), "shared-shingles")
+    return rows.join(_sent(shared), "key", "left_semi")
+
+
 def _bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The most that two sets can share, by their histograms; an empty one bounds nothing."""
     shared = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
@@ -319,7 +408,8 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL")
     trees = trees_for(percent)
-    features = written(known.mapInArrow(lean(_features(size, trees)), FEATURES), "features")
+    made = _features(size, trees, percent, common_shingles(known, size))
+    features = written(known.mapInArrow(lean(made), FEATURES), "features")
     same = features.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("first"))
     same = written(same, "equal-sets")
     heads = features.join(
@@ -329,14 +419,17 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     heads = written(heads.dropDuplicates(["doc_id", "key1", "key2", "n"]), "heads")
     labels, links, asked = heads.select(F.col("doc_id").alias("id")).limit(0), None, None
     labels = labels.withColumn("component", F.col("id"))
-    rounds = [(range(1), True), (range(trees), True), (range(trees), False)]
+    rounds = [(range(1), True), (range(trees), True), (range(trees), False), (None, False)]
     for salt, (some, best) in enumerate(rounds):
         if salt < 2:
             placed = written(nodes(heads, some), "nodes")
         found = labels.withColumnRenamed("id", "doc_id")
-        members = placed.join(found, "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("label")
-        )
+        label = F.coalesce("component", "doc_id").alias("label")
+        if some is None:
+            labelled = heads.join(found, "doc_id", "left")
+            members = written(sharing(labelled.select("doc_id", label, "prefix")), "sharing")
+        else:
+            members = placed.join(found, "doc_id", "left").select("key", "doc_id", label)
         dealt = _blocks(members, salt, not best)
         rows = dealt.join(heads.select("doc_id", "n", "places"), "doc_id").select(
             "key", "block", "doc_id", "label", "n", "places", "side"
@@ -349,14 +442,15 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         asked = pairs if asked is None else asked.union(pairs)
         new = written(confirmed(pairs, known, size, percent), "confirmed")
         links = new if links is None else links.union(new)
-        labels = components(links)
+        if not new.isEmpty():
+            labels = components(links)
     own = features.join(same, ["n", "key1", "key2"], "left").select("doc_id", "n", "first")
     joined = own.join(labels.withColumnRenamed("id", "first"), "first", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "first", "doc_id").alias("component_id"),
     )
-    unknown = texts.where("doc_id IS NULL").mapInArrow(lean(_features(size, trees)), FEATURES)
+    unknown = texts.where("doc_id IS NULL").mapInArrow(lean(made), FEATURES)
     rest = unknown.select(
         "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )

@@ -62,6 +62,38 @@ def test_near_duplicates(documents, monkeypatch, node):
     assert sorted(map(tuple, out.collect())) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("common", [256, 4])
+def test_no_pair_is_missed_by_few_trees(documents, monkeypatch, common):
+    # One tree misses about one in nine pairs at the threshold.
+    monkeypatch.setattr(chosen_path, "trees_for", lambda percent: 1)
+    monkeypatch.setattr(chosen_path, "COMMON", common, raising=False)
+    line = " ".join(f"line{i}" for i in range(7))  # three shingles that all texts have
+    texts = [f"{line} " + " ".join(f"a{k}w{i}" for i in range(22)) for k in range(150)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    # 25 shingles of each, of which 23 are in the copy: 85 in a hundred of all.
+    rows += [(1_000 + k, f"{t.rsplit(' ', 2)[0]} x y") for k, t in enumerate(texts)]
+    out = chosen_path.near_duplicates(documents(rows), 5, 80).collect()
+    got = {r["doc_id"]: r["component_id"] for r in out}
+    assert got == {k: k % 1_000 for k, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_prefixes_of_similar_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    common = rng.permutation(40).astype(np.uint64)
+    for _ in range(300):
+        one = rng.choice(60, rng.integers(1, 30), replace=False)
+        two = np.unique(np.where(rng.random(len(one)) < percent / 100, one, rng.integers(0, 60, len(one))))
+        sets = [np.unique(one).astype(np.uint64), two.astype(np.uint64), one[:0].astype(np.uint64)]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        for order in (common, common[:0]):
+            a, b, none = chosen_path.prefixes(np.concatenate(sets), at, percent, order)
+            shared = len(np.intersect1d(sets[0], sets[1]))
+            if 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared):
+                assert set(np.frombuffer(a, np.uint64)) & set(np.frombuffer(b, np.uint64))
+            assert none == b"" and len(a) == 8 * (len(one) - -(-percent * len(one) // 100) + 1)
+
+
 @pytest.mark.parametrize("percent", [70, 80, 85, 95, 100])
 def test_trees_follow_the_threshold(percent):
     # Pairs of random minima that agree as often as sets at the threshold do, in the deepest nodes.
