@@ -2,8 +2,9 @@
 
 Sums add up, so they are kept by grouping sets over what the filters choose by. Distinct orders and
 buyers do not: for them the cube keeps, for each cell, who is in it, as bit positions in pages of 32 768
-ids. A choice joins the pages of its cells into bitmaps and counts the bits, so an order or a buyer
-that is in several cells counts once.
+ids. A choice joins the bits of its cells in words of 64 and counts them, so an order or a buyer
+that is in several cells counts once. All rows of a word go to one task, and the number of tasks follows
+the size of the kept cube, so that the memory of one does not grow with it.
 """
 
 from __future__ import annotations
@@ -26,22 +27,28 @@ DIMENSIONS = (*OF_ORDER, *OF_USER, *OF_PRODUCT)
 # The two grouping sets: each cell again by one of these.
 BY_MONTH, BY_NAME = "month", "name"
 ORDER, BUYER = "order", "buyer"
+PAGE, WORD = 32_768, 64
+# Rows of `members` that one task counts, about.
+ROWS_A_TASK = 1 << 18
 
 
 @dataclass(frozen=True)
 class RevenueCube:
     """`cells`: dimensions, `grain`, `month` or `name`, `revenue`. `members`: dimensions, `kind`,
-    `page`, `bits`. `users`: a user's dimensions and how many users have them.
+    `page`, `bits`. `users`: a user's dimensions and how many users have them. `rows`: how many
+    `members` has at most, if known.
     """
 
     cells: DataFrame
     members: DataFrame
     users: DataFrame
     age_bins: Bins
+    rows: int | None = None
 
     def kept(self) -> RevenueCube:
         """The cube written once to the folder of spark.checkpoint.dir, and read from there."""
-        return RevenueCube(*map(keep, (self.cells, self.members, self.users)), self.age_bins)
+        cells, members, users = map(keep, (self.cells, self.members, self.users))
+        return RevenueCube(cells, members, users, self.age_bins, members.count())
 
     def chosen(self, filters: Filters) -> RevenueCube:
         """The part of the cube that the filters leave, with the meaning they have for a scope."""
@@ -63,7 +70,8 @@ class RevenueCube:
                     df = df.where(F.col(name).isin(list(values)))
             return df
 
-        return RevenueCube(*map(cut, (self.cells, self.members, self.users)), self.age_bins)
+        parts = map(cut, (self.cells, self.members, self.users))
+        return RevenueCube(*parts, self.age_bins, self.rows)
 
 
 def revenue_cube(
@@ -73,11 +81,15 @@ def revenue_cube(
 
     Unknown statuses, age groups, sources, categories and brands are in no choice's scope and not in
     the cube; unknown genders and order dates are in that of no choice. Ids of users, orders and
-    products are taken to be keys. Items are summed by order and product before any join.
+    products are taken to be keys. Items are summed by order and product before any join. The items are
+    counted first: sums and sets are made in tasks of about `ROWS_A_TASK` of them, whatever their number.
     """
+    tasks = 1 + items.count() // ROWS_A_TASK
     line = ("order_id", "user_id", "product_id", "month")
     sold = (
         items.withColumn("month", cal.month_start(F.col("created_at")))
+        .select(*line, "sale_price")
+        .repartition(tasks, "order_id")
         .groupBy(*line)
         .agg(money().alias("revenue"))
     )
@@ -98,40 +110,60 @@ def revenue_cube(
         .join(of_order, "order_id")
         .join(known_users, "user_id")
     )
-    sets = [[F.col(c) for c in (*DIMENSIONS, last)] for last in (BY_MONTH, BY_NAME)]
-    cells = (
-        facts.groupingSets(sets, *DIMENSIONS, BY_MONTH, BY_NAME)
-        .agg(
-            money("revenue").alias("revenue"),
-            F.when(F.grouping(BY_NAME) == 1, F.lit(BY_MONTH))
-            .otherwise(F.lit(BY_NAME))
-            .alias("grain"),
-        )
-    )
+    def cells_by(last: str) -> DataFrame:
+        names = {BY_MONTH: F.lit(None).cast("date"), BY_NAME: F.lit(None).cast("string")}
+        own = facts.select(*DIMENSIONS, last, "revenue").repartition(tasks, *DIMENSIONS, last)
+        sums = own.groupBy(*DIMENSIONS, last).agg(money("revenue").alias("revenue"))
+        columns = (F.col(c) if c == last else null.alias(c) for c, null in names.items())
+        return sums.select(*DIMENSIONS, *columns, "revenue", F.lit(last).alias("grain"))
+
+    cells = cells_by(BY_MONTH).unionByName(cells_by(BY_NAME))
     ids = F.array(
         F.struct(F.lit(ORDER).alias("kind"), F.col("order_id").cast("bigint").alias("id")),
         F.struct(F.lit(BUYER).alias("kind"), F.col("user_id").cast("bigint").alias("id")),
     )
+    member = (*DIMENSIONS, "kind", "page")
     members = (
         facts.select(*DIMENSIONS, F.inline(ids))
-        .groupBy(*DIMENSIONS, "kind", F.bitmap_bucket_number("id").alias("page"))
+        .select(
+            *member[:-1],
+            F.bitmap_bucket_number("id").alias("page"),
+            F.bitmap_bit_position("id").cast("smallint").alias("bit"),
+        )
+        .repartition(2 * tasks, *member)
+        .groupBy(*member)
         # a set of at most a page's positions, however many rows a member has
-        .agg(F.collect_set(F.bitmap_bit_position("id").cast("smallint")).alias("bits"))
+        .agg(F.collect_set("bit").alias("bits"))
     )
     one_each = known_users.where("user_id IS NOT NULL").distinct()
     counted = one_each.groupBy(*OF_USER).agg(F.count("*").alias("total_users"))
     return RevenueCube(cells, members, counted, age_bins)
 
 
-def _distinct(members: DataFrame, kind: str, *keys: str) -> DataFrame:
-    """`members`: how many distinct ids of a kind there are for each of the keys."""
-    pages = (
-        members.where(F.col("kind") == kind)
-        .select(*keys, "page", F.explode("bits").alias("bit"))
-        .groupBy(*keys, "page")
-        .agg(F.bitmap_count(F.bitmap_construct_agg(F.col("bit").cast("bigint"))).alias("n"))
+def _distinct(
+    cube: RevenueCube, kind: str, *keys: str, each: Column | None = None
+) -> DataFrame:
+    """`members`: how many distinct ids of a kind there are for each of the keys.
+
+    `each`, if given, makes the keys of a row's dimensions, several of them.
+    """
+    dimensions = DIMENSIONS if each is not None else keys
+    word = F.col("page") * (PAGE // WORD) + F.shiftright("bit", WORD.bit_length() - 1)
+    rows = (
+        cube.members.where(F.col("kind") == kind)
+        .select(*dimensions, "page", F.explode("bits").alias("bit"))
+        .select(
+            *dimensions,
+            word.alias("word"),
+            F.expr(f"shiftleft(1L, bit % {WORD})").alias("bits"),
+        )
     )
-    return pages.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
+    if cube.rows is not None:
+        rows = rows.repartition(1 + cube.rows // ROWS_A_TASK, "word")
+    if each is not None:
+        rows = rows.select("word", "bits", each).where(F.col(keys[-1]).isNotNull())
+    words = rows.groupBy(*keys, "word").agg(F.bit_count(F.bit_or("bits")).alias("n"))
+    return words.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
 
 def _sums(cube: RevenueCube, grain: str, *keys: str | Column) -> DataFrame:
@@ -145,8 +177,8 @@ def cube_kpis(cube: RevenueCube) -> DataFrame:
     totals = (
         _sums(cube, BY_MONTH)
         .withColumnRenamed("revenue", "total_revenue")
-        .withColumn("total_orders", _distinct(cube.members, ORDER).scalar())
-        .withColumn("purchasing_users", _distinct(cube.members, BUYER).scalar())
+        .withColumn("total_orders", _distinct(cube, ORDER).scalar())
+        .withColumn("purchasing_users", _distinct(cube, BUYER).scalar())
         .withColumn("total_users", users.scalar())
     )
     return with_averages(totals)
@@ -165,7 +197,7 @@ def cube_category_topk(cube: RevenueCube, k: int = 10) -> DataFrame:
 def cube_category_aov_topk(cube: RevenueCube, k: int = 10) -> DataFrame:
     """As `category_aov_topk`."""
     sums = _sums(cube, BY_MONTH, "category")
-    aov = sums.join(_distinct(cube.members, ORDER, "category"), "category").select(
+    aov = sums.join(_distinct(cube, ORDER, "category"), "category").select(
         "category", ratio(F.col("revenue"), F.col("members")).alias("aov")
     )
     return labelled_top(aov.where("aov IS NOT NULL"), k, "aov", "category")
@@ -194,7 +226,6 @@ def cube_by_value(cube: RevenueCube, dimensions: Sequence[str] = DIMENSIONS) ->
         .groupBy(*keys)
         .agg(money("revenue").alias("revenue"))
     )
-    members = cube.members.select("kind", "page", "bits", each).where("value IS NOT NULL")
-    orders = _distinct(members, ORDER, *keys).withColumnRenamed("members", "orders")
-    buyers = _distinct(members, BUYER, *keys).withColumnRenamed("members", "buyers")
+    orders = _distinct(cube, ORDER, *keys, each=each).withColumnRenamed("members", "orders")
+    buyers = _distinct(cube, BUYER, *keys, each=each).withColumnRenamed("members", "buyers")
     return sums.join(orders, list(keys)).join(buyers, list(keys))

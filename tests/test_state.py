@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 from frames import rows
@@ -129,3 +130,23 @@ def test_other_age_groups_are_refused(cube):
 def test_a_choice_reads_the_cube_alone(spark, cube):
     plan = cub.cube_kpis(cube.chosen(CHOICES[1]))._jdf.queryExecution().optimizedPlan().toString()
     assert "product_id" not in plan and "order_id" not in plan
+
+
+@pytest.mark.parametrize("rows_a_task", [1 << 18, 2])
+def test_the_cube_counts_in_tasks_of_bounded_size(monkeypatch, cube, rows_a_task):
+    monkeypatch.setattr(cub, "ROWS_A_TASK", rows_a_task, raising=False)
+    values = cub.cube_by_value(cube)
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    size = 1 + cube.members.count() // rows_a_task
+    # Nothing that a task sorts whole: bits are joined in words, in as many tasks as the cube asks for.
+    assert "bitmap_construct_agg" not in plan
+    dealt = re.findall(r"RepartitionByExpression \[word#\d+L?\], (\d+)", plan)
+    assert dealt == [str(size)] * 2 and (size > 20 or rows_a_task > 2)
+    whole = cub.cube_by_value(cub.RevenueCube(cube.cells, cube.members, cube.users, AGE_BINS))
+    assert sorted(rows(values)) == sorted(rows(whole)) != []
+    ids = cube.members.where("kind = 'buyer'").selectExpr(
+        "status", "page", "explode(bits) AS bit"
+    )
+    want = {r["status"]: r["n"] for r in ids.groupBy("status").agg(F.countDistinct("page", "bit").alias("n")).collect()}
+    got = {r["value"]: r["buyers"] for r in values.where("dimension = 'status'").collect()}
+    assert got == want
