@@ -8,7 +8,9 @@ as many as the threshold needs for a pair at it to be missed once in a hundred t
 
 Trees can miss a pair, so a last round brings together all that share a shingle among the first of
 their sets, in one order of all shingles with the commonest last: sets of which none of these is
-shared are not similar. So no pair is missed, whatever the trees did.
+shared are not similar. So no pair is missed, whatever the trees did. Each such shingle goes through
+one exchange, with its place in the order, the size of the set and a sketch of it, which tell most
+pairs apart at once. Long sets show some shingles more, and must then share more than one.
 
 Within a node, pairs pass by an upper bound of their similarity (equal places of a histogram of the
 set), and pass to confirmation on the full sets. The rounds keep the pairs few: in the first two
@@ -45,8 +47,14 @@ _HELD = 1 << 21
 BROADCAST_ROWS = 1 << 18
 
 FEATURES = (
-    "doc_id bigint, n bigint, key1 bigint, key2 bigint, minima binary, places binary, prefix binary"
+    "doc_id bigint, n bigint, key1 bigint, key2 bigint, minima binary, places binary, prefix binary, "
+    "sketch binary"
 )
+# A sketch has a set's shingles counted in so many cells modulo 16, two cells a byte.
+CELLS = 64
+MORE = 128  # a shingle more is shown, and must be shared, for so many of a set
+_SPREAD = 1 << 16  # rows of one batch
+_TRIED = 1 << 18  # pairs at a time
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,7 +114,8 @@ def prefixes(flat: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray)
     """Of each set of ascending shingles the first ones, of which similar sets share one at least.
 
     Of a set of n shingles a similar one has percent * n / 100 at least, so one of the n minus that
-    plus one first of each set, in any order that is the same for all sets, is in both.
+    plus one first of each set, in any order that is the same for all sets, is in both. Of k first
+    ones more, k more are.
     """
     if len(common) and len(flat):
         sorted_at = np.argsort(common)
@@ -117,10 +126,27 @@ def prefixes(flat: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
             flat = flat[np.lexsort((rank, row))]
     n = np.diff(at)
-    ends = at[:-1] + np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    most = np.minimum(n, n - -(-percent * n // 100) + 1 + n // MORE)
+    ends = at[:-1] + np.where(n > 0, most, 0)
     return [flat[a:b].tobytes() for a, b in zip(at[:-1], ends)]
 
 
+def sketches(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Of the sets of so many rows: (row, CELLS / 2) bytes."""
+    cell = row * CELLS + ((flat >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64)
+    counts = (np.bincount(cell, minlength=rows * CELLS) & 15).astype(np.uint8).reshape(rows, CELLS)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of shingles that are in one set of two only, by rows of their sketches."""
+    total = np.zeros(len(a), np.int64)
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        off = (x - y) & 15
+        total += np.minimum(off, 16 - off).sum(axis=1, dtype=np.int64)
+    return total
+
+
 def _features(size: int, trees: int, percent: int, common: np.ndarray):
     functions = trees * DEEPER * 2
     odds = np.random.default_rng(9).integers(1, 1 << 62, functions, dtype=np.uint64) * 2 + 1
@@ -135,6 +161,7 @@ def _features(size: int, trees: int, percent: int, common: np.ndarray):
                 sums = np.zeros((2, high - low), np.uint64)
                 minima = np.zeros((high - low, functions), np.uint32)
                 places = np.zeros((high - low, BUCKETS), np.int64)
+                sketch = np.zeros((high - low, CELLS // 2), np.uint8)
                 if len(full):
                     with np.errstate(over="ignore"):
                         sums[0, full] = np.add.reduceat(flat, starts)
@@ -145,6 +172,7 @@ def _features(size: int, trees: int, percent: int, common: np.ndarray):
                     row = np.repeat(np.arange(high - low), n)
                     cell = row * BUCKETS + (flat >> np.uint64(56)).astype(np.int64)
                     places = np.bincount(cell, minlength=places.size).reshape(places.shape)
+                    sketch = sketches(flat, row, high - low)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, high - low).cast(pa.int64()),
@@ -157,8 +185,9 @@ def _features(size: int, trees: int, percent: int, common: np.ndarray):
                             pa.binary(),
                         ),
                         pa.array(prefixes(flat, at, percent, common), pa.binary()),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    names=["doc_id", "n", "key1", "key2", "minima", "places", "prefix"],
+                    names=[f.split()[0] for f in FEATURES.split(", ")],
                 )
 
     return features
@@ -217,25 +246,163 @@ def nodes(features: DataFrame, trees: range) -> DataFrame:
     return small.select("key", "doc_id").union(lower)
 
 
+SHINGLES = "key bigint, doc_id bigint, label bigint, n bigint, place int, " + ", ".join(
+    f"s{k} bigint" for k in range(CELLS // 16)
+)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle in a prefix with its place there and what is known of the set."""
+    names = [f.split()[0] for f in SHINGLES.split(", ")]
     for batch in batches:
         blobs = batch.column("prefix").to_pylist()
-        n = np.array([len(b) // 8 for b in blobs], np.int64)
-        own = [np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "label")]
-        columns = [np.frombuffer(b"".join(blobs), np.int64), *own]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], names=["key", "doc_id", "label"]
-        )
-
-
-def sharing(labelled: DataFrame) -> DataFrame:
-    """`key`, `doc_id`, `label` of the shingles in prefixes that documents of several labels have."""
-    rows = labelled.select("doc_id", "label", "prefix").mapInArrow(
-        lean(_spread), "key bigint, doc_id bigint, label bigint"
+        many = np.array([len(b) // 8 for b in blobs], np.int64)
+        ends = np.cumsum(many)
+        low = 0
+        while low < len(blobs):
+            before = ends[low] - many[low]
+            high = max(low + 1, int(np.searchsorted(ends, before + _SPREAD, "right")))
+            n, own = many[low:high], slice(low, high)
+            known = [np.repeat(batch.column(c).to_numpy()[own], n) for c in ("doc_id", "label", "n")]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()[own]), np.int64)
+            sketch = np.repeat(sketch.reshape(high - low, CELLS // 16), n, axis=0)
+            columns = [np.frombuffer(b"".join(blobs[own]), np.int64), *known]
+            columns += [place.astype(np.int32), *sketch.T.copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            low = high
+
+
+# Pairs (`a`, `b`) with how often they met and must meet, or members of keys that too many share:
+# `key`, the document as `a`, its `label`.
+MET = "a bigint, b bigint, times bigint, least bigint, key bigint, label bigint"
+
+
+def _met(columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    n = len(columns[0])
+    arrays = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in MET.split(", ")])
+
+
+def _tried(rows: list[np.ndarray], sketch: np.ndarray, percent: int) -> Iterator[list[np.ndarray]]:
+    """Pairs of rows (key, doc_id, label, n, place), sorted by key and n, that may be similar.
+
+    The first shingle that two similar sets share stands so early in both that what follows, with
+    it, is as many as they must share; the second at most one place later, and so on.
+    """
+    key, ids, labels, n, place = rows
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    both = (group << 40) + n
+    # Partners follow, and are not too large.
+    ends = np.searchsorted(both, (group << 40) + n * 100 // percent, "right")
+    counts = np.maximum(ends - np.arange(len(n)) - 1, 0)
+    done = np.cumsum(counts)
+    low = 0
+    while low < len(n):
+        high = max(low + 1, int(np.searchsorted(done, done[low] - counts[low] + _TRIED, "right")))
+        c = counts[low:high]
+        i = np.repeat(np.arange(low, high), c)
+        j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        low = high
+        other = labels[i] != labels[j]
+        i, j = i[other], j[other]
+        total = n[i] + n[j]
+        least = -(-percent * total // (100 + percent))
+        off = least - n[i] // MORE
+        good = (place[i] <= n[i] - off) & (place[j] <= n[j] - off)
+        i, j, most = i[good], j[good], (total - 2 * least)[good]
+        near = apart(sketch[i], sketch[j]) <= most
+        i, j = i[near], j[near]
+        if len(i):
+            x, y = ids[i], ids[j]
+            both = np.stack([np.minimum(x, y), np.maximum(x, y), 1 + n[i] // MORE])
+            (x, y, needed), times = np.unique(both, axis=1, return_counts=True)
+            yield [x, y, times, needed]
+
+
+def _meet(percent: int):
+    """Pairs of the documents of each key, of rows sorted by key and n; members of large keys pass."""
+    fields = [f.split()[0] for f in SHINGLES.split(", ")]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        passing: int | None = None  # a key of which members passed
+
+        def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [rows.column(c).to_numpy().astype(np.int64) for c in fields]
+            key, ids, labels = columns[:3]
+            _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
+            large = counts[at] > NODE
+            if passing is not None:
+                large |= key == passing
+            if large.any():
+                yield _met([ids[large], None, None, None, key[large], labels[large]])
+            met = ~large & (counts[at] > 1)
+            if met.any():
+                columns = [c[met] for c in columns]
+                sketch = np.stack(columns[5:], axis=1).view(np.uint8)
+                for found in _tried(columns[:5], sketch, percent):
+                    yield _met([*found, None, None])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from run(table.slice(0, last))
+                held = table.slice(last).to_batches()
+            if len(key) - last > NODE:
+                passing = int(key[-1])
+                yield from run(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return meet
+
+
+def _may_be_similar(percent: int):
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blank = bytes(BUCKETS)
+            x, y = (
+                np.frombuffer(
+                    b"".join(p or blank for p in batch.column(c).to_pylist()), np.uint8
+                ).reshape(batch.num_rows, BUCKETS)
+                for c in ("x", "y")
+            )
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            shared = _bound(x, y, n_a, n_b)
+            good = 100 * shared >= percent * (n_a + n_b - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return similar
+
+
+def sharing(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a`, `b` of other labels that share a shingle of their prefixes and may be similar."""
+    rows = labelled.select("doc_id", "label", "n", "prefix", "sketch").mapInArrow(
+        lean(_spread), SHINGLES
+    )
+    runs = rows.repartition("key").sortWithinPartitions("key", "n")
+    met = written(runs.mapInArrow(lean(_meet(percent)), MET), "met")
+    # A key is met once; keys that pass do not count here, but any of them makes a pair below.
+    often = met.where("key IS NULL").groupBy("a", "b").agg(
+        F.sum("times").alias("times"), F.min("least").alias("least")
     )
-    ends = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = written(ends.where("low < high").select("key"), "shared-shingles")
-    return rows.join(_sent(shared), "key", "left_semi")
+    pairs = often.where("times >= least").select("a", "b")
+    large = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "label")
+    own = labelled.select("doc_id", "n", "places")
+    if not large.isEmpty():
+        pairs = pairs.union(_compared(large, own, 3, False, percent))
+    pairs = _sent(written(pairs, "meeting"))
+    with_a = written(own.toDF("a", "n_a", "x").join(pairs, "a"), "with-a")
+    both = with_a.join(own.toDF("b", "n_b", "y"), "b")
+    names = ("a", "b", "n_a", "n_b", "x", "y")
+    return both.select(*names).mapInArrow(lean(_may_be_similar(percent)), "a bigint, b bigint")
 
 
 def _bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -396,6 +563,16 @@ def _blocks(members: DataFrame, salt: int, last: bool) -> DataFrame:
     )
 
 
+def _compared(members: DataFrame, heads: DataFrame, salt: int, best: bool, percent: int) -> DataFrame:
+    """Pairs `a`, `b` of the members (`key`, `doc_id`, `label`) of each node that may be similar."""
+    dealt = _blocks(members, salt, not best)
+    rows = dealt.join(heads.select("doc_id", "n", "places"), "doc_id").select(
+        "key", "block", "doc_id", "label", "n", "places", "side"
+    )
+    runs = rows.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
+    return runs.mapInArrow(lean(_pairs(percent, best)), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` (least doc_id reachable), `kept` of each document.
 
@@ -427,15 +604,11 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         label = F.coalesce("component", "doc_id").alias("label")
         if some is None:
             labelled = heads.join(found, "doc_id", "left")
-            members = written(sharing(labelled.select("doc_id", label, "prefix")), "sharing")
+            pairs = sharing(labelled.select("doc_id", label, "n", "places", "prefix", "sketch"), percent)
         else:
             members = placed.join(found, "doc_id", "left").select("key", "doc_id", label)
-        dealt = _blocks(members, salt, not best)
-        rows = dealt.join(heads.select("doc_id", "n", "places"), "doc_id").select(
-            "key", "block", "doc_id", "label", "n", "places", "side"
-        )
-        runs = rows.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
-        pairs = runs.mapInArrow(lean(_pairs(percent, best)), "a bigint, b bigint").distinct()
+            pairs = _compared(members, heads, salt, best, percent)
+        pairs = pairs.distinct()
         if asked is not None:  # confirmed or not, a pair is asked for once
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

@@ -94,6 +94,75 @@ def test_prefixes_of_similar_sets_meet(percent):
             assert none == b"" and len(a) == 8 * (len(one) - -(-percent * len(one) // 100) + 1)
 
 
+def test_shingles_go_through_one_exchange(documents, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BROADCAST_ROWS", 0)
+    plans, written = [], chosen_path.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(chosen_path, "written", seen)
+    rows = [(k, " ".join(f"line{i}" for i in range(9)) + f" a{k} b{k} c{k}") for k in range(40)]
+    assert chosen_path.near_duplicates(documents(rows), 3, 85).where("kept").count() == 40
+    spread = [p for p in plans if re.search(r"MapInArrow run\([^)]*prefix#", p)]
+    assert len(spread) == 1
+
+
+def test_long_sets_share_more_shingles():
+    rng = np.random.default_rng(6)
+    for n in (100, 600, 5_000):
+        one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        keep = -(-80 * 2 * len(one) // 180)  # just similar enough
+        gone = np.zeros(len(one), bool)
+        gone[: len(one) - keep] = True  # the first ones differ
+        two = np.unique(np.where(gone, one // 2, one))
+        flat = np.concatenate([one, two])
+        at = np.array([0, len(one), len(one) + len(two)])
+        seen = [np.frombuffer(b, np.uint64) for b in chosen_path.prefixes(flat, at, 80, one[:0])]
+        key, place = np.concatenate(seen), np.concatenate([np.arange(len(x)) for x in seen])
+        row = np.repeat([0, 1], list(map(len, seen)))
+        size = np.diff(at)[row]
+        order = np.lexsort((size, key))
+        rows = [key.view(np.int64), row, row, size, place]
+        sketch = chosen_path.sketches(flat, np.repeat([0, 1], np.diff(at)), 2)[row]
+        found = list(chosen_path._tried([c[order] for c in rows], sketch[order], 80))
+        times = sum(int(f[2].sum()) for f in found)
+        assert times >= found[0][3][0] == 1 + min(len(one), len(two)) // chosen_path.MORE
+
+
+def test_sketches_bound_what_sets_do_not_share():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 300, 3_000):
+        one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        for kept in (0, n // 2, n - 1, n):
+            more = rng.integers(0, 1 << 64, n - kept, dtype=np.uint64)
+            two = np.unique(np.concatenate([one[:kept], more]))
+            row = np.repeat([0, 1], [len(one), len(two)])
+            own = chosen_path.sketches(np.concatenate([one, two]), row, 2)
+            least = int(chosen_path.apart(own[:1], own[1:])[0])
+            assert least <= len(np.setxor1d(one, two)) and (least > 0) == (kept < n)
+
+
+def test_members_of_keys_in_batches(monkeypatch):
+    """Pairs of small keys; members of large ones, wherever batches begin, pass."""
+    monkeypatch.setattr(chosen_path, "NODE", 5)
+    sizes = [1, 5, 12, 2, 6, 1, 3]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    ids = np.arange(len(key))
+    zero = np.zeros(len(key), np.int64)
+    columns = [key, ids, ids, zero + 10, zero.astype(np.int32), *[zero] * 4]
+    names = [f.split()[0] for f in chosen_path.SHINGLES.split(", ")]
+    table = pa.Table.from_arrays([pa.array(c) for c in columns], names=names)
+    for step in (1, 2, 4, 7, 100):
+        out = pa.Table.from_batches(chosen_path._meet(80)(table.to_batches(max_chunksize=step)))
+        got = out.to_pylist()
+        pairs = sorted((r["a"], r["b"]) for r in got if r["key"] is None)
+        assert pairs == [(a, b) for a in ids for b in ids[a + 1 :] if key[a] == key[b] and sizes[key[a]] <= 5]
+        passed = sorted((r["key"], r["a"], r["label"]) for r in got if r["key"] is not None)
+        assert passed == [(key[a], a, a) for a in ids if sizes[key[a]] > 5]
+
+
 @pytest.mark.parametrize("percent", [70, 80, 85, 95, 100])
 def test_trees_follow_the_threshold(percent):
     # Pairs of random minima that agree as often as sets at the threshold do, in the deepest nodes.
