@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; `run` writes it and reads it again as
-the next one's documents. Labels and benchmark items come from the tables in `sf_dir`.
+the next one's documents. Labels and benchmark items come from the tables in `sf_dir`. Executors
+live through all stages and their memory fills up, so texts reach Python in small batches.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import chosen_path, compact_windows, decontaminate, toxicity, tree_bpe
-from patronage.llm.work import table, written
+from patronage.llm.work import small_batches, table, written
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 # Near-duplicates share four fifths of their five-word shingles.
@@ -34,6 +35,7 @@ def beside(docs: DataFrame, names: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not find toxic; rows without a text stay."""
+    small_batches(spark)
     labelled = toxicity.labelled_documents(docs, table(spark, sf_dir, "labels"))
     chain = toxicity.fit(labelled, toxicity.CATEGORIES)
     own = beside(docs, [f"p_{c}" for c in toxicity.CATEGORIES])
@@ -48,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the same id stays beside it. Documents without words and rows without an id are in no group and
     stay.
     """
+    small_batches(spark)
     found = chosen_path.near_duplicates(
         docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT
     )
@@ -65,6 +68,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; `n_chars` follows the text."""
+    small_batches(spark)
     passages = written(compact_windows.repeated_passages(docs), "passages")
     cut = compact_windows.without_repeats(docs, passages)
     n_chars = F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))
@@ -73,6 +77,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no passage of a benchmark item stands."""
+    small_batches(spark)
     own = beside(docs, ["n_words", "hits"])
     found = decontaminate.find_passages(own, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*own.columns).toDF(*docs.columns)
@@ -80,6 +85,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id`, `lang`, `source`, `ids`, `n_tokens` and the digest of the decoded text."""
+    small_batches(spark)
     path = public_tokenizers.path(WORD_TOKENIZER)
     encoded = tree_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
     return tree_bpe.decode(encoded.drop("text"), path).select(

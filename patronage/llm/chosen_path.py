@@ -85,10 +85,13 @@ def _counted(size: int):
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
             held.clear()
+            values.sort()  # in place: there may be many
+            starts = np.flatnonzero(np.concatenate([[len(values) > 0], values[1:] != values[:-1]]))
+            counts = np.diff(starts, append=len(values))
             some = counts >= _SEEN
-            columns = [pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))]
+            columns = [pa.array(values[starts[some]].view(np.int64)), pa.array(counts[some])]
             return pa.RecordBatch.from_arrays(columns, names=["shingle", "n"])
 
         for batch in batches:

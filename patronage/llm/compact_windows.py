@@ -35,6 +35,7 @@ HASHES = 5
 ENOUGH = 2  # hash functions that must agree
 _GRID = 32  # stretches to compare begin and end at multiples of this
 _HELD = 1 << 21  # windows a task groups at a time
+_OUT = 1 << 14  # rows of one batch given back
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, HASHES, dtype=np.uint64) * 2 + 1
 
@@ -133,11 +134,13 @@ def _batch(columns: list[np.ndarray | None], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=_FIELDS)
 
 
-def _as_pairs(p: np.ndarray) -> pa.RecordBatch:
-    key, a, al, ac, ar, j, b, bl, bc, br, around = p
-    # A key that spreads passed-on pairs; they are told from windows by their second document.
-    key = W.mixed(np.ascontiguousarray(a).view(np.uint64)).view(np.int64)
-    return _batch([key, a, al, ac, ar, b, bl, bc, br, j, around, None], p.shape[1])
+def _as_pairs(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, pairs.shape[1], _OUT):
+        p = pairs[:, low : low + _OUT]
+        key, a, al, ac, ar, j, b, bl, bc, br, around = p
+        # A key that spreads passed-on pairs; they are told from windows by their second document.
+        key = W.mixed(np.ascontiguousarray(a).view(np.uint64)).view(np.int64)
+        yield _batch([key, a, al, ac, ar, b, bl, bc, br, j, around, None], p.shape[1])
 
 
 def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +148,19 @@ def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held, axis=1)
-        held.clear()
+        n = sum(h.shape[1] for h in held)
+        rows = np.empty((8, n), np.int64)
+        while held:  # each is given up once copied
+            own = held.pop()
+            rows[:, n - own.shape[1] : n] = own
+            n -= own.shape[1]
         pairs, heads = _grouped(rows)
-        if pairs.shape[1]:
-            yield _as_pairs(pairs)
-        key, doc, l, c, r, j, before, after = rows[:, heads]
-        yield _batch([key, doc, l, c, r, None, None, None, None, j, before, after], len(key))
+        yield from _as_pairs(pairs)
+        del pairs
+        heads = np.flatnonzero(heads)
+        for low in range(0, len(heads), _OUT):
+            key, doc, l, c, r, j, before, after = rows[:, heads[low : low + _OUT]]
+            yield _batch([key, doc, l, c, r, None, None, None, None, j, before, after], len(key))
 
     width = WORDS - SHINGLE + 1
     for batch in batches:
@@ -212,8 +221,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = ("key", "a", "al", "ac", "ar", "j", "before", "after")
             rows = np.stack([new.column(c).to_numpy().astype(np.int64) for c in own])
             pairs, _ = _grouped(rows)
-            if pairs.shape[1]:
-                yield _as_pairs(pairs)
+            yield from _as_pairs(pairs)
 
 
 CANDIDATES = "a bigint, al int, ar int, b bigint, bl int, br int"
@@ -328,12 +336,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        heads, others = _equal(np.concatenate(held, axis=1))
+        rows = np.concatenate(held, axis=1)
         held.clear()
-        hashes, more, doc, s = heads
-        yield _stretches([doc, s, None, None, hashes, more, None, None], len(doc))
-        hashes, more, doc, s, first, first_s = others
-        yield _stretches([doc, s, None, None, hashes, more, first, first_s], len(doc))
+        heads, others = _equal(rows)
+        del rows
+        for low in range(0, heads.shape[1], _OUT):
+            hashes, more, doc, s = heads[:, low : low + _OUT]
+            yield _stretches([doc, s, None, None, hashes, more, None, None], len(doc))
+        for low in range(0, others.shape[1], _OUT):
+            hashes, more, doc, s, first, first_s = others[:, low : low + _OUT]
+            yield _stretches([doc, s, None, None, hashes, more, first, first_s], len(doc))
 
     for batch in batches:
         asked, ids = batch.column("spans").to_pylist(), batch.column("doc_id").to_pylist()

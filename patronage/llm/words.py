@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # Bytes 0x20 and 0x09 to 0x0D part words.
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 

@@ -384,6 +384,17 @@ def test_near_passages_are_found(documents):
     print("near passages missed:", missed, "of", len(holds))
 
 
+def test_batches_of_windows_are_bounded():
+    texts = [" ".join(f"w{k}_{i}" for i in range(2_000)) for k in range(60)] * 2
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    out = list(compact_windows._make(iter([batch])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert max(b.num_rows for b in out) <= 1 << 14 < len(rows)
+    # Each copy's windows are given as pairs with the first one's.
+    assert {r["a"] for r in rows if r["b"] is None} == set(range(60))
+    assert {r["a"] for r in rows if r["b"] is not None} == set(range(60, 120))
+
+
 def test_stretch_hashes():
     values = np.random.default_rng(1).integers(0, 2, 200).astype(np.uint64)
     one, two = compact_windows.stretch_hashes(values, 6)
