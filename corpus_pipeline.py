@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import chosen_path, compact_windows, decontaminate, toxicity, tree_bpe
-from patronage.llm.work import small_batches, table, written
+from patronage.llm.work import sifted, small_batches, table, written
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 # Near-duplicates share four fifths of their five-word shingles.
@@ -58,8 +58,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         F.bool_or("kept").alias("kept"), F.count("*").alias("n")
     )
     per_id = written(per_id, "kept")
-    rest = docs.join(per_id.where("NOT kept OR n > 1").select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(per_id.where("kept AND n > 1").select("doc_id"), "doc_id", "left_semi")
+    left_out = per_id.where("NOT kept OR n > 1").select("doc_id")
+    more = per_id.where("kept AND n > 1").select("doc_id")
+    some, alone = sifted(docs, left_out)
+    rest = alone.union(some.join(left_out, "doc_id", "left_anti").select(*docs.columns))
+    repeated = sifted(docs, more)[0].join(more, "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least"))
     one = least.select("doc_id", "text", "least.*").select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from patronage.llm import words as W
 from patronage.llm.components import components
-from patronage.llm.work import lean, written
+from patronage.llm.work import lean, sifted, written
 
 MISSED = 1e-5  # of the pairs at the threshold, at most
 DEPTH = 3  # of all documents
@@ -518,7 +518,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 )
 
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(lean(full), "id bigint, set binary")
+    some, _ = sifted(docs, asked)
+    sets = some.join(asked, "doc_id", "left_semi").mapInArrow(lean(full), "id bigint, set binary")
     sets = written(sets, "sets")
     with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     with_y = with_x.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patronage.llm import words as W
-from patronage.llm.work import lean, written
+from patronage.llm.work import lean, sifted, written
 
 SHINGLE = 5
 WORDS = 50  # of the shortest passage
@@ -506,7 +506,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     known = written(known.withColumn("variant", F.row_number().over(order) - 1), "variants")
     step = known.agg(F.max("variant")).first()[0] + 1
     spread = F.col("doc_id") * step + F.coalesce("variant", F.lit(0))
-    keyed = keyed.join(known, ["doc_id", "h1", "h2"], "left")
+    some, rest = sifted(keyed, many)
+    keyed = some.join(known, ["doc_id", "h1", "h2"], "left").unionByName(
+        rest.withColumn("variant", F.lit(None).cast("int"))
+    )
     found = _repeated(keyed.select(spread.alias("doc_id"), "text"))
 
     def id_of(name: str) -> F.Column:
@@ -529,10 +532,13 @@ def _repeated(texts: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")
     )
     same = written(same.where("n > 1"), "equal-texts")
-    copies = texts.select("doc_id", "text", *digest).join(same, ["h1", "h2"])
+    some, _ = sifted(texts.select("doc_id", "text", *digest), same.select("h1", "h2"))
+    copies = some.join(same, ["h1", "h2"])
     copies = copies.where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "text")
     copies = written(copies.mapInArrow(lean(_whole), PASSAGES), "copies")
-    distinct = texts.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    copied = copies.select("doc_id").distinct()
+    some, rest = sifted(texts, copied)
+    distinct = rest.union(some.join(copied, "doc_id", "left_anti").select(*rest.columns))
 
     made = distinct.mapInArrow(lean(_make), ROWS).repartition("key").sortWithinPartitions("key")
     met = written(made.mapInArrow(lean(_meet), ROWS), "met")
@@ -554,7 +560,9 @@ def _repeated(texts: DataFrame) -> DataFrame:
     spans = spans.union(pairs.select("b", "bs", "be")).distinct().withColumn("whole", F.lit(False))
     spans = spans.union(around.distinct().withColumn("whole", F.lit(True)))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "whole")).alias("spans"))
-    cut = texts.join(spans, "doc_id").mapInArrow(lean(_cut), STRETCHES)
+    spans = written(spans, "spans")
+    some, _ = sifted(texts, spans.select("doc_id"))
+    cut = some.join(spans, "doc_id").mapInArrow(lean(_cut), STRETCHES)
     cut = written(cut, "stretches")
     grams = cut.where("hash IS NULL")
     heads = cut.where("hash IS NOT NULL AND first IS NULL").select("hash", "more", "doc", "s")
@@ -611,11 +619,13 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     spans = passages.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     )
+    spans = written(spans, "spans")
+    some, rest = sifted(docs, spans.select(F.col("id").alias("doc_id")))
     spans = spans.select(F.struct("id", "text_hash", "spans").alias(own))
     asked = F.col(f"{own}.text_hash")
-    joined = docs.join(
+    joined = some.join(
         spans,
-        (docs["doc_id"] == F.col(f"{own}.id")) & (asked.isNull() | (asked == F.xxhash64(docs["text"]))),
+        (some["doc_id"] == F.col(f"{own}.id")) & (asked.isNull() | (asked == F.xxhash64(some["text"]))),
         "left",
     )
     joined = joined.select(*names, F.col(f"{own}.spans").alias(own))
@@ -632,7 +642,7 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(lean(cut), schema)
+    return rest.union(joined.mapInArrow(lean(cut), schema))
 
 
 def _cut_words(text: str, spans: list[tuple[int, int]]) -> str:
