@@ -94,7 +94,7 @@ def shingles_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield low, high, *W.shingle_hashes(hashes, word_at, SHINGLE)
 
 
-def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows with the first of their group, and which rows are first of one.
 
     Rows (key, doc, l, c, r, j, before, after) are grouped by key, and by key and the shingle some
@@ -102,8 +102,8 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The last row of the pairs tells which surroundings are equal: 1 before, 2 after. Pairs within a
     document are given only where some are, for its stretches.
     """
-    n = rows.shape[1]
-    left, right, sides, heads = [], [], [], np.zeros(n, bool)
+    n = len(rows[0])
+    both, sides, heads = [], [], np.zeros(n, bool)  # a pair as one number takes less memory
     for side, around in enumerate((None, 6, 7)):
         more = () if around is None else (rows[around],)
         order = np.lexsort((rows[2], rows[1], *more, rows[0]))
@@ -115,16 +115,18 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
         heads[head] = True
         other = order != head
-        left.append(order[other])
-        right.append(head[other])
-        sides.append(np.full(len(left[-1]), side))
-    both, sides = np.stack([np.concatenate(left), np.concatenate(right)]), np.concatenate(sides)
-    both, place = np.unique(both, axis=1, return_inverse=True)
-    around = np.zeros(both.shape[1], np.int64)
-    np.bitwise_or.at(around, place.ravel(), sides)
-    a, b = rows[:, both[0]], rows[:, both[1]]
-    keep = (a[1] != b[1]) | ((around > 0) & (a[5] == 0))
-    return np.concatenate([a[:6], b[1:5], around[None]])[:, keep], heads
+        both.append(order[other] * n + head[other])
+        sides.append(np.full(len(both[-1]), side, np.int8))
+    del order, head, other
+    both, sides = np.concatenate(both), np.concatenate(sides)
+    both, place = np.unique(both, return_inverse=True)
+    around = np.zeros(len(both), np.int8)
+    np.bitwise_or.at(around, place, sides)
+    a, b = np.divmod(both, max(n, 1))
+    keep = (rows[1][a] != rows[1][b]) | ((around > 0) & (rows[5][a] == 0))
+    a, b, around = a[keep], b[keep], around[keep]
+    pairs = [c[a] for c in rows[:6]] + [c[b] for c in rows[1:5]] + [around]
+    return np.stack([c.astype(np.int64) for c in pairs]), heads
 
 
 def _batch(columns: list[np.ndarray | None], n: int) -> pa.RecordBatch:
@@ -145,21 +147,22 @@ def _as_pairs(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the texts: one of each key, and pairs of the others with it."""
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        n = sum(h.shape[1] for h in held)
-        rows = np.empty((8, n), np.int64)
-        while held:  # each is given up once copied
-            own = held.pop()
-            rows[:, n - own.shape[1] : n] = own
-            n -= own.shape[1]
+        rows = []
+        for k in range(8):  # each column's parts are given up once copied
+            rows.append(np.concatenate([h[k] for h in held]))
+            for h in held:
+                h[k] = h[k][:0]
+        held.clear()
         pairs, heads = _grouped(rows)
         yield from _as_pairs(pairs)
         del pairs
         heads = np.flatnonzero(heads)
         for low in range(0, len(heads), _OUT):
-            key, doc, l, c, r, j, before, after = rows[:, heads[low : low + _OUT]]
+            own = heads[low : low + _OUT]
+            key, doc, l, c, r, j, before, after = (column[own] for column in rows)
             yield _batch([key, doc, l, c, r, None, None, None, None, j, before, after], len(key))
 
     width = WORDS - SHINGLE + 1
@@ -182,8 +185,9 @@ def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         (_AROUND, c + _AROUND < at[row + 1]),
                     )
                 ]
-                held.append(np.stack([key, ids[low + row], *own, *near]))
-            if sum(h.shape[1] for h in held) > _HELD:
+                small = [v.astype(np.int32) for v in (*own, *near)]
+                held.append([key, ids[low + row], *small])
+            if sum(len(h[0]) for h in held) > _HELD:
                 yield from flush()
     if held:
         yield from flush()
@@ -219,8 +223,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = table.filter(pa.array(~made))
         if new.num_rows:
             own = ("key", "a", "al", "ac", "ar", "j", "before", "after")
-            rows = np.stack([new.column(c).to_numpy().astype(np.int64) for c in own])
-            pairs, _ = _grouped(rows)
+            pairs, _ = _grouped([new.column(c).to_numpy() for c in own])
             yield from _as_pairs(pairs)
 
 
