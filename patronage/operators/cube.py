@@ -5,20 +5,27 @@ buyers do not: for them the cube keeps, for each cell, who is in it, as bit posi
 ids. A choice joins the bits of its cells in words of 64 and counts them, so an order or a buyer
 that is in several cells counts once. All rows of a word go to one task, and the number of tasks follows
 the size of the kept cube, so that the memory of one does not grow with it.
+
+What moves between tasks are numbers: each combination of an order's, a user's or a product's values
+that occurs has one, and the values come back behind the exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from math import prod
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronage.functions import calendar as cal
 from patronage.functions.values import Bins, ratio
 from patronage.operators.revenue import Filters, labelled_top, money, with_averages
-from patronage.sources.store import keep
+from patronage.sources.store import free_shuffles, keep
 
 OF_ORDER = ("order_month", "status")
 OF_USER = ("gender", "age_group", "traffic_source")
@@ -30,13 +37,49 @@ ORDER, BUYER = "order", "buyer"
 PAGE, WORD = 32_768, 64
 # Rows of `members` that one task counts, about.
 ROWS_A_TASK = 1 << 18
+# Numbers of the combinations of an order's, a user's and a product's dimensions, and of a product's with its
+# name. A cell is the three in one number, if they fit.
+CODES = ("of_order", "of_user", "of_product")
+OF_NAME = "of_name"
+LONG = 1 << 63
+# Numbers by id are sent to all tasks up to so many rows of 64 ids, which are counted first.
+BROADCAST_WORDS = 1 << 17
+
+
+@dataclass(frozen=True)
+class CellNames:
+    """What the numbers in a cell stand for: for each of `CODES` a frame of it and its dimensions, and how
+    many numbers there are.
+    """
+
+    frames: tuple[DataFrame, ...]
+    sizes: tuple[int, ...]
+
+    def cell(self) -> Column:
+        codes = [F.col(c) for c in CODES]
+        if prod(self.sizes) >= LONG:
+            return F.struct(*codes)
+        cell = codes[0].cast("bigint")
+        for code, size in zip(codes[1:], self.sizes[1:]):
+            cell = cell * F.lit(size) + code
+        return cell
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """The frame with the dimensions of its `cell`."""
+        below, apart = 1, isinstance(df.schema["cell"].dataType, T.StructType)
+        for code, frame, size in reversed([*zip(CODES, self.frames, self.sizes)]):
+            own = F.col(f"cell.{code}") if apart else F.expr(f"cell div {below}L % {size}L")
+            df = df.withColumn(code, own.cast(frame.schema[code].dataType)).join(frame, code).drop(code)
+            below *= size
+        return df
 
 
 @dataclass(frozen=True)
 class RevenueCube:
     """`cells`: dimensions, `grain`, `month` or `name`, `revenue`. `members`: dimensions, `kind`,
     `page`, `bits`. `users`: a user's dimensions and how many users have them. `rows`: how many
-    `members` has at most, if known.
+    `members` has at most, if known. `names`: what the numbers in the `cell` of `members`, if it has
+    one, stand for.
     """
 
     cells: DataFrame
@@ -44,11 +87,18 @@ class RevenueCube:
     users: DataFrame
     age_bins: Bins
     rows: int | None = None
+    names: CellNames | None = None
 
     def kept(self) -> RevenueCube:
         """The cube written once to the folder of spark.checkpoint.dir, and read from there."""
-        cells, members, users = map(keep, (self.cells, self.members, self.users))
-        return RevenueCube(cells, members, users, self.age_bins, members.count())
+        own = self.members.drop(*DIMENSIONS) if self.names else self.members
+        found = []
+        for df in (self.cells, own, self.users):
+            found.append(keep(df))
+            free_shuffles(df.sparkSession)
+        cells, own, users = found
+        members = self.names.of(own) if self.names else own
+        return RevenueCube(cells, members, users, self.age_bins, own.count(), self.names)
 
     def chosen(self, filters: Filters) -> RevenueCube:
         """The part of the cube that the filters leave, with the meaning they have for a scope."""
@@ -71,7 +121,38 @@ class RevenueCube:
             return df
 
         parts = map(cut, (self.cells, self.members, self.users))
-        return RevenueCube(*parts, self.age_bins, self.rows)
+        return RevenueCube(*parts, self.age_bins, self.rows, self.names)
+
+
+def _numbered(
+    df: DataFrame, columns: Sequence[str], code: str
+) -> tuple[DataFrame, DataFrame, int]:
+    """The frame with a number in place of the columns, what the numbers stand for, and how many there are."""
+    # Written once: the numbers do not change when a task is done again.
+    names = df.select(*columns).distinct().withColumn(code, F.monotonically_increasing_id())
+    names = keep(names)
+    size = 1 + (names.agg(F.max(code)).first()[0] or 0)
+    if size <= 1 << 31:
+        names = names.withColumn(code, F.col(code).cast("int"))
+    same = reduce(and_, (df[c].eqNullSafe(names[c]) for c in columns))
+    coded = df.join(names, same).select(*(df[c] for c in df.columns if c not in columns), code)
+    return coded, names, size
+
+
+def _looked_up(df: DataFrame, key: str, codes: DataFrame, code: str) -> DataFrame:
+    """The rows whose key has a number in `codes` (`key` and `code`), with the number.
+
+    Numbers stand in rows of 64 ids: as many ids take a fraction of the memory of a row for each, and
+    most tables of users or products can go to all tasks.
+    """
+    word, place = F.shiftright(key, WORD.bit_length() - 1), F.col(key).bitwiseAND(WORD - 1)
+    held = F.array(*(F.max(F.when(place == k, F.col(code))) for k in range(WORD)))
+    words = codes.where(F.col(key).isNotNull()).groupBy(word.alias("_word")).agg(held.alias("_codes"))
+    words = keep(words)
+    words = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+    met = df.withColumn("_word", word).join(words, "_word")
+    found = F.get("_codes", place.cast("int"))
+    return met.withColumn(code, found).where(F.col(code).isNotNull()).drop("_word", "_codes")
 
 
 def revenue_cube(
@@ -81,63 +162,94 @@ def revenue_cube(
 
     Unknown statuses, age groups, sources, categories and brands are in no choice's scope and not in
     the cube; unknown genders and order dates are in that of no choice. Ids of users, orders and
-    products are taken to be keys. Items are summed by order and product before any join. The items are
-    counted first: sums and sets are made in tasks of about `ROWS_A_TASK` of them, whatever their number.
+    products are taken to be keys, and whole numbers. Items are summed by order and product, with the
+    numbers of their dimensions, into a table that is written once; sums and sets are then made in tasks
+    of about `ROWS_A_TASK` of its rows, whatever their number.
     """
-    tasks = 1 + items.count() // ROWS_A_TASK
-    line = ("order_id", "user_id", "product_id", "month")
-    sold = (
-        items.withColumn("month", cal.month_start(F.col("created_at")))
-        .select(*line, "sale_price")
-        .repartition(tasks, "order_id")
-        .groupBy(*line)
-        .agg(money().alias("revenue"))
-    )
-    of_order = orders.where("status IS NOT NULL").select(
-        "order_id", F.month("created_at").alias("order_month"), "status"
+    spark = items.sparkSession
+    of_order, order_names, orders_n = _numbered(
+        orders.where("status IS NOT NULL AND order_id IS NOT NULL").select(
+            "order_id", F.month("created_at").alias("order_month"), "status"
+        ),
+        OF_ORDER,
+        "of_order",
     )
-    known_users = users.where(age_bins.within("age") & F.col("traffic_source").isNotNull()).select(
-        F.col("id").alias("user_id"),
-        "gender",
-        age_bins.name(age_bins.position("age")).alias("age_group"),
-        "traffic_source",
+    known_users = keep(
+        users.where(age_bins.within("age") & F.col("traffic_source").isNotNull()).select(
+            F.col("id").cast("bigint").alias("user_id"),
+            "gender",
+            age_bins.name(age_bins.position("age")).alias("age_group"),
+            "traffic_source",
+        )
     )
-    of_product = products.where("category IS NOT NULL AND brand IS NOT NULL").select(
-        F.col("id").alias("product_id"), "category", "brand", "name"
+    of_user, user_names, users_n = _numbered(known_users, OF_USER, "of_user")
+    of_name, product_names, products_n = _numbered(
+        products.where("category IS NOT NULL AND brand IS NOT NULL").select(
+            F.col("id").cast("bigint").alias("product_id"), "category", "brand", "name"
+        ),
+        (*OF_PRODUCT, "name"),
+        OF_NAME,
     )
-    facts = (
-        sold.join(of_product, "product_id")
+    # The number of a category and brand is the least of those with a name.
+    least = product_names.groupBy(*OF_PRODUCT).agg(F.min(OF_NAME).alias("of_product"))
+    of_product = keep(product_names.join(least, list(OF_PRODUCT)).select(OF_NAME, "of_product"))
+    names = CellNames((order_names, user_names, keep(least)), (orders_n, users_n, products_n))
+
+    line = ("order_id", "user_id", "product_id", "month")
+    # Joined by order first, the sums need no exchange of their own.
+    sold = (
+        items.select(
+            "order_id",
+            *(F.col(c).cast("bigint").alias(c) for c in line[1:3]),
+            cal.month_start(F.col("created_at")).alias("month"),
+            "sale_price",
+        )
         .join(of_order, "order_id")
-        .join(known_users, "user_id")
+        .groupBy(*line, "of_order")
+        .agg(money().alias("revenue"))
     )
-    def cells_by(last: str) -> DataFrame:
-        names = {BY_MONTH: F.lit(None).cast("date"), BY_NAME: F.lit(None).cast("string")}
-        own = facts.select(*DIMENSIONS, last, "revenue").repartition(tasks, *DIMENSIONS, last)
-        sums = own.groupBy(*DIMENSIONS, last).agg(money("revenue").alias("revenue"))
-        columns = (F.col(c) if c == last else null.alias(c) for c, null in names.items())
-        return sums.select(*DIMENSIONS, *columns, "revenue", F.lit(last).alias("grain"))
-
-    cells = cells_by(BY_MONTH).unionByName(cells_by(BY_NAME))
-    ids = F.array(
-        F.struct(F.lit(ORDER).alias("kind"), F.col("order_id").cast("bigint").alias("id")),
-        F.struct(F.lit(BUYER).alias("kind"), F.col("user_id").cast("bigint").alias("id")),
+    facts = _looked_up(sold, "product_id", of_name, OF_NAME)
+    facts = _looked_up(facts, "user_id", of_user, "of_user").join(of_product, OF_NAME)
+    facts = facts.select("order_id", "user_id", names.cell().alias("cell"), OF_NAME, "month", "revenue")
+    # In order, so that like cells are neighbours in what is written here and exchanged later.
+    facts = keep(facts.sortWithinPartitions("cell"))
+    free_shuffles(spark)
+    tasks = 1 + facts.count() // ROWS_A_TASK
+
+    months = F.struct(F.lit(BY_MONTH).alias("grain"), "month", F.lit(None).alias(OF_NAME))
+    by_name = F.struct(F.lit(BY_NAME).alias("grain"), F.lit(None).cast("date").alias("month"), OF_NAME)
+    sums = (
+        facts.select("cell", "month", OF_NAME, "revenue")
+        .repartition(tasks, "cell")
+        .select("cell", "revenue", F.inline(F.array(months, by_name)))
+        .groupBy("cell", "grain", "month", OF_NAME)
+        .agg(money("revenue").alias("revenue"))
     )
-    member = (*DIMENSIONS, "kind", "page")
-    members = (
-        facts.select(*DIMENSIONS, F.inline(ids))
-        .select(
-            *member[:-1],
-            F.bitmap_bucket_number("id").alias("page"),
-            F.bitmap_bit_position("id").cast("smallint").alias("bit"),
-        )
-        .repartition(2 * tasks, *member)
-        .groupBy(*member)
-        # a set of at most a page's positions, however many rows a member has
-        .agg(F.collect_set("bit").alias("bits"))
+    cells = (
+        names.of(sums)
+        .join(product_names.select(OF_NAME, "name"), OF_NAME, "left")
+        .select(*DIMENSIONS, "month", "name", "revenue", "grain")
     )
+
+    def members_by(kind: str, key: str) -> DataFrame:
+        id = F.col(key).cast("bigint")
+        return (
+            facts.select(
+                "cell",
+                F.bitmap_bucket_number(id).alias("page"),
+                F.bitmap_bit_position(id).cast("smallint").alias("bit"),
+            )
+            .repartition(tasks, "cell", "page")
+            .groupBy("cell", "page")
+            # a set of at most a page's positions, however many rows a member has
+            .agg(F.collect_set("bit").alias("bits"))
+            .select("cell", F.lit(kind).alias("kind"), "page", "bits")
+        )
+
+    members = names.of(members_by(ORDER, "order_id").unionByName(members_by(BUYER, "user_id")))
     one_each = known_users.where("user_id IS NOT NULL").distinct()
     counted = one_each.groupBy(*OF_USER).agg(F.count("*").alias("total_users"))
-    return RevenueCube(cells, members, counted, age_bins)
+    return RevenueCube(cells, members, counted, age_bins, names=names)
 
 
 def _distinct(
@@ -147,7 +259,8 @@ def _distinct(
 
     `each`, if given, makes the keys of a row's dimensions, several of them.
     """
-    dimensions = DIMENSIONS if each is not None else keys
+    coded = each is not None and cube.names is not None
+    dimensions = ("cell",) if coded else DIMENSIONS if each is not None else keys
     word = F.col("page") * (PAGE // WORD) + F.shiftright("bit", WORD.bit_length() - 1)
     rows = (
         cube.members.where(F.col("kind") == kind)
@@ -160,6 +273,8 @@ def _distinct(
     )
     if cube.rows is not None:
         rows = rows.repartition(1 + cube.rows // ROWS_A_TASK, "word")
+    if coded:
+        rows = cube.names.of(rows)
     if each is not None:
         rows = rows.select("word", "bits", each).where(F.col(keys[-1]).isNotNull())
     words = rows.groupBy(*keys, "word").agg(F.bit_count(F.bit_or("bits")).alias("n"))

@@ -43,6 +43,14 @@ def keep(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done.
+
+    Its cleaner does so once the driver has collected their plans, which may otherwise be long after.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_of(df: ByUser) -> list[DataFrame]:
     return [df] if isinstance(df, DataFrame) else list(df)
 

@@ -150,3 +150,37 @@ def test_the_cube_counts_in_tasks_of_bounded_size(monkeypatch, cube, rows_a_task
     want = {r["status"]: r["n"] for r in ids.groupBy("status").agg(F.countDistinct("page", "bit").alias("n")).collect()}
     got = {r["value"]: r["buyers"] for r in values.where("dimension = 'status'").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("words, most", [(1 << 17, 1 << 63), (0, 1)])
+def test_the_cube_moves_numbers_instead_of_names(monkeypatch, spark, shop, cube, words, most):
+    # With few rows sent to all tasks and cells too many for one number, the results are the same.
+    monkeypatch.setattr(cub, "BROADCAST_WORDS", words, raising=False)
+    monkeypatch.setattr(cub, "LONG", most, raising=False)
+    own = cub.revenue_cube(*shop, AGE_BINS).kept()
+    values = cub.cube_by_value(own)
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.findall(r"RepartitionByExpression \[word#.*\n.*?Project \[(.*)\]", plan)
+    assert len(moved) == 2 and not any(d in m for m in moved for d in cub.DIMENSIONS)
+    whole = cub.RevenueCube(own.cells, own.members, own.users, AGE_BINS)
+    for other in (cube, whole):
+        assert sorted(rows(values)) == sorted(rows(cub.cube_by_value(other))) != []
+    for filters in CHOICES:
+        direct, part = rev.revenue_scope(*shop, filters), own.chosen(filters)
+        want = rev.revenue_kpis(direct)
+        assert rows(cub.cube_kpis(part).select(want.columns)) == rows(want)
+        assert rows(cub.cube_product_topk(part)) == rows(rev.product_revenue_topk(direct))
+
+
+def test_ids_far_apart_and_below_zero_keep_their_numbers(spark, shop):
+    users, orders, items, products = shop
+    apart = lambda c: (F.col(c) * 1_000_003 - 5_000_000).alias(c)
+    moved = (
+        users.withColumn("id", apart("id")),
+        orders.withColumn("order_id", apart("order_id")),
+        items.withColumns({c: apart(c) for c in ("order_id", "user_id", "product_id")}),
+        products.withColumn("id", apart("id")),
+    )
+    want = cub.cube_by_value(cub.revenue_cube(*shop, AGE_BINS).kept())
+    got = cub.cube_by_value(cub.revenue_cube(*moved, AGE_BINS).kept())
+    assert sorted(rows(got)) == sorted(rows(want)) != []
