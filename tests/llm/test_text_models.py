@@ -244,6 +244,33 @@ def test_wrappers_stay_small_and_keep_common_places(monkeypatch, order):
     assert 700 <= common.pages <= 700 + len(pages) / dom.RARE and not common.many
 
 
+def test_long_lists_are_aligned_as_short_ones(monkeypatch):
+    rng = random.Random(14)
+
+    def some(deep):
+        many = rng.randint(0, 3 if deep < 3 else 40)
+        return [dom.Pattern(rng.choice("abc"), 1, 0, some(deep - 1) if deep else []) for _ in range(many)]
+
+    pairs = [(some(3), some(3)) for _ in range(60)]
+    weights = (dom._weight, lambda x, y: int(x.label == y.label))
+    want = [dom.matched(a, b, w) for a, b in pairs for w in weights]
+    for cells in (1, 50):
+        monkeypatch.setattr(dom, "_CELLS", cells)
+        assert [dom.matched(a, b, w) for a, b in pairs for w in weights] == want
+
+
+def test_a_place_that_moves_does_not_hide_the_rest_of_a_long_page():
+    body = "".join(f"<h2 class=n{k}>A</h2><p>B</p>" for k in range(700))
+    pages = [f"<div>x</div>{body}", f"{body}<div>x</div>"]
+    first, last = (dom.pattern_of([dom.parse(page)]) for page in pages)
+    assert sum(k.pages == 2 for k in dom.joined(first, last).kids) == 1_400
+    found = dom.slots(dom.parse(pages[1]), first, dom.numbered(first))
+    assert sum(slot >= 0 for slot, _ in found) == 1_400
+    # As children of a child, whose weight decides.
+    outer = [dom.pattern_of([dom.parse(f"<section>{page}</section>")]).kids for page in pages]
+    assert dom._weight(outer[0][0], outer[1][0]) == 2_801
+
+
 def test_given_pages(spark, small):
     for r in registry.op8_wrappers(spark, small).collect():
         assert r["n_chars"] == len(r["text"]) and "<" not in r["text"]
