@@ -35,11 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, path: str | None = None) -> DataFrame:
+def keep(df: DataFrame, path: str | None = None, codec: str | None = None) -> DataFrame:
     """The frame as Parquet at `path`, or under a name of its own in the shared folder."""
     spark = df.sparkSession
     path = path or new_path(spark, "kept")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
